@@ -41,7 +41,7 @@ DIGIT = np.zeros(256, bool)
 DIGIT[0x30:0x3A] = True
 MARK = np.zeros(256, bool)
 MARK[list(b".,;:!?'\"()-")] = True
-FEATURES = 11
+FEATURES = 10
 
 
 def measure(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ def measure(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np
     for k, column in enumerate((
         np.ones(len(seg)), np.log1p(line_words) / 5, share(SYMBOL) * 5, share(UPPER) * 2, share(DIGIT) * 5, share(MARK) * 5, dup,
         (repeated[last] - repeated[first]) / np.maximum(line_words, 1), (stutter[last] - stutter[first]) / np.maximum(line_words, 1),
-        (points[stop] - points[begin]) / np.maximum(line_words, 1) / 10, np.isin(buf[stop - 1], np.frombuffer(b".!?", np.uint8)) if len(stop) else np.zeros(0),
+        (points[stop] - points[begin]) / np.maximum(line_words, 1) / 10,
     )):
         x[:, k] = column
     counts = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontam, mixing, quality
+from barloom.llm import block_dedup, chat, decontam, mixing, quality
 from barloom.llm.session import shared_folder
 
 
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, model)
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return block_dedup.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_source_mixing": op2_source_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
@@ -81,6 +86,16 @@ p AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
   CAST(greatest(0, least(a + size, goal) - a) + greatest(0, least(a + size, goal - source_size) - a) AS BIGINT) AS taken FROM p""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(1, len(w) - 49)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS k FROM p),
+m AS (SELECT k, min(doc_id) AS first FROM h GROUP BY k),
+r AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM h JOIN m USING (k) WHERE first < doc_id),
+g AS (SELECT doc_id, count(*) AS n_removed, list(i) AS gone FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, generate_series(1, len(w))), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""",
     "op10_benchmark_decontamination": r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
