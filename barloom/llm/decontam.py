@@ -74,14 +74,22 @@ def shard_index(ids: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
     return at[order], np.searchsorted(ids[at][order], np.arange(n_terms + 1))
 
 
+def present(count: np.ndarray, windows: list[np.ndarray]) -> list[int]:
+    """Windows all of whose terms have a list in the shard."""
+    if not windows:
+        return []
+    sizes = np.array([len(w) for w in windows])
+    rarest = np.minimum.reduceat(count[np.concatenate(windows)], np.cumsum(sizes) - sizes)
+    return np.flatnonzero(rarest > 0).tolist()
+
+
 def phrases(ids: np.ndarray, doc_of: np.ndarray, lists: np.ndarray, first: np.ndarray, windows: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """(window, starts) of all exact occurrences inside one document."""
     count = np.diff(first)
     n = len(ids)
-    for k, terms in enumerate(windows):
+    for k in present(count, windows):
+        terms = windows[k]
         rarity = count[terms]
-        if rarity.min() == 0:
-            continue
         by_rarity = np.argsort(rarity, kind="stable")
         off = int(by_rarity[0])
         starts = lists[first[terms[off]] : first[terms[off] + 1]] - off
@@ -98,10 +106,9 @@ def phrases(ids: np.ndarray, doc_of: np.ndarray, lists: np.ndarray, first: np.nd
 def proximity(bounds: np.ndarray, lists: np.ndarray, first: np.ndarray, windows: list[np.ndarray], slop: int) -> Iterator[tuple[int, np.ndarray]]:
     """(window, documents) where each term stands within slop words of its place beside the rarest term."""
     count = np.diff(first)
-    for k, terms in enumerate(windows):
+    for k in present(count, windows):
+        terms = windows[k]
         rarity = count[terms]
-        if rarity.min() == 0:
-            continue
         by_rarity = np.argsort(rarity, kind="stable")
         lead = int(by_rarity[0])
         starts = lists[first[terms[lead]] : first[terms[lead] + 1]] - lead
@@ -134,16 +141,18 @@ def search(docs: DataFrame, rows: list[tuple[int, bytes]], slop: int | None = No
                 ids = np.where(known, place, -1)
                 doc_of = np.repeat(np.arange(j - i), np.diff(bounds))
                 lists, first = shard_index(ids, len(probe.terms))
-                hit = np.zeros(len(ids), bool)
+                found, sizes = [], []
                 items: list[set] = [set() for _ in range(j - i)]
                 near: list[set] = [set() for _ in range(j - i)]
                 for k, at in phrases(ids, doc_of, lists, first, probe.windows):
-                    hit |= cover(len(ids), at, len(probe.windows[k]))
+                    found.append(at)
+                    sizes.append(np.full(len(at), len(probe.windows[k])))
                     for d in np.unique(doc_of[at]).tolist():
                         items[d].update(probe.items[k])
+                hit = cover(len(ids), np.concatenate(found), np.concatenate(sizes)) if found else np.zeros(len(ids), bool)
                 if slop is not None:
-                    for k, found in proximity(bounds, lists, first, probe.windows, slop):
-                        for d in found.tolist():
+                    for k, close in proximity(bounds, lists, first, probe.windows, slop):
+                        for d in close.tolist():
                             near[d].update(probe.items[k])
                 sums = np.r_[0, np.cumsum(hit)]
                 spans: list[list] = [[] for _ in range(j - i)]

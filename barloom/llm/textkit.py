@@ -108,9 +108,7 @@ def window_starts(bounds: np.ndarray, size: int) -> np.ndarray:
 
 def cover(n: int, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """Of n positions, which lie in [start, start + size) of any start."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + size, -1)
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(starts + size, minlength=n + 1)
     return np.cumsum(step[:-1]) > 0
 
 
