@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import block_dedup, chat, decontam, license_scan, line_templates, mixing, quality, suffix_dedup
+from barloom.llm import block_dedup, chat, decontam, license_scan, line_templates, lm, mixing, quality, suffix_dedup
 from barloom.llm.session import shared_folder
 
 
@@ -41,6 +41,10 @@ def op5_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return line_templates.digest(table(spark, folder, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(table(spark, folder, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_templates": op5_line_templates,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
