@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import block_dedup, chat, decontam, license_scan, line_templates, lm, mixing, quality, suffix_dedup
+from barloom.llm import block_dedup, chat, decontam, jaccard, license_scan, line_templates, lm, mixing, quality, suffix_dedup
 from barloom.llm.session import shared_folder
 
 
@@ -45,6 +45,10 @@ def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(table(spark, folder, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, folder, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_line_templates": op5_line_templates,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
