@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from barloom.functions.ranks import full
 
 EPSILON = 1e-12
-BY_TIME = Window.partitionBy("symbol").orderBy("time_utc")
+
+
+def by_time():
+    return Window.partitionBy("symbol").orderBy("time_utc")
+
 
 
 def roll(n: int):
-    return BY_TIME.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def returns(bars: DataFrame) -> DataFrame:
     """ret and abs_diff against the bar before; null where that close is not positive."""
-    prev = F.lag("close").over(BY_TIME)
+    prev = F.lag("close").over(by_time())
     return bars.withColumn("prev_close", prev).withColumns({"ret": F.when(F.col("prev_close") > 0, F.col("close") / F.col("prev_close") - 1), "abs_diff": F.abs(F.col("close") - F.col("prev_close"))})
 
 
@@ -30,12 +34,12 @@ def volatility(bars: DataFrame, n: int) -> DataFrame:
 
 
 def momentum(bars: DataFrame, n: int) -> DataFrame:
-    return bars.withColumn("mom_bps", (F.try_divide("close", F.lag("close", n).over(BY_TIME)) - 1) * 10000)
+    return bars.withColumn("mom_bps", (F.try_divide("close", F.lag("close", n).over(by_time())) - 1) * 10000)
 
 
 def efficiency_ratio(bars: DataFrame, n: int, epsilon: float = EPSILON) -> DataFrame:
     path = full(n, F.sum("abs_diff").over(roll(n)), F.col("abs_diff"), roll(n))
-    return bars.withColumn("er", F.try_divide(F.abs(F.col("close") - F.lag("close", n).over(BY_TIME)), path + epsilon))
+    return bars.withColumn("er", F.try_divide(F.abs(F.col("close") - F.lag("close", n).over(by_time())), path + epsilon))
 
 
 def average_true_range(bars: DataFrame, n: int) -> DataFrame:
@@ -59,7 +63,7 @@ def ewm(bars: DataFrame, column: str, span: int, name: str, adjust: bool = False
     """
     keep = 1 - 2 / (span + 1)
     rows = bars.withColumn("_day", F.to_date("time_utc")).withColumn("_k", F.row_number().over(Window.partitionBy("symbol", "_day").orderBy("time_utc")))
-    first = F.row_number().over(BY_TIME) == 1
+    first = F.row_number().over(by_time()) == 1
     gain = F.lit(1 - keep) if not adjust else F.lit(1.0)
     rows = rows.withColumn("_start", first)
     rows = rows.withColumn("_x", F.when(F.col("_start") & F.lit(not adjust), F.col(column)).otherwise(gain * F.col(column)))
@@ -90,8 +94,8 @@ def ewm(bars: DataFrame, column: str, span: int, name: str, adjust: bool = False
 def trend(bars: DataFrame, fast: str, slow: str, slope: int = 50) -> DataFrame:
     """Direction, strength and slope of two averages, and whether they crossed."""
     diff = F.col(fast) - F.col(slow)
-    rows = bars.withColumns({"trend_dir": F.signum(diff), "trend_bps": F.try_divide(diff, F.col(slow)) * 10000, "slope_bps": (F.try_divide(F.col(slow), F.lag(slow, slope).over(BY_TIME)) - 1) * 10000})
-    return rows.withColumn("cross", (F.col("trend_dir") != F.lag("trend_dir").over(BY_TIME)) & (F.col("trend_dir") != 0))
+    rows = bars.withColumns({"trend_dir": F.signum(diff), "trend_bps": F.try_divide(diff, F.col(slow)) * 10000, "slope_bps": (F.try_divide(F.col(slow), F.lag(slow, slope).over(by_time())) - 1) * 10000})
+    return rows.withColumn("cross", (F.col("trend_dir") != F.lag("trend_dir").over(by_time())) & (F.col("trend_dir") != 0))
 
 
 def bollinger(bars: DataFrame, n: int, k: float = 2.0, floor: float | None = None) -> DataFrame:
@@ -111,18 +115,18 @@ def range_features(bars: DataFrame, n: int) -> DataFrame:
 
 
 def change(bars: DataFrame, column: str, n: int, name: str) -> DataFrame:
-    return bars.withColumn(name, F.col(column) - F.lag(column, n).over(BY_TIME))
+    return bars.withColumn(name, F.col(column) - F.lag(column, n).over(by_time()))
 
 
 def forward_returns(bars: DataFrame, horizons: Sequence[int], side: Column | None = None) -> DataFrame:
     """fwd_h: return to the close h bars on, signed by side."""
     sign = F.lit(1) if side is None else F.when(side == "SHORT", -1).otherwise(1)
-    return bars.withColumns({f"fwd_{h}": sign * (F.try_divide(F.lead("close", h).over(BY_TIME), "close") - 1) for h in horizons})
+    return bars.withColumns({f"fwd_{h}": sign * (F.try_divide(F.lead("close", h).over(by_time()), "close") - 1) for h in horizons})
 
 
 def warm(bars: DataFrame, n: int, columns: Sequence[str]) -> DataFrame:
     """Without each symbol's first n bars and rows that lack a feature."""
-    return bars.withColumn("_rn", F.row_number().over(BY_TIME)).where(F.col("_rn") > n).drop("_rn").dropna(subset=list(columns))
+    return bars.withColumn("_rn", F.row_number().over(by_time())).where(F.col("_rn") > n).drop("_rn").dropna(subset=list(columns))
 
 
 def streak(bars: DataFrame, gate: str, k: int, name: str) -> DataFrame:
@@ -133,7 +137,7 @@ def streak(bars: DataFrame, gate: str, k: int, name: str) -> DataFrame:
 
 def off_streak(bars: DataFrame, gate: str, name: str) -> DataFrame:
     """How many bars in a row the gate has been off."""
-    rows = bars.withColumn("_island", F.sum(F.coalesce(F.col(gate), F.lit(False)).cast("int")).over(BY_TIME))
+    rows = bars.withColumn("_island", F.sum(F.coalesce(F.col(gate), F.lit(False)).cast("int")).over(by_time()))
     off = F.sum((~F.coalesce(F.col(gate), F.lit(False))).cast("int")).over(Window.partitionBy("symbol", "_island").orderBy("time_utc").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(name, F.when(F.coalesce(F.col(gate), F.lit(False)), 0).otherwise(off)).drop("_island")
 

@@ -257,7 +257,7 @@ def w7_adjusted(spark, folder):
 
 @query("W8_trend", EMA, sql=f"SELECT symbol, {EP} AS t, CASE WHEN abs(fast - slow) < 1e-9 THEN 0 ELSE sign(fast - slow) END::DOUBLE AS trend_dir, round((fast - slow) / slow * 10000, 5) AS trend_bps, round((slow / lag(slow, 12) OVER (PARTITION BY symbol ORDER BY time_utc) - 1) * 10000, 5) AS slope_bps FROM ema WHERE rn > 1")
 def w8(spark, folder):
-    rows = W.trend(averages(spark, folder), "fast", "slow", 12).withColumn("rn", F.row_number().over(W.BY_TIME)).where("rn > 1")
+    rows = W.trend(averages(spark, folder), "fast", "slow", 12).withColumn("rn", F.row_number().over(W.by_time())).where("rn > 1")
     rows = rows.withColumn("slope_bps", F.when(F.col("rn") > 13, F.col("slope_bps")))
     return rows.select("symbol", ep("time_utc").alias("t"), "trend_dir", F.round("trend_bps", 5).alias("trend_bps"), F.round("slope_bps", 5).alias("slope_bps"))
 

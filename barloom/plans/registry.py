@@ -19,7 +19,8 @@ def query(name: str, *ctes: str, sql: str | None = None) -> Callable[[Query], Qu
             raise ValueError(f"query {name} is there already")
         QUERIES[name] = function
         if sql is not None:
-            ORACLES[name] = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql
+            inner = f"SELECT * FROM ({sql})" if sql.startswith("WITH ") and ctes else sql
+            ORACLES[name] = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + inner
         return function
 
     return register
