@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.plans import bar_queries, feature_queries, metric_queries, trade_queries  # noqa: F401
+from barloom.plans import bar_queries, feature_queries, metric_queries, stream_queries, trade_queries  # noqa: F401
 from barloom.plans.registry import ORACLES, QUERIES
 
 

@@ -59,7 +59,7 @@ def s4(spark, folder):
     return B.rename_columns(X.raw_bars(spark, folder)).select("symbol", "time_utc", "open", "high", "low", "close", "volume", "spread", "ingest_seq")
 
 
-@query("S5_epoch_coercion", sql="SELECT event_id, u AS unit, CAST(epoch(ts) AS BIGINT) AS t FROM events, (SELECT unnest(['s', 'ms', 'us', 'ns']) AS u)")
+@query("S5_epoch_coercion", sql="SELECT event_id, u AS unit, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events, (SELECT unnest(['s', 'ms', 'us', 'ns']) AS u)")
 def s5(spark, folder):
     e = X.table(spark, folder, "events").select("event_id", F.unix_timestamp("ts").alias("s"))
     units = F.create_map(F.lit("s"), F.col("s"), F.lit("ms"), F.col("s") * 1000, F.lit("us"), F.col("s") * 1000000, F.lit("ns"), F.col("s") * 1000000000)
@@ -73,16 +73,16 @@ def s6(spark, folder):
     return canonical(B.resolve_columns(odd))
 
 
-@query("S7_project_source", SQL_BARS, sql=f"SELECT symbol, {EP} * 1000 AS timestamp_utc, strftime(time_utc + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS local_time, close, CAST(volume AS BIGINT) AS tick_volume, CAST(NULL AS BIGINT) AS real_volume, 'Etc/GMT-2' AS server_tz FROM bars")
+@query("S7_project_source", SQL_BARS, sql=f"SELECT symbol, {EP} * 1000 AS timestamp_utc, strftime(time_utc + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS local_time, close, CAST(volume AS BIGINT) AS tick_volume, true AS real_volume_missing, 'Etc/GMT-2' AS server_tz FROM bars")
 def s7(spark, folder):
     source = X.bars(spark, folder).select("symbol", ep("time_utc").alias("time"), "open", "high", "low", "close", F.col("volume").alias("tick_volume"), "spread")
     rows = B.project_source(source, "Etc/GMT-2", "demo")
-    return rows.select("symbol", "timestamp_utc", F.date_format("timestamp_local", "yyyy-MM-dd HH:mm:ss").alias("local_time"), "close", "tick_volume", "real_volume", "server_tz")
+    return rows.select("symbol", "timestamp_utc", F.date_format("timestamp_local", "yyyy-MM-dd HH:mm:ss").alias("local_time"), "close", "tick_volume", F.col("real_volume").isNull().alias("real_volume_missing"), "server_tz")
 
 
-@query("S8_enforce_contract", SQL_RAW, sql="SELECT timestamp_utc, symbol, close, CAST(tick_volume AS BIGINT) AS tick_volume, CAST(NULL AS BIGINT) AS real_volume, spread_points, CAST(NULL AS VARCHAR) AS broker, CAST(ingest_seq AS INT) AS ingest_seq FROM raw")
+@query("S8_enforce_contract", SQL_RAW, sql="SELECT timestamp_utc, symbol, close, CAST(tick_volume AS BIGINT) AS tick_volume, true AS real_volume_missing, spread_points, true AS broker_missing, CAST(ingest_seq AS INT) AS ingest_seq FROM raw")
 def s8(spark, folder):
-    return B.enforce_contract(X.raw_bars(spark, folder)).select("timestamp_utc", "symbol", "close", "tick_volume", "real_volume", "spread_points", "broker", "ingest_seq")
+    return B.enforce_contract(X.raw_bars(spark, folder)).select("timestamp_utc", "symbol", "close", "tick_volume", F.col("real_volume").isNull().alias("real_volume_missing"), "spread_points", F.col("broker").isNull().alias("broker_missing"), "ingest_seq")
 
 
 @query("S9_required_columns", SQL_BARS, sql="SELECT CAST(count(*) AS BIGINT) AS n FROM bars")

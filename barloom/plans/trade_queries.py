@@ -175,10 +175,10 @@ def t7(spark, folder):
     return T.without_overlap(labelled(spark, folder), COOL, ("symbol", "combo")).select("symbol", "combo", "i", "exit_reason")
 
 
-@query("J14_next_match", LABELS, sql=f"SELECT l.symbol, CAST(l.exit_idx AS INT) AS exit_idx, CAST((SELECT min(c.i) FROM cand c WHERE c.symbol = l.symbol AND c.i >= l.exit_idx + {COOL} + 1) AS INT) AS next_i FROM (SELECT DISTINCT symbol, exit_idx FROM lab) l")
+@query("J14_next_match", LABELS, sql=f"SELECT l.symbol, CAST(l.exit_idx AS INT) AS exit_idx, CAST(coalesce((SELECT min(c.i) FROM cand c WHERE c.symbol = l.symbol AND c.i >= l.exit_idx + {COOL} + 1), -1) AS INT) AS next_i FROM (SELECT DISTINCT symbol, exit_idx FROM lab) l")
 def j14(spark, folder):
     exits = labelled(spark, folder).select("symbol", "exit_idx").distinct()
-    return T.next_match(exits, entries(spark, folder), COOL).select("symbol", "exit_idx", "next_i")
+    return T.next_match(exits, entries(spark, folder), COOL).select("symbol", "exit_idx", F.coalesce("next_i", F.lit(-1)).alias("next_i"))
 
 
 SWEEP = CHAIN[: CHAIN.index(",\nchain AS")] + ",\n" + SQL_FOLDS + ",\n" + TAGGED + f""",
