@@ -1,16 +1,16 @@
 """Line dedup with a log-template tree of fixed depth, in DataFrame functions only.
 
-A line's tokens lead it to a leaf: the number of tokens, then its first LEAD tokens, where a token
-with a digit is a variable field. Within a leaf a token is constant if it stands at its place in
-the lines of MIN_DOCS documents or more; all other places become variable. A line whose constant
-places make up MIN_CONSTANT of its tokens (and are at least LEAST_CONSTANT) belongs to the
-template that they form. A template that stands in MIN_DOCS documents or more recurs: its lines
-are dropped from all documents but the one of the smallest id, which keeps them, so nothing is
-lost for good and the first of a group of copies stays whole.
-
-Only fingerprints of leaves and the lines of frequent leaves are shuffled, and texts once; lines are
-counted once a document before any exchange, so a line in a third of all documents is one
-partial sum in each task.
+A line's tokens (its pieces between spaces) lead it to a leaf: the number of tokens, then its
+first LEAD tokens, where a token with a digit is a variable field. Within a leaf a token is
+constant if it stands at its place in the lines of MIN_DOCS documents or more; all other places
+become variable. A line whose constant places make up MIN_CONSTANT of its tokens (and are at
+least LEAST_CONSTANT) belongs to the template that they form. A template that stands in MIN_DOCS
+documents or more recurs: its lines are dropped from all documents but the one of the smallest
+id, which keeps them, so nothing is lost for good and the first of a group of copies stays whole.
+
+Lines are first named by two fingerprints, and only these are shuffled and written out, once for
+each document; the words of a line are fetched from the first document that holds it, for frequent
+leaves alone. A line in a third of all documents is one partial sum in each task.
 
 Defined cases: null text has no lines and stays null; blank lines stay; a null document id is
 larger than any other; documents of equal id and text count once; other columns are kept by
@@ -19,63 +19,80 @@ drop_templates(); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.session import shared_folder
+
 LEAD = 3
 MIN_DOCS = 5
 MIN_CONSTANT = 0.7
 LEAST_CONSTANT = 3
-SPACES = r"[\x20\x09-\x0D]+"
 VARIABLE = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    words = F.filter(F.split(F.translate(line, "123456789", "000000000"), SPACES), lambda t: t != "")
-    return F.transform(words, lambda t: F.when(F.contains(t, F.lit("0")), F.lit(VARIABLE)).otherwise(t))
+def _masked(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(line)
+
+
+def _name(masked: Column) -> Column:
+    return F.xxhash64(masked)
+
+
+def _filled(line: Column) -> Column:
+    return F.trim(line) != ""
 
 
 def _lines(text: Column) -> Column:
-    """Each line as (leaf, tokens): leaf null for a blank line."""
-    lead = lambda t, k: F.coalesce(F.get(t, F.lit(k)), F.lit(""))
-    pair = lambda t: F.struct(F.when(F.size(t) > 0, F.xxhash64(F.size(t), *[lead(t, k) for k in range(LEAD)])).alias("leaf"), t.alias("tokens"))
-    return F.transform(F.transform(F.split(text, "\n", -1), _tokens), pair)
+    """The masked lines that are not blank."""
+    return F.transform(F.filter(F.split(text, "\n", -1), _filled), _masked)
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, row, line): fingerprints of the masked lines to drop from the rows of docs (id, row, text)."""
-    told = docs.select("id", "row", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: x["leaf"]))).alias("leaf")).where("leaf is not null")
-    frequent = told.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    wanted = told.join(frequent.hint("shuffle_merge"), "leaf").groupBy("id", "row").agg(F.collect_set("leaf").alias("leaves"))
-    wanted = wanted.withColumnsRenamed({"id": "i", "row": "r"}).hint("shuffle_merge")
-    texts = docs.join(wanted, (docs["id"] == wanted["i"]) & (docs["row"] == wanted["r"]))
-    own = F.filter(_lines(F.col("text")), lambda x: F.array_contains(F.col("leaves"), x["leaf"]))
-    lines = texts.select("id", "row", F.explode(F.array_distinct(own)).alias("x")).select("id", "row", "x.leaf", F.array_join("x.tokens", " ").alias("masked"))
-    distinct = lines.groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    placed = distinct.select("leaf", "masked", "n", "first", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    constant = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token")
-    shaped = placed.join(constant.hint("shuffle_merge"), ["leaf", "at", "token"]).groupBy("leaf", "masked", "n", "first").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("fixed"))
-    size = F.size(F.split("masked", " "))
-    shaped = shaped.where((F.size("fixed") >= MIN_CONSTANT * size) & (F.size("fixed") >= LEAST_CONSTANT)).select("leaf", "masked", "n", "first", F.xxhash64("leaf", "fixed").alias("template"))
+    spark = docs.sparkSession
+    place = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    leaf = lambda m: F.xxhash64(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))), F.substring_index(m, " ", LEAD))
+    named = F.array_distinct(F.transform(_lines(F.col("text")), lambda m: F.struct(leaf(m).alias("leaf"), _name(m).alias("line"))))
+    told = docs.select("id", "row", F.explode(named).alias("x")).select("id", "row", "x.leaf", "x.line").distinct()
+    told.write.parquet(f"{place}/told")
+    told = spark.read.parquet(f"{place}/told")
+
+    lines = told.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row")).alias("first"))
+    leaves = told.groupBy("leaf").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_docs).select("leaf")
+    lines.join(leaves.hint("shuffle_merge"), "leaf").select("leaf", "line", "n", "first.id", "first.row").write.parquet(f"{place}/lines")
+    lines = spark.read.parquet(f"{place}/lines")
+
+    wanted = lines.groupBy("id", "row").agg(F.collect_set("line").alias("lines")).withColumnsRenamed({"id": "i", "row": "r"}).hint("shuffle_merge")
+    texts = docs.join(wanted, (docs["id"] == wanted["i"]) & (docs["row"] == wanted["r"])).select("lines", "text")
+    texts = texts.select("lines", F.explode(F.array_distinct(_lines(F.col("text")))).alias("masked")).where(F.array_contains("lines", _name(F.col("masked"))))
+    texts = texts.select(_name(F.col("masked")).alias("line"), "masked").dropDuplicates(["line"])
+    known = lines.select("leaf", "line", "n", F.col("id").alias("first")).join(texts.hint("shuffle_merge"), "line")
+    known.write.parquet(f"{place}/known")
+    known = spark.read.parquet(f"{place}/known").withColumn("size", F.size(F.split("masked", " ")))
+
+    placed = known.select("leaf", "line", "n", "first", "size", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    constant = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("m")).where(F.col("m") >= min_docs).select("leaf", "at", "token")
+    shaped = placed.join(constant.hint("shuffle_merge"), ["leaf", "at", "token"]).groupBy("leaf", "line", "n", "first", "size").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("fixed"))
+    shaped = shaped.where((F.size("fixed") >= MIN_CONSTANT * F.col("size")) & (F.size("fixed") >= LEAST_CONSTANT)).select("line", "n", "first", F.xxhash64("leaf", "fixed").alias("template"))
     often = shaped.groupBy("template").agg(F.sum("n").alias("docs"), F.min("first").alias("keeper")).where(F.col("docs") >= min_docs).select("template", "keeper")
-    dropped = shaped.join(often.hint("shuffle_merge"), "template").select("leaf", "masked", "keeper")
-    return lines.join(dropped.hint("shuffle_merge"), ["leaf", "masked"]).where(F.col("id") > F.col("keeper")).select("id", "row", F.xxhash64("masked").alias("line"))
+    dropped = shaped.join(often.hint("shuffle_merge"), "template").select("line", "keeper")
+    return told.select("id", "row", "line").join(dropped.hint("shuffle_merge"), "line").where(F.col("id") > F.col("keeper")).select("id", "row", "line")
 
 
 def cut(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with n_lines (lines with a token), n_dropped and kept_text."""
+    """docs with n_lines (lines that are not blank), n_dropped and kept_text."""
     keyed = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "row": F.xxhash64("text")})
-    hits = recurring(keyed.select("id", "row", "text").dropDuplicates(["id", "row"]), min_docs).groupBy("id", "row").agg(F.collect_set("line").alias("gone"))
+    hits = recurring(keyed.select("id", "row", "text"), min_docs).groupBy("id", "row").agg(F.collect_set("line").alias("gone"))
     hits = hits.withColumnsRenamed({"id": "i", "row": "r"}).hint("shuffle_merge")
     out = keyed.join(hits, (keyed["id"] == hits["i"]) & (keyed["row"] == hits["r"]), "left").drop("i", "r", "id", "row")
-    name = lambda line: F.xxhash64(F.array_join(_tokens(line), " "))
-    has = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    kept = F.filter(F.split("text", "\n", -1), lambda x: ~has(x) | ~F.array_contains("gone", name(x)))
-    total = lambda lines: F.coalesce(F.size(F.filter(lines, has)), F.lit(0)).cast("long")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(total(F.split("text", "\n", -1))))
-    out = out.withColumn("kept_text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    left = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(total(F.split("kept_text", "\n", -1)))
-    return out.withColumn("n_dropped", F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - left)).drop("gone")
+    kept = F.filter(F.split("text", "\n", -1), lambda x: ~_filled(x) | ~F.array_contains("gone", _name(_masked(x))))
+    total = lambda text: F.coalesce(F.size(F.filter(F.split(text, "\n", -1), _filled)), F.lit(0)).cast("long")
+    none = F.lit(0).cast("long")
+    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), none).otherwise(total("text")), "kept_text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))})
+    return out.withColumn("n_dropped", F.when(F.col("gone").isNull(), none).otherwise(F.col("n_lines") - total("kept_text"))).drop("gone")
 
 
 def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -114,12 +114,10 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
     "op5_line_templates": r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS id, doc_id, text FROM documents),
 l0 AS (SELECT r, id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d),
-l1 AS (
-  SELECT r, id, text, ln, line, list_transform(list_filter(regexp_split_to_array(translate(line, '123456789', '000000000'), '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-    lambda t: CASE WHEN contains(t, '0') THEN '<*>' ELSE t END) AS tok FROM l0),
-l AS (SELECT *, len(tok) AS n, array_to_string(tok[1:3], ' ') AS lead, array_to_string(tok, ' ') AS masked FROM l1),
-own AS (SELECT DISTINCT id, text, n, lead, masked, tok FROM l WHERE n > 0),
-leaf AS (SELECT n, lead FROM (SELECT DISTINCT id, text, n, lead FROM own) GROUP BY n, lead HAVING count(*) >= 5),
+l1 AS (SELECT *, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked, trim(line, ' ') <> '' AS filled FROM l0),
+l AS (SELECT *, string_split(masked, ' ') AS tok, len(string_split(masked, ' ')) AS n, array_to_string(string_split(masked, ' ')[1:3], ' ') AS lead FROM l1),
+own AS (SELECT DISTINCT id, text, n, lead, masked, tok FROM l WHERE filled),
+leaf AS (SELECT n, lead FROM own GROUP BY n, lead HAVING count(*) >= 5),
 m AS (SELECT n, lead, masked, any_value(tok) AS tok, count(*) AS docs, min(id) AS first FROM own JOIN leaf USING (n, lead) GROUP BY n, lead, masked),
 p AS (SELECT n, lead, masked, docs, first, unnest(tok) AS token, generate_subscripts(tok, 1) AS pos FROM m),
 c AS (SELECT n, lead, pos, token FROM p GROUP BY n, lead, pos, token HAVING sum(docs) >= 5),
@@ -128,9 +126,9 @@ s AS (
   FROM p JOIN c USING (n, lead, pos, token) GROUP BY n, lead, masked, docs, first),
 t AS (SELECT *, sum(docs) OVER (PARTITION BY n, lead, fixed) AS total, min(first) OVER (PARTITION BY n, lead, fixed) AS keeper FROM s WHERE k >= 0.7 * n AND k >= 3),
 g AS (SELECT masked, n, lead, keeper FROM t WHERE total >= 5),
-k AS (SELECT l.*, l.n > 0 AND g.keeper IS NOT NULL AND l.id > g.keeper AS gone FROM l LEFT JOIN g USING (n, lead, masked)),
+k AS (SELECT l.*, l.filled AND g.keeper IS NOT NULL AND l.id > g.keeper AS gone FROM l LEFT JOIN g USING (n, lead, masked)),
 a AS (
-  SELECT r, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone) AS kept FROM k GROUP BY r)
+  SELECT r, count(*) FILTER (filled) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone) AS kept FROM k GROUP BY r)
 SELECT d.doc_id, CAST(coalesce(a.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(a.n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(a.kept, '')) AS kept_sha256
 FROM d LEFT JOIN a USING (r)""",
     "op8_license_scan": license_scan.oracle(),
