@@ -288,9 +288,9 @@ def _days(spark, folder) -> DataFrame:
     return Q.daily_qa(X.bars(spark, folder), EXPECTED_BARS)
 
 
-@query("A2_daily_qa", QA_DAYS, sql="SELECT symbol, d, n_bars, n_unique_ts, dups, grid_pct, spread_p50, spread_bps_p50, spread_bps_p90, zero_share, max_ret, status, notes FROM days")
+@query("A2_daily_qa", QA_DAYS, sql="SELECT symbol, d, n_bars, n_unique_ts, dups, grid_pct, spread_p50, spread_bps_p50, round(spread_bps_p90, 6) AS spread_bps_p90, zero_share, max_ret, status, notes FROM days")
 def a2(spark, folder):
-    return _days(spark, folder).select("symbol", day().alias("d"), "n_bars", "n_unique_ts", "dups", "grid_pct", "spread_p50", "spread_bps_p50", "spread_bps_p90", "zero_share", "max_ret", "status", "notes")
+    return _days(spark, folder).select("symbol", day().alias("d"), "n_bars", "n_unique_ts", "dups", "grid_pct", "spread_p50", "spread_bps_p50", F.round("spread_bps_p90", 6).alias("spread_bps_p90"), "zero_share", "max_ret", "status", "notes")
 
 
 @query("A3_price_sanity", QA_DAYS, sql="SELECT symbol, price_flag, CAST(count(*) AS BIGINT) AS n, max(max_ret) AS worst FROM days GROUP BY ALL")
@@ -307,9 +307,9 @@ sym AS (SELECT *, CASE WHEN fail_ratio > 0.05 THEN 'BAD_STRUCT' WHEN fail_ratio
   CASE WHEN bad_price_ratio > 0.10 THEN 'BAD' WHEN bad_price_ratio > 0.02 THEN 'WARN' ELSE 'OK' END AS qa_price_flag FROM sym1)"""
 
 
-@query("A4_symbol_qa", SYMBOLS, sql="SELECT symbol, n_days, ok_days, warn_days, fail_days, empty_days, mean_bars, median_bars, mean_grid, median_grid, fail_ratio, ok_ratio FROM sym")
+@query("A4_symbol_qa", SYMBOLS, sql="SELECT symbol, n_days, ok_days, warn_days, fail_days, empty_days, mean_bars, median_bars, round(mean_grid, 6) AS mean_grid, median_grid, fail_ratio, ok_ratio FROM sym")
 def a4(spark, folder):
-    return Q.symbol_qa(_days(spark, folder)).select("symbol", "n_days", "ok_days", "warn_days", "fail_days", "empty_days", "mean_bars", "median_bars", "mean_grid", "median_grid", "fail_ratio", "ok_ratio")
+    return Q.symbol_qa(_days(spark, folder)).select("symbol", "n_days", "ok_days", "warn_days", "fail_days", "empty_days", "mean_bars", "median_bars", F.round("mean_grid", 6).alias("mean_grid"), "median_grid", "fail_ratio", "ok_ratio")
 
 
 @query("A5_symbol_flags", SYMBOLS, sql="SELECT symbol, session_type, qa_struct_flag, qa_operativa_flag, qa_price_flag FROM sym")
@@ -317,9 +317,9 @@ def a5(spark, folder):
     return Q.symbol_qa(_days(spark, folder)).select("symbol", "session_type", "qa_struct_flag", "qa_operativa_flag", "qa_price_flag")
 
 
-@query("A6_coverage_gate", QA_DAYS, sql="SELECT avg(n_bars) AS mean_bars, median(n_bars) AS median_bars, avg(grid_pct) AS mean_grid, median(grid_pct) AS median_grid, (avg(n_bars) < 6 AND median(n_bars) < 6) OR (avg(grid_pct) < 25 AND median(grid_pct) < 25) AS hard_fail FROM days")
+@query("A6_coverage_gate", QA_DAYS, sql="SELECT avg(n_bars) AS mean_bars, median(n_bars) AS median_bars, round(avg(grid_pct), 6) AS mean_grid, median(grid_pct) AS median_grid, (avg(n_bars) < 6 AND median(n_bars) < 6) OR (avg(grid_pct) < 25 AND median(grid_pct) < 25) AS hard_fail FROM days")
 def a6(spark, folder):
-    return Q.coverage_gate(_days(spark, folder), 6, 25)
+    return Q.coverage_gate(_days(spark, folder), 6, 25).withColumn("mean_grid", F.round("mean_grid", 6))
 
 
 DQ = """dq0 AS (SELECT symbol, min(d) AS first_day, max(d) AS last_day, count(*) AS days_present, sum(candles) AS candles, count(*) FILTER (candles < 12) AS gap_days, date_diff('day', min(d), max(d)) + 1 AS days_span

@@ -179,9 +179,9 @@ def a13(spark, folder):
     return R.nearest_rank(X.trades(spark, folder), ["symbol", "side"], "net_pnl_base", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
-@query("A14_linear_quantiles", SQL_BARS, sql="SELECT symbol, quantile_cont(close, 0.333) AS a, quantile_cont(close, 0.667) AS b FROM bars GROUP BY symbol")
+@query("A14_linear_quantiles", SQL_BARS, sql="SELECT symbol, round(quantile_cont(close, 0.333), 6) AS a, round(quantile_cont(close, 0.667), 6) AS b FROM bars GROUP BY symbol")
 def a14(spark, folder):
-    return X.bars(spark, folder).groupBy("symbol").agg(R.linear("close", 0.333).alias("a"), R.linear("close", 0.667).alias("b"))
+    return X.bars(spark, folder).groupBy("symbol").agg(F.round(R.linear("close", 0.333), 6).alias("a"), F.round(R.linear("close", 0.667), 6).alias("b"))
 
 
 @query("A15_floor_rank", SQL_BARS, sql="SELECT symbol, list_sort(list(close))[least(CAST(floor(count(*) * 0.6::DOUBLE) AS INT), count(*) - 1) + 1] AS q60, list_sort(list(close))[least(CAST(floor(count(*) * 1.0::DOUBLE) AS INT), count(*) - 1) + 1] AS q100 FROM bars GROUP BY symbol")

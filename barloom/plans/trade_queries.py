@@ -149,9 +149,10 @@ def labelled(spark, folder) -> DataFrame:
     return T.label_exits(rows, prepared(spark, folder), STOP, HOLD, OFF, keys=("combo", "sl", "tp", "trail"))
 
 
-@query("J9_parameter_grid", PREPARED, sql="SELECT CAST(combo AS INT) AS combo, sl, tp, trail FROM grid")
+@query("J9_parameter_grid", PREPARED, SQL_FOLDS, sql="SELECT symbol, fold_id, CAST(combo AS INT) AS combo, sl, tp, trail FROM grid, folds WHERE combo < 5")
 def j9(spark, folder):
-    return grid(spark).join(F.broadcast(X.bars(spark, folder).select(F.count(F.lit(1)).alias("n"))), F.col("n") >= 0).select("combo", "sl", "tp", "trail")
+    few = T.parameter_grid(spark, (2.0, 4.0), (3.0, 6.0), (0.0, 3.0), most=5)
+    return X.folds(spark, folder).join(F.broadcast(few)).select("symbol", "fold_id", "combo", "sl", "tp", "trail")
 
 
 @query("T9_weekend_rules", PREPARED, sql="SELECT symbol, side, CAST(count(*) AS BIGINT) AS n FROM cand GROUP BY ALL")
