@@ -23,12 +23,18 @@ PARCEL = "bucket int, chunk int, kind int, body binary"
 
 CHUNK_BYTES = 6 << 20
 """Text in a chunk, on average; bounds the memory of a task."""
+MOST_CHUNKS, MOST_BYTES = 4096, 64 << 20
+"""Beyond so many chunks they grow, to so many bytes, which keeps the parcels between chunks and buckets large."""
+LEAST_BYTES = 1 << 17
+"""Small inputs are cut into as many chunks as there are shuffle partitions, but not into smaller ones than this."""
 
 
 def deal(docs: DataFrame, columns: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """docs (doc_id, text and the columns named) with the number of their chunk, and how many chunks there are."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / chunk_bytes))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = max(chunk_bytes, min(MOST_BYTES, total // MOST_CHUNKS))
+    n = max(1, math.ceil(total / size), min(partitions, math.ceil(total / LEAST_BYTES)))
     key = F.xxhash64(F.col("doc_id"), F.lit(n))
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *(columns or [])), n
 
