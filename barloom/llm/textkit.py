@@ -124,11 +124,21 @@ def unpack(data: bytes, width: int) -> np.ndarray:
 
 
 def member(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key its place in sorted_keys, and whether it is there."""
+    """For each key its place in sorted_keys, and whether it is there (the place of a key that isn't there means nothing)."""
+    at, there = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
+        return at, there
+    bits = max(16, (16 * len(sorted_keys)).bit_length())
+    if bits <= 24 and len(keys) >> (bits - 3):
+        low = U64((1 << bits) - 1)
+        table = np.zeros(1 << bits, bool)
+        table[sorted_keys & low] = True
+        here = np.flatnonzero(table[keys & low])
+    else:
+        here = slice(None)
+    place = np.minimum(np.searchsorted(sorted_keys, keys[here]), len(sorted_keys) - 1)
+    at[here], there[here] = place, sorted_keys[place] == keys[here]
+    return at, there
 
 
 def heads(*sorted_columns: np.ndarray) -> np.ndarray:
