@@ -4,7 +4,8 @@ Each Spark task indexes the texts that it holds: for every test term, the sorted
 which it stands. A test window is looked up from its rarest term in the shard: that term's list,
 shifted by its offset in the window, is intersected with the shifted lists of the next rarer
 terms until all have been used (exact phrases), or each term must stand within `slop` words of
-its place (proximity matches). Text is read once and nothing is shuffled.
+its place (proximity matches). Windows with a term that the shard lacks are left out at once, and
+the hits of a run of documents are marked together. Text is read once and nothing is shuffled.
 
 Test windows are sent to all tasks in blocks of at most block_windows windows, a proven size;
 more windows mean more blocks, each asked of all rows.
