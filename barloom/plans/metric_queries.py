@@ -251,8 +251,10 @@ def m16(spark, folder):
     return M.overall(judged(spark, folder))
 
 
-# Resampling: portable draws are the same in SQL.
+# Resampling. REPS and portable draws belong to the queries with SQL, which only compare engines: their draws are no
+# random sample. The whole job, of all symbols and segments by hashed draws, has no SQL.
 REPS, SEED, BLOCK = 20, 42, 5
+REPLICATES, RISK_REPLICATES = 1000, 10_000
 FK = ["fold_id"]
 SERIES = SQL_TRADES + f""",
 ser AS (SELECT fold_id, row_number() OVER (PARTITION BY fold_id ORDER BY {ORDER}) - 1 AS pos, count(*) OVER (PARTITION BY fold_id) AS n, net_pnl_base / 10 AS v FROM trades WHERE symbol = 'A' AND segment = 'OOS'),
@@ -269,6 +271,13 @@ def series(spark, folder) -> DataFrame:
     return R.numbered(rows, FK, TRADE_ORDER, "r")
 
 
+WHOLE = ["symbol", "segment", "fold_id"]
+
+
+def whole_series(spark, folder) -> DataFrame:
+    return R.numbered(scaled(spark, folder), WHOLE, TRADE_ORDER, "r")
+
+
 PATHS = "pth AS (SELECT fold_id, rep, last(e ORDER BY i) AS final, least(0, min(e / p - 1)) AS mdd FROM (SELECT *, greatest(1, max(e) OVER (PARTITION BY fold_id, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p FROM (SELECT *, exp(sum(ln(1 + v)) OVER (PARTITION BY fold_id, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS e FROM drw)) GROUP BY fold_id, rep)"
 
 
@@ -286,20 +295,35 @@ def b1(spark, folder):
     return out.select("fold_id", *[F.round(c, 9).alias(c) for c in ("low", "high", "mean")])
 
 
+@query("B1_bootstrap_mean_whole")
+def b1_whole(spark, folder):
+    return R.mean_interval(R.iid(whole_series(spark, folder), WHOLE, REPLICATES, SEED), WHOLE)
+
+
 @query("B2_iid_paths", SERIES, _drawn(LCG.format("i", "n")), PATHS, sql=QUANTILES)
 def b2(spark, folder):
     return _quantiles(R.path_quantiles(R.path_metrics(R.iid(series(spark, folder), FK, REPS, SEED, portable=True), FK), FK))
 
 
+@query("B2_iid_paths_whole")
+def b2_whole(spark, folder):
+    return R.path_quantiles(R.path_metrics(R.iid(whole_series(spark, folder), WHOLE, REPLICATES, SEED), WHOLE), WHOLE)
+
+
 @query("B3_circular_blocks", SERIES, _drawn(f"({LCG.format(f'(i // {BLOCK})', 'n')} + i % {BLOCK}) % n"), PATHS, sql=QUANTILES)
 def b3(spark, folder):
     return _quantiles(R.path_quantiles(R.path_metrics(R.circular_blocks(series(spark, folder), FK, REPS, BLOCK, SEED, portable=True), FK), FK))
 
 
+@query("B3_circular_blocks_whole")
+def b3_whole(spark, folder):
+    return R.path_quantiles(R.path_metrics(R.circular_blocks(whole_series(spark, folder), WHOLE, REPLICATES, BLOCK, SEED), WHOLE), WHOLE)
+
+
 @query("B4_stressed_paths")
 def b4(spark, folder):
-    draws = R.stressed_draws(R.iid(series(spark, folder), FK, REPS, SEED), FK, 2.0, 0.001, SEED)
-    return R.path_quantiles(R.path_metrics(draws, FK), FK)
+    draws = R.stressed_draws(R.iid(whole_series(spark, folder), WHOLE, REPLICATES, SEED), WHOLE, 2.0, 0.001, SEED)
+    return R.path_quantiles(R.path_metrics(draws, WHOLE), WHOLE)
 
 
 ACCOUNT = SQL_TRADES + f""",
@@ -328,6 +352,21 @@ def b5(spark, folder):
     return out.agg(F.count(F.lit(1)).alias("replicates"), F.avg(F.col("violated_total").cast("double")).alias("total_rate"), F.avg(F.col("target_reached").cast("double")).alias("target_rate"), F.avg(passed.cast("double")).alias("pass_rate"), F.round(F.percentile("final_pnl", F.lit(0.5)), 4).alias("median_pnl"))
 
 
+@query("B5_resampled_rules_whole")
+def b5_whole(spark, folder):
+    """B5 for each segment, with hashed draws."""
+    from barloom.operators import account as K
+
+    key = ["segment"]
+    days = M.daily_pnl(X.trades(spark, folder), key, F.col("gross_pnl")).withColumn("pnl", F.round(F.col("pnl") * 1000, 6))
+    draws = R.plain_blocks(R.numbered(days, key, ["day"], "pnl"), key, REPLICATES, BLOCK, SEED)
+    dates = R.numbered(days.withColumn("own", F.col("day")), key, ["day"], "own").select(*key, F.col("pos").alias("i"), F.col("v").alias("day"))
+    rows = draws.join(dates.hint("shuffle_merge"), [*key, "i"])
+    out = K.replay(rows, [*key, "rep"], ["i"], F.col("day"), F.col("v"), RULES["daily_loss"], RULES["total_loss"], RULES["target"], RULES["min_days"])
+    passed = F.col("target_reached") & ~F.col("violated_daily")
+    return out.groupBy(*key).agg(F.count(F.lit(1)).alias("replicates"), F.avg(F.col("violated_total").cast("double")).alias("total_rate"), F.avg(F.col("target_reached").cast("double")).alias("target_rate"), F.avg(passed.cast("double")).alias("pass_rate"), F.percentile("final_pnl", F.lit(0.5)).alias("median_pnl"))
+
+
 def _by_day():
     from pyspark.sql import Window
 
@@ -337,11 +376,11 @@ def _by_day():
 @query("B6_stationary_bootstrap")
 def b6(spark, folder):
     rows = R.numbered(daily(spark, folder), KEYS, ["day"], "ret")
-    return R.series_risk(R.stationary(rows, KEYS, REPS, None, SEED), KEYS)
+    return R.series_risk(R.stationary(rows, KEYS, RISK_REPLICATES, None, SEED), KEYS)
 
 
 @query("B7_all_methods")
 def b7(spark, folder):
-    return R.all_methods(series(spark, folder), FK, REPS, BLOCK, SEED)
+    return R.all_methods(whole_series(spark, folder), WHOLE, REPLICATES, BLOCK, SEED)
 
 
