@@ -11,7 +11,7 @@ Test windows are sent to all tasks in blocks of at most block_windows windows, a
 more windows mean more blocks, each asked of all rows.
 
 Defined cases: null or empty texts have no words and no hits; an item shorter than the window is
-one window; items without words or with null text match nothing; null document ids are passed
+one window; items without words or with null text match nothing; items of null id are one item, counted last; null document ids are passed
 through; repeated rows and repeated items give their own results; other columns are ignored.
 """
 
@@ -51,7 +51,11 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
                         rows.append(h[s : min(b, s + window)].tobytes())
                 yield pa.record_batch({"item_id": pa.array(ids, pa.int64()), "terms": pa.array(rows, pa.binary())})
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").mapInArrow(work, "item_id long, terms binary")
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(work, "item_id long, terms binary")
+
+
+def _by_id(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
 
 
 class Probe:
@@ -61,7 +65,7 @@ class Probe:
         texts = sorted({t for _, t in rows})
         number = {t: k for k, t in enumerate(texts)}
         self.items: list[list[int]] = [[] for _ in texts]
-        for item, t in sorted(set(rows)):
+        for item, t in sorted(set(rows), key=lambda r: (*_by_id(r[0]), r[1])):
             self.items[number[t]].append(item)
         raw = [np.frombuffer(t, "<u8") for t in texts]
         self.terms = np.unique(np.concatenate(raw)) if raw else np.zeros(0, np.uint64)
@@ -164,8 +168,8 @@ def search(docs: DataFrame, rows: list[tuple[int, bytes]], slop: int | None = No
                     spans[d].append({"start": int(a - bounds[d]), "end": int(b - bounds[d]) + 1})
                 yield pa.record_batch({
                     "doc_id": batch["doc_id"][i:j].cast(pa.int64()), "copy": batch["copy"][i:j], "n_words": pa.array(np.diff(bounds)), "n_hit": pa.array(sums[bounds[1:]] - sums[bounds[:-1]]),
-                    "items": pa.array([sorted(x) for x in items], pa.list_(pa.int64())), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    "near_items": pa.array([sorted(x) for x in near], pa.list_(pa.int64())),
+                    "items": pa.array([sorted(x, key=_by_id) for x in items], pa.list_(pa.int64())), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    "near_items": pa.array([sorted(x, key=_by_id) for x in near], pa.list_(pa.int64())),
                 })
 
     copy = F.col("copy") if "copy" in docs.columns and dict(docs.dtypes)["copy"] == "bigint" else F.lit(0).cast("long")
