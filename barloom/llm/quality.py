@@ -2,8 +2,10 @@
 
 Base rules reject documents that are too short or repeat themselves. Of the others, Viterbi
 decoding labels each line that has a word; a document stays if enough of its words stand in
-content lines. The field is fitted on a bounded sample of labelled documents (a line takes its
-document's label), then applied to all rows in one pass without a shuffle.
+content lines. The field is fitted on a bounded sample of labelled documents, then applied to all
+rows in one pass without a shuffle. Labels tell only a document's quality, so the labels of its
+lines are latent: they are decoded again and again under the constraint that content holds the
+majority of words in good documents and not in bad ones, so a document may hold both kinds.
 
 Defined cases: null text counts as empty; an empty text has no words and fails the base rules;
 null ids are passed through; repeated rows are judged alike; columns besides doc_id and text are
@@ -25,8 +27,12 @@ from barloom.llm.textkit import _BYTES as BYTE_VALUES
 
 SAMPLE_DOCS = 2000
 """At most so many labelled documents are used to fit the field."""
-SAMPLE_LINES = 64
-"""Lines of a sampled document beyond these form further training sequences."""
+PIECE_LINES = 32
+"""A sampled document is cut into training sequences of so many lines; all its lines are used."""
+FIT_DOCS, FIT_BYTES = 250, 4 << 20
+"""Sampled documents and bytes of text in a task that fits the field."""
+ROUNDS, STEPS = 3, 60
+"""Turns of labelling lines and fitting; gradient steps in each."""
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -41,7 +47,7 @@ DIGIT = np.zeros(256, bool)
 DIGIT[0x30:0x3A] = True
 MARK = np.zeros(256, bool)
 MARK[list(b".,;:!?'\"()-")] = True
-FEATURES = 10
+FEATURES = 11
 
 
 def measure(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -80,12 +86,13 @@ def measure(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np
     stutter = np.zeros(len(starts), bool)
     stutter[1:] = hashes[1:] == hashes[:-1]
     stutter = total(stutter)
+    marked = total(symbols[ends] > symbols[starts])
     last = first + line_words
     x = np.empty((len(seg), FEATURES))
     for k, column in enumerate((
         np.ones(len(seg)), np.log1p(line_words) / 5, share(SYMBOL) * 5, share(UPPER) * 2, share(DIGIT) * 5, share(MARK) * 5, dup,
         (repeated[last] - repeated[first]) / np.maximum(line_words, 1), (stutter[last] - stutter[first]) / np.maximum(line_words, 1),
-        (points[stop] - points[begin]) / np.maximum(line_words, 1) / 10,
+        (points[stop] - points[begin]) / np.maximum(line_words, 1) / 10, (marked[last] - marked[first]) / np.maximum(line_words, 1),
     )):
         x[:, k] = column
     counts = {
@@ -119,68 +126,110 @@ def decode(x: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
     return labels
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], steps: int = 200, ridge: float = 1e-3) -> dict:
-    """Maximum conditional likelihood of the label sequences by gradient ascent (forward and backward sums over padded sequences)."""
-    model = {"emission": np.zeros((2, FEATURES)), "transition": np.zeros((2, 2)), "start": np.zeros(2), "trivial": True}
-    if len({y for _, y in sequences}) < 2:
-        return model
-    pieces = [(x[i : i + SAMPLE_LINES], y) for x, y in sequences for i in range(0, len(x), SAMPLE_LINES)]
-    long = max(len(x) for x, _ in pieces)
-    x, on = np.zeros((len(pieces), long, FEATURES)), np.zeros((len(pieces), long), bool)
-    y = np.array([label for _, label in pieces])
-    for k, (rows, _) in enumerate(pieces):
-        x[k, : len(rows)], on[k, : len(rows)] = rows, True
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))[:, None, None]
-    gold = np.zeros((len(pieces), long, 2))
-    gold[np.arange(len(pieces)), :, y] = on
-    gold_pairs = np.zeros((2, 2))
-    for label in (0, 1):
-        gold_pairs[label, label] = (weight[:, 0, 0] * (y == label) * (on.sum(1) - 1)).sum()
-    log_sum = lambda a, axis: (lambda m: m.squeeze(axis) + np.log(np.exp(a - m).sum(axis)))(a.max(axis, keepdims=True))
-    parts = [model["emission"], model["transition"], model["start"]]
+def expected(parts: list[np.ndarray], x: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward sums over padded sequences: log-normaliser, label marginals, and marginals of neighbouring labels."""
+    emission, transition, start = parts
+    long = x.shape[1]
+    e = np.einsum("nlf,cf->lnc", x, emission)
+    on = on.T[:, :, None]
+    forward, backward = np.zeros_like(e), np.zeros_like(e)
+    forward[0] = start + e[0]
+    for t in range(1, long):
+        moved = np.logaddexp(forward[t - 1, :, :1] + transition[0], forward[t - 1, :, 1:] + transition[1]) + e[t]
+        forward[t] = np.where(on[t], moved, forward[t - 1])
+    for t in range(long - 2, -1, -1):
+        ahead = e[t + 1] + backward[t + 1]
+        backward[t] = np.where(on[t + 1], np.logaddexp(ahead[:, :1] + transition[:, 0], ahead[:, 1:] + transition[:, 1]), 0)
+    z = np.logaddexp(forward[-1, :, 0], forward[-1, :, 1])
+    seen = np.exp(forward + backward - z[:, None]) * on
+    pairs = forward[:-1, :, :, None] + transition + (e[1:] + backward[1:])[:, :, None, :] - z[:, None, None]
+    return z, seen.swapaxes(0, 1), np.exp(np.where(on[1:, :, :, None], pairs, -np.inf)).swapaxes(0, 1)
+
+
+def fit(sequences: list[tuple[np.ndarray, np.ndarray, float]], parts: list[np.ndarray] | None = None, steps: int = STEPS, ridge: float = 1e-3, chained: bool = True) -> list[np.ndarray]:
+    """Maximum conditional likelihood of label sequences (features, labels, weight) by gradient ascent; without chained, of emissions alone."""
+    pieces = [(x[i : i + PIECE_LINES], y[i : i + PIECE_LINES], w) for x, y, w in sequences for i in range(0, len(x), PIECE_LINES)]
+    long = max(len(x) for x, _, _ in pieces)
+    x, on, y = np.zeros((len(pieces), long, FEATURES)), np.zeros((len(pieces), long), bool), np.zeros((len(pieces), long), np.int64)
+    for k, (rows, labels, _) in enumerate(pieces):
+        x[k, : len(rows)], on[k, : len(rows)], y[k, : len(rows)] = rows, True, labels
+    weight = np.array([w for _, _, w in pieces])[:, None, None]
+    gold = np.eye(2)[y] * on[:, :, None]
+    gold_pairs = np.einsum("nlc,nld->cd", gold[:, :-1] * weight, gold[:, 1:])
+    parts = [p.copy() for p in parts or (np.zeros((2, FEATURES)), np.zeros((2, 2)), np.zeros(2))]
     memory = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
     for step in range(1, steps + 1):
-        emission, transition, start = parts
-        e = np.einsum("nlf,cf->nlc", x, emission)
-        forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[:, 0] = start + e[:, 0]
-        for t in range(1, long):
-            moved = log_sum(forward[:, t - 1, :, None] + transition, 1) + e[:, t]
-            forward[:, t] = np.where(on[:, t, None], moved, forward[:, t - 1])
-        for t in range(long - 2, -1, -1):
-            moved = log_sum(transition + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(on[:, t + 1, None], moved, 0)
-        z = log_sum(forward[:, -1], 1)[:, None, None]
-        seen = np.exp(forward + backward - z) * on[:, :, None]
-        pairs = forward[:, :-1, :, None] + transition + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - z[..., None]
-        pairs = (np.exp(pairs) * on[:, 1:, None, None] * weight[..., None]).sum((0, 1))
-        slope = [np.einsum("nlc,nlf->cf", (gold - seen) * weight, x), gold_pairs - pairs, ((gold - seen)[:, 0] * weight[:, 0]).sum(0)]
+        _, seen, pairs = expected(parts, x, on)
+        slope = [np.einsum("nlc,nlf->cf", (gold - seen) * weight, x), gold_pairs - (pairs * weight[..., None]).sum((0, 1)), ((gold - seen)[:, 0] * weight[:, 0]).sum(0)]
         for k, (g, (m, v)) in enumerate(zip(slope, memory, strict=True)):
+            if k and not chained:
+                continue
             g = g - ridge * parts[k]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             parts[k] = parts[k] + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {"emission": parts[0], "transition": parts[1], "start": parts[2], "trivial": False}
+    return parts
+
+
+def relabel(x: np.ndarray, n_words: np.ndarray, good: bool, parts: list[np.ndarray]) -> np.ndarray:
+    """The likeliest labels of a document's lines among those that give content the majority of words in a good document, and not in a bad one."""
+    model = {"emission": parts[0].copy(), "transition": parts[1], "start": parts[2]}
+    for push in (0, 0.5, 1, 2, 4, 8, 16):
+        model["emission"][:, 0] = parts[0][:, 0] + ([0, push] if good else [push, 0])
+        labels = decode(x, np.array([0, len(x)]), model)
+        if ((n_words * labels).sum() >= CONTENT_SHARE * n_words.sum()) == good:
+            return labels.astype(np.int64)
+    return np.full(len(x), int(good))
+
+
+def fit_documents(documents: list[tuple[np.ndarray, np.ndarray, bool]], rounds: int = ROUNDS) -> list[np.ndarray] | None:
+    """Fit the field on documents (features and words of each line, quality), whose line labels are latent.
+
+    Lines start with their document's label and fit the emissions alone; then the labels are
+    decoded anew under the document's quality (relabel) and the whole field is fitted to them, in turns.
+    """
+    n = [max(1, sum(good == k for _, _, good in documents)) for k in (False, True)]
+    if not documents or min(sum(good == k for _, _, good in documents) for k in (False, True)) == 0:
+        return None
+    weights = [0.5 / n[good] for _, _, good in documents]
+    labels = [np.full(len(x), int(good)) for x, _, good in documents]
+    parts = fit([(x, y, w) for (x, _, _), y, w in zip(documents, labels, weights, strict=True)], chained=False)
+    for _ in range(rounds):
+        labels = [relabel(x, n_words, good, parts) for x, n_words, good in documents]
+        parts = fit([(x, y, w) for (x, _, _), y, w in zip(documents, labels, weights, strict=True)], parts)
+    return parts
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Fit the field on at most sample_docs labelled documents, chosen by a hash of their id."""
+    """Fit the field on at most sample_docs labelled documents, chosen by a hash of their id.
+
+    The sample is dealt into shards of about FIT_DOCS documents and FIT_BYTES of text at most. Each is
+    fitted in a task of its own, and the parameters (28 numbers a shard) are averaged by numbers of documents.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = texts_of(batch["text"])
-            for i, j in runs(off):
-                _, x, _, first = measure(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                body = [x[a : min(b, a + 16 * SAMPLE_LINES)].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.record_batch({"doc_id": batch["doc_id"][i:j], "quality": batch["quality"][i:j], "x": pa.array(body, pa.binary())})
-
-    rows = picked.mapInArrow(features, "doc_id long, quality int, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    sequences = [(np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(float), int(r.quality == 1)) for r in rows if len(r.x)]
-    return fit(sequences)
+    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).persist()
+    n, size = picked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-n // FIT_DOCS), -(-size // FIT_BYTES))
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        buf, off = texts_of(table["text"])
+        quality, documents = table["quality"].to_pylist(), []
+        for i, j in runs(off):
+            _, x, n_words, first = measure(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            documents += [(x[a:b], n_words[a:b], q == 1) for a, b, q in zip(first[:-1], first[1:], quality[i:j], strict=True) if a < b]
+        parts = fit_documents(documents)
+        rows = [] if parts is None else [np.concatenate([p.ravel() for p in parts]).tolist()]
+        return pa.table({"n": pa.array([len(documents)] * len(rows), pa.int64()), "parts": pa.array(rows, pa.list_(pa.float64()))})
+
+    dealt = picked.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    fitted = sorted((r.n, r.parts) for r in dealt.groupBy("shard").applyInArrow(work, "n long, parts array<double>").collect())
+    picked.unpersist()
+    if not fitted:
+        return {"emission": np.zeros((2, FEATURES)), "transition": np.zeros((2, 2)), "start": np.zeros(2), "trivial": True}
+    mean = np.average([p for _, p in fitted], axis=0, weights=[n for n, _ in fitted])
+    return {"emission": mean[: 2 * FEATURES].reshape(2, FEATURES), "transition": mean[2 * FEATURES : 2 * FEATURES + 4].reshape(2, 2), "start": mean[2 * FEATURES + 4 :], "trivial": False}
 
 
 def verdicts(buf: np.ndarray, off: np.ndarray, model: dict) -> dict[str, np.ndarray]:

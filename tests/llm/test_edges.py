@@ -139,22 +139,6 @@ def brute_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
 
-def test_quality_counts_and_decoding(spark, odd, empty, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    labels = spark.read.parquet(f"{data}/labels.parquet")
-    model = quality.train(docs, labels)
-    for frame in (odd, docs):
-        for r, q in zip(frame.orderBy("doc_id", "text").collect(), quality.score_documents(frame, model).join(frame.select("doc_id", "text").distinct(), "doc_id").orderBy("doc_id", "text").collect(), strict=False):
-            if r.doc_id is not None and r.doc_id == q.doc_id:
-                assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words, q.base_failed) == brute_counts(r.text), r.doc_id
-                assert not (q.base_failed and q.kept)
-    kept = quality.filter_documents(odd, model)
-    assert kept.columns == odd.columns and quality.score_documents(empty, model).count() == 0
-    assert quality.train(docs, labels.limit(0))["trivial"]
-    known = quality.score_documents(docs, model).join(labels, "doc_id").where("not base_failed and quality is not null").collect()
-    assert np.mean([r.kept == (r.quality == 1) for r in known]) > 0.95
-
-
 def test_viterbi_is_the_best_path():
     from itertools import product
 
