@@ -1,6 +1,7 @@
 """Asking all documents about a key, with one request for each key and group of documents.
 
-Documents are dealt into chunks by a hash of their id. A chunk sends each distinct key once,
+Documents are dealt into chunks by a hash of their id and text, so rows of one id or of null ids
+spread as well; documents of one id may lie in several chunks. A chunk sends each distinct key once,
 with what it knows about it, to the key's bucket; buckets answer chunks. However many rows hold
 a key, a bucket gets at most one request for it from each chunk, so no key makes a hot task.
 The texts cross the network once: later steps reuse that exchange.
@@ -35,7 +36,7 @@ def deal(docs: DataFrame, columns: list[str] | None = None, chunk_bytes: int = C
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = max(chunk_bytes, min(MOST_BYTES, total // MOST_CHUNKS))
     n = max(1, math.ceil(total / size), min(partitions, math.ceil(total / LEAST_BYTES)))
-    key = F.xxhash64(F.col("doc_id"), F.lit(n))
+    key = F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(n))
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *(columns or [])), n
 
 

@@ -84,16 +84,51 @@ def test_clusters_larger_than_a_task(spark):
 
 
 def test_parts_bring_all_linked_sets_together():
+    """Any two linked sets share a strong key in a slot of each where they hold the number of keys needed."""
     r = np.random.default_rng(5)
-    for _ in range(400):
-        n = int(r.integers(2, 160))
-        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        drop = int(r.integers(0, max(1, n // 10) + 1))
-        b = np.unique(np.r_[a[drop:], r.integers(0, 2**63, int(r.integers(0, max(1, n // 12) + 1))).astype(np.uint64)])
-        if not len(b) or np.array_equal(a, b) or not jaccard._linked(a, b, 90):
-            continue
-        key, doc = jaccard.part_keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
-        assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
+    for percent in (90, 80):
+        tried = 0
+        for _ in range(1500):
+            n = int(r.choice([r.integers(2, 12), r.integers(2, 160)]))
+            a = r.permutation(r.integers(0, 2**64 - 1, n, dtype=np.uint64))
+            drop = int(r.integers(0, n * (100 - percent) // 80 + 2))
+            b = np.unique(np.r_[a[drop:], r.integers(0, 2**64 - 1, int(r.integers(0, n * (100 - percent) // 80 + 2)), dtype=np.uint64)])
+            a = np.unique(a)
+            if not len(b) or np.array_equal(a, b) or not jaccard._linked(a, b, percent):
+                continue
+            tried += 1
+            key, slot, strong, need = jaccard.part_keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), percent)
+            mine, yours = set(key[slot < 2].tolist()), set(key[slot >= 2].tolist())
+            good = []
+            for own, other in ((slot < 2, yours), (slot >= 2, mine)):
+                hit = own & np.array([k in other for k in key.tolist()])
+                able = np.bincount(slot[hit], minlength=len(need)) >= need
+                good.append(set(key[hit & strong & able[slot]].tolist()))
+            assert good[0] & good[1]
+        assert tried > 200
+
+
+def test_many_unlinked_sets_beside_a_hub(spark):
+    """Sets that the hub is not linked to, in many tiles, still find each other and the rest."""
+    r, rows = random.Random(11), []
+    base = ["v%d" % i for i in range(150)]
+    for i in range(90):
+        text = list(base)
+        for at in range(i % 6 * 20, i % 6 * 20 + r.randint(0, 2)):
+            text[at] = "z%d" % r.randrange(1000)
+        for at in range(i // 15 * 4):
+            text[at] = "chain%d" % at
+        rows.append((3000 + i, " ".join(text), None, None))
+    assert got(spark.createDataFrame(rows, SCHEMA), task_shingles=1500) == brute(rows)
+
+
+def test_null_ids_spread_over_chunks(spark):
+    from barloom.llm import chunks
+
+    frame = spark.range(4000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "concat('text ', id, repeat(' word', 60)) as text")
+    texts, n = chunks.deal(frame, chunk_bytes=1 << 17)
+    sizes = [r["count"] for r in texts.groupBy("chunk").count().collect()]
+    assert len(sizes) == n > 4 and max(sizes) < 2 * 4000 / n
 
 
 def test_keep_one_and_empty(spark):
