@@ -147,7 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 place, there = member(key, own)
                 # Keys that agree in 64 bits may differ in the other 32: step on to the equal pair.
                 place, at, own, rest = np.searchsorted(key, own[there]), at[there], own[there], rest[there]
-                for _ in range(8):
+                while True:
                     step = (place < len(key)) & (key[np.minimum(place, len(key) - 1)] == own) & (more[np.minimum(place, len(key) - 1)] < rest)
                     if not step.any():
                         break
