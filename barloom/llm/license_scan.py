@@ -1,18 +1,26 @@
-"""License scans: lines and whole texts against licence templates by Dice coefficient over word bigrams, in DataFrame functions only.
+"""License scans: windows of words against licence templates by Dice coefficient over word bigrams, in DataFrame functions only.
 
-Texts are lower-cased, and everything but letters and digits counts as a gap. A unit (a line, or
-the whole text) is compared with a template if their numbers of distinct bigrams allow the
-threshold at all: 2 * least / (a + b) >= t. Template sizes are spread over all sizes that they allow and met by an
-equality join, so a pair outside the bounds is never formed. Templates are a short fixed list,
-so their table may be broadcast.
+Texts are lower-cased, and everything but letters and digits counts as a gap, so it makes no
+difference how a notice is wrapped. A window has as many words as its template (the whole text, if
+that is shorter) and begins where an anchor lies at the same offset as in the template. Anchors
+are bigrams with an anchor word. The size bounds prune by them: a window of b bigrams that
+reaches the threshold with a template of a bigrams shares at least t * a / (2 - t) with it, and a
+template has more anchors than it may miss; so a text without any anchor word is not even split
+into words, and a template is only compared where one of its anchors stands. Templates are a short
+fixed list, so tables of their bigrams may be broadcast.
 
-Defined cases: null or empty texts and units of fewer than two words match nothing; ties of a
-licence's score keep one row; repeated rows are counted together by id; a null id is an id of its
-own; other columns are ignored; an empty table gives an empty result.
+Defined cases: null or empty texts and texts of fewer than two words match nothing; ties of a
+licence's score keep one row; repeated rows count once; texts of one id are counted together; a
+null id is an id of its own; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Sequence
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +28,13 @@ THRESHOLD = 0.8
 MAX_TEMPLATES = 2000
 """More templates than this are refused, so that their table stays small."""
 
-# Short notices by which texts name their licence.
+# Words that are too common in any text to be anchors.
+COMMON = frozenset(
+    "a all an and any are as at author be but by can conditions copy event for free from general granted has have in including is it may must no not notice of on or other out person program"
+    " provided public purpose released source state such terms text that the this to under use used version we will with without work works you your if into either following forms act law code anyone extent particular subject shall contract copies 0 1 2 3 4".split()
+)
+
+# Notices by which texts name their licence, and the texts of short licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -43,46 +57,115 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All-Rights-Reserved", "All rights reserved."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
 )
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring words."""
-    words = F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\x{80}-\x{10ffff}]+"), lambda w: w != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+def _words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def anchors(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[str], list[tuple[str, str, int, int]]]:
+    """Anchor words, and for every template its anchors: (template's words, bigram, offset, number of words).
+
+    Words are taken one after another, each time the one that adds most to the anchors that
+    templates lack, until each has one more than the bigrams that a window may miss.
+    """
+    told = [_words(notice) for _, notice in templates]
+    pairs = [Counter(zip(w, w[1:], strict=False)) for w in told]
+    lack = [len(p) - ceil(len(p) * threshold / (2 - threshold) - 1e-9) + 1 if p else 0 for p in pairs]
+    chosen: list[str] = []
+    for common in (False, True):
+        while True:
+            gain: Counter[str] = Counter()
+            for p, n in zip(pairs, lack, strict=True):
+                left = n - sum(a in chosen or b in chosen for a, b in p)
+                if left > 0:
+                    own = Counter(w for a, b in p if a not in chosen and b not in chosen for w in {a, b} if common or w not in COMMON)
+                    gain.update({w: min(k, left) for w, k in own.items()})
+            if not gain:
+                break
+            chosen.append(min(gain, key=lambda w: (-gain[w], w)))
+    rows = {(" ".join(w), f"{a} {b}", k, len(w)) for w in told for k, (a, b) in enumerate(zip(w, w[1:], strict=False)) if a in chosen or b in chosen}
+    return sorted(chosen), sorted(rows)
+
+
+def split(text: Column) -> Column:
+    return F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\x{80}-\x{10ffff}]+"), lambda w: w != "")
+
+
+def bigrams(words: Column) -> Column:
+    """Pairs of neighbouring words."""
+    return F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
 
 
-def template_table(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Each template under every size (number of bigrams) that a match may have."""
+def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, score (the best), n_units (windows that match)."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"{len(templates)} templates, at most {MAX_TEMPLATES}")
-    rows = docs.sparkSession.createDataFrame(list(templates), "license string, notice string").select("license", bigrams(F.col("notice")).alias("own")).where("size(own) > 0")
-    least, most = F.ceil(F.size("own") * threshold / (2 - threshold) - 1e-9), F.floor(F.size("own") * (2 - threshold) / threshold + 1e-9)
-    return rows.select("license", "own", F.explode(F.sequence(F.greatest(least, F.lit(1)).cast("int"), most.cast("int"))).alias("n"))
-
-
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, score (the best), n_units (lines or whole texts that match)."""
-    known = template_table(docs, templates, threshold)
-    units = F.array_union(F.split("text", "\n", -1), F.array("text"))
-    shape = F.filter(F.transform(units, bigrams), lambda b: F.size(b) > 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(shape).alias("grams")).withColumn("n", F.size("grams"))
-    pairs = rows.join(F.broadcast(known), "n")
-    pairs = pairs.withColumn("score", 2.0 * F.size(F.array_intersect("grams", "own")) / (F.size("grams") + F.size("own"))).where(F.col("score") >= threshold)
+    spark = docs.sparkSession
+    found, rows = anchors(templates, threshold)
+    known = spark.createDataFrame([(" ".join(_words(notice)), license) for license, notice in templates], "template string, license string").where("template like '% %'").distinct()
+    known = known.groupBy("template").agg(F.array_sort(F.collect_set("license")).alias("licenses")).withColumn("own", F.array_distinct(bigrams(F.split("template", " "))))
+    table = spark.createDataFrame(rows, "template string, gram string, off int, n_words int")
+    part = "|".join(f"{w}(?<![a-z0-9]{w})(?![a-z0-9])" for w in found)
+    able = F.col("text").rlike(f"(?i)(?=[{''.join(sorted({w[0] for w in found}))}])(?:{part})") if found else F.lit(False)
+    key = [F.xxhash64("text").alias("k0"), F.xxhash64(F.lit(1), "text").alias("k1")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).where(able).select("doc_id", "k0", "k1", split(F.col("text")).alias("words")).dropDuplicates(["doc_id", "k0", "k1"])
+    placed = texts.select("doc_id", "k0", "k1", F.size("words").alias("size"), F.posexplode(bigrams(F.col("words"))).alias("at", "gram")).join(F.broadcast(table), "gram")
+    placed = placed.select("doc_id", "k0", "k1", "template", "n_words", F.greatest(F.least(F.col("at") - F.col("off"), F.col("size") - F.col("n_words")), F.lit(0)).alias("start")).distinct()
+    windows = placed.withColumnsRenamed({"doc_id": "d", "k0": "a", "k1": "b"}).hint("shuffle_hash")
+    same = texts["doc_id"].eqNullSafe(windows["d"]) & (texts["k0"] == windows["a"]) & (texts["k1"] == windows["b"])
+    units = windows.join(texts, same).select("doc_id", "k0", "k1", "template", "start", F.array_distinct(bigrams(F.slice("words", F.col("start") + 1, F.col("n_words")))).alias("grams"))
+    pairs = units.join(F.broadcast(known), "template").withColumn("score", 2.0 * F.size(F.array_intersect("grams", "own")) / (F.size("grams") + F.size("own"))).where(F.col("score") >= threshold)
+    pairs = pairs.select("doc_id", "k0", "k1", "start", "score", F.explode("licenses").alias("license")).groupBy("doc_id", "license", "k0", "k1", "start").agg(F.max("score").alias("score"))
     return pairs.groupBy("doc_id", "license").agg(F.round(F.max("score"), 6).alias("score"), F.count(F.lit(1)).alias("n_units"))
 
 
 def oracle() -> str:
     """The same scan in DuckDB's SQL."""
-    rows = ", ".join("('{}', '{}')".format(name, notice.replace("'", "''")) for name, notice in TEMPLATES)
-    grams = (
-        "list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))"
-        " AS g FROM (SELECT *, list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10ffff}}]+'), lambda x: x <> '') AS w FROM {})"
-    )
+    quote = lambda x: x.replace("'", "''")
+    _, rows = anchors()
+    known = ", ".join(sorted({f"('{name}', '{quote(' '.join(_words(notice)))}')" for name, notice in TEMPLATES}))
+    table = ", ".join(f"('{quote(t)}', '{quote(g)}', {off}, {n})" for t, g, off, n in rows)
+    grams = "list_distinct(list_transform(generate_series(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
-WITH t AS (SELECT license, {grams.format("notice", f"(VALUES {rows}) v(license, notice)")}),
-u0 AS (SELECT doc_id, unnest(list_distinct(list_append(string_split(text, chr(10)), text))) AS unit FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, {grams.format("unit", "u0")}),
-s AS (SELECT doc_id, license, 2.0 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS score FROM u, t WHERE len(u.g) > 0 AND len(u.g) * 3 >= len(t.g) * 2 AND len(u.g) * 2 <= len(t.g) * 3)
-SELECT doc_id, license, round(CAST(max(score) AS DOUBLE), 6) AS score, CAST(count(*) AS BIGINT) AS n_units FROM s WHERE score >= {THRESHOLD} GROUP BY doc_id, license"""
+WITH t AS (SELECT license, template, {grams.format("string_split(template, ' ')")} AS own FROM (VALUES {known}) v(license, template)),
+k AS (SELECT * FROM (VALUES {table}) v(template, gram, off, n_words)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10ffff}}]+'), lambda x: x <> '') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+g AS (SELECT r, unnest(generate_series(1, len(w) - 1)) AS i, len(w) AS size, w FROM d WHERE len(w) > 1),
+s AS (SELECT DISTINCT r, template, n_words, greatest(least(i - 1 - off, size - n_words), 0) AS start FROM (SELECT r, i, size, w[i] || ' ' || w[i + 1] AS gram FROM g) JOIN k USING (gram)),
+u AS (SELECT s.r, d.doc_id, template, start, d.w[start + 1 : start + n_words] AS x FROM s JOIN d USING (r)),
+b AS (SELECT r, doc_id, template, start, {grams.format("x")} AS grams FROM u),
+m AS (SELECT r, doc_id, license, start, max(2.0 * len(list_intersect(grams, own)) / (len(grams) + len(own))) AS score FROM b JOIN t USING (template) GROUP BY ALL)
+SELECT doc_id, license, round(CAST(max(score) AS DOUBLE), 6) AS score, CAST(count(*) AS BIGINT) AS n_units FROM m WHERE score >= {THRESHOLD} GROUP BY doc_id, license"""
