@@ -1,40 +1,49 @@
-"""Benchmark decontamination with a positional inverted index, sharded by document.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-Each Spark task indexes the texts that it holds: for every test term, the sorted positions at
-which it stands. A test window is looked up from its rarest term in the shard: that term's list,
-shifted by its offset in the window, is intersected with the shifted lists of the next rarer
-terms until all have been used (exact phrases), or each term must stand within `slop` words of
-its place (proximity matches). Windows with a term that the shard lacks are left out at once, and
-the hits of a run of documents are marked together. Text is read once and nothing is shuffled.
+build_index() cuts the documents into shards (runs of documents of about 4 MB) and writes, as a
+table, one row for each term of a shard with the sorted positions at which it stands, and one row
+for each shard with its documents. The index holds all terms of all documents, whatever the
+benchmark is, and can be asked again.
 
-Test windows are sent to all tasks in blocks of at most block_windows windows, a proven size;
-more windows mean more blocks, each asked of all rows.
+find() asks it by joins. Test items give windows of terms; the frequencies of their terms are
+summed over the index, and a window that has a term without postings is dropped. A window meets
+only the shards that hold its rarest term. There its lists are intersected from the rarest term
+on, each shifted by its offset in the window, until all terms are used (exact phrases); or, for
+proximity matches, there must be a start from which every term stands within `slop` words of its
+place. Neither documents, postings nor windows pass through the driver.
 
 Defined cases: null or empty texts have no words and no hits; an item shorter than the window is
-one window; items without words or with null text match nothing; items of null id are one item, counted last; null document ids are passed
-through; repeated rows and repeated items give their own results; other columns are ignored.
+one window; items without words or with null text match nothing; items of null id are one item,
+counted last; null document ids are passed through; repeated rows and repeated items give their
+own results; other columns are ignored, and kept by clean_documents(); empty tables give no hits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.textkit import LOWER, NOT_TERM, cover, heads, member, runs, texts_of, word_hash, words
+from barloom.llm.session import shared_folder
+from barloom.llm.textkit import LOWER, NOT_TERM, cover, heads, runs, texts_of, word_hash, words
 
 WINDOW = 10
-BLOCK_WINDOWS = 200_000
-"""Windows sent to a task at once: at most 16 MB of terms."""
+SHARD_BYTES = 4 << 20
+SMALL_ROWS = 1_000_000
+"""Terms or documents, of 40 bytes at most, are broadcast if they have been counted to be no more than this."""
 
-HITS = "doc_id long, copy long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>, near_items array<long>"
+INDEX = "kind int, shard long, term long, n long, body binary"
+"""kind 0: a shard's documents, n of them (body: id, whether it is null, two marks of the text, first word; then the number of words). kind 1: a term's n positions in the shard."""
+HITS = "doc_id long, mark array<long>, shard long, row int, n_words long, n_hit long, spans array<struct<start:long,end:long>>, windows array<string>, near array<string>"
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each item's windows as arrays of terms' fingerprints: item_id, terms binary (8 bytes a term)."""
+    """Each item's windows as arrays of terms' fingerprints: item_id, terms."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,166 +51,168 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
             for i, j in runs(off):
                 part = LOWER[buf[off[i] : off[j]]]
                 starts, ends, bounds = words(part, off[i : j + 1] - off[i], NOT_TERM)
-                h = word_hash(part, starts, ends)
-                ids, rows = [], []
-                for k in range(j - i):
-                    a, b = int(bounds[k]), int(bounds[k + 1])
-                    for s in range(a, max(a + 1, b - window + 1)) if b > a else ():
-                        ids.append(batch["item_id"][i + k].as_py())
-                        rows.append(h[s : min(b, s + window)].tobytes())
-                yield pa.record_batch({"item_id": pa.array(ids, pa.int64()), "terms": pa.array(rows, pa.binary())})
-
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(work, "item_id long, terms binary")
-
-
-def _by_id(item: int | None) -> tuple[bool, int]:
-    return item is None, item or 0
-
-
-class Probe:
-    """A block of test windows, laid out for lookups."""
-
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        texts = sorted({t for _, t in rows})
-        number = {t: k for k, t in enumerate(texts)}
-        self.items: list[list[int]] = [[] for _ in texts]
-        for item, t in sorted(set(rows), key=lambda r: (*_by_id(r[0]), r[1])):
-            self.items[number[t]].append(item)
-        raw = [np.frombuffer(t, "<u8") for t in texts]
-        self.terms = np.unique(np.concatenate(raw)) if raw else np.zeros(0, np.uint64)
-        self.windows = [np.searchsorted(self.terms, t) for t in raw]
-
-
-def shard_index(ids: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of test terms, list by list, and where each term's list begins. ids: the term at each position, -1 if none."""
-    at = np.flatnonzero(ids >= 0)
-    order = np.argsort(ids[at], kind="stable")
-    return at[order], np.searchsorted(ids[at][order], np.arange(n_terms + 1))
-
-
-def present(count: np.ndarray, windows: list[np.ndarray]) -> list[int]:
-    """Windows all of whose terms have a list in the shard."""
-    if not windows:
-        return []
-    sizes = np.array([len(w) for w in windows])
-    rarest = np.minimum.reduceat(count[np.concatenate(windows)], np.cumsum(sizes) - sizes)
-    return np.flatnonzero(rarest > 0).tolist()
-
-
-def phrases(ids: np.ndarray, doc_of: np.ndarray, lists: np.ndarray, first: np.ndarray, windows: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(window, starts) of all exact occurrences inside one document."""
-    count = np.diff(first)
-    n = len(ids)
-    for k in present(count, windows):
-        terms = windows[k]
-        rarity = count[terms]
-        by_rarity = np.argsort(rarity, kind="stable")
-        off = int(by_rarity[0])
-        starts = lists[first[terms[off]] : first[terms[off] + 1]] - off
-        starts = starts[(starts >= 0) & (starts + len(terms) <= n)]
-        for off in by_rarity[1:]:
-            if not len(starts):
-                break
-            starts = starts[ids[starts + off] == terms[off]]
-        starts = starts[doc_of[starts] == doc_of[starts + len(terms) - 1]] if len(starts) else starts
-        if len(starts):
-            yield k, starts
-
-
-def proximity(bounds: np.ndarray, lists: np.ndarray, first: np.ndarray, windows: list[np.ndarray], slop: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(window, documents) where each term stands within slop words of its place beside the rarest term."""
-    count = np.diff(first)
-    for k in present(count, windows):
-        terms = windows[k]
-        rarity = count[terms]
-        by_rarity = np.argsort(rarity, kind="stable")
-        lead = int(by_rarity[0])
-        starts = lists[first[terms[lead]] : first[terms[lead] + 1]] - lead
-        doc = np.searchsorted(bounds, starts + lead, "right") - 1
-        for off in by_rarity[1:]:
-            own = lists[first[terms[off]] : first[terms[off] + 1]]
-            low = np.maximum(starts + off - slop, bounds[doc])
-            high = np.minimum(starts + off + slop + 1, bounds[doc + 1])
-            found = np.searchsorted(own, high) > np.searchsorted(own, low)
-            starts, doc = starts[found], doc[found]
-        if len(starts):
-            yield k, np.unique(doc)
+                h = word_hash(part, starts, ends).view(np.int64)
+                count = np.diff(bounds)
+                size = np.minimum(count, window)
+                n = np.where(count > 0, count - size + 1, 0)
+                item = np.repeat(np.arange(j - i), n)
+                first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + bounds[item]
+                at = np.repeat(first, size[item]) + np.arange(size[item].sum()) - np.repeat(np.cumsum(size[item]) - size[item], size[item])
+                cut = pa.array(np.r_[0, np.cumsum(size[item])].astype(np.int32))
+                yield pa.record_batch({"item_id": batch["item_id"].take(pa.array(item + i)), "terms": pa.ListArray.from_arrays(cut, pa.array(h[at]))})
+
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(work, "item_id long, terms array<long>")
 
 
-def search(docs: DataFrame, rows: list[tuple[int, bytes]], slop: int | None = None) -> DataFrame:
-    """Hits of one block of windows in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
-    kept: list[Probe] = []
+def build_index(docs: DataFrame, place: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write the index of docs (doc_id, text) to place and read it again."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(Probe(shared.value))
-        probe = kept[0]
+        shard = TaskContext.get().partitionId() << 32
         for batch in batches:
             buf, off = texts_of(batch["text"])
-            for i, j in runs(off, 4 << 20):
+            for i, j in runs(off, shard_bytes):
                 part = LOWER[buf[off[i] : off[j]]]
                 starts, ends, bounds = words(part, off[i : j + 1] - off[i], NOT_TERM)
-                place, known = member(probe.terms, word_hash(part, starts, ends))
-                ids = np.where(known, place, -1)
-                doc_of = np.repeat(np.arange(j - i), np.diff(bounds))
-                lists, first = shard_index(ids, len(probe.terms))
-                found, sizes = [], []
-                items: list[set] = [set() for _ in range(j - i)]
-                near: list[set] = [set() for _ in range(j - i)]
-                for k, at in phrases(ids, doc_of, lists, first, probe.windows):
-                    found.append(at)
-                    sizes.append(np.full(len(at), len(probe.windows[k])))
-                    for d in np.unique(doc_of[at]).tolist():
-                        items[d].update(probe.items[k])
-                hit = cover(len(ids), np.concatenate(found), np.concatenate(sizes)) if found else np.zeros(len(ids), bool)
-                if slop is not None:
-                    for k, close in proximity(bounds, lists, first, probe.windows, slop):
-                        for d in close.tolist():
-                            near[d].update(probe.items[k])
-                sums = np.r_[0, np.cumsum(hit)]
-                spans: list[list] = [[] for _ in range(j - i)]
-                lit = np.flatnonzero(hit)
-                head = heads(doc_of[lit], lit - np.arange(len(lit))) if len(lit) else lit
-                for a, b in zip(lit[head], lit[np.r_[head[1:], len(lit)] - 1] if len(lit) else lit, strict=True):
-                    d = int(doc_of[a])
-                    spans[d].append({"start": int(a - bounds[d]), "end": int(b - bounds[d]) + 1})
+                h = word_hash(part, starts, ends)
+                order = np.argsort(h, kind="stable")
+                first = heads(h[order])
+                cut = np.r_[first, len(order)]
+                positions = pa.py_buffer(order.astype("<i4").tobytes())
+                lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((4 * cut).astype(np.int32).tobytes()), positions])
+                ids = batch["doc_id"][i:j].cast(pa.int64())
+                meta = np.stack([ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), batch["m0"][i:j].to_numpy(), batch["m1"][i:j].to_numpy(), bounds[:-1]])
                 yield pa.record_batch({
-                    "doc_id": batch["doc_id"][i:j].cast(pa.int64()), "copy": batch["copy"][i:j], "n_words": pa.array(np.diff(bounds)), "n_hit": pa.array(sums[bounds[1:]] - sums[bounds[:-1]]),
-                    "items": pa.array([sorted(x, key=_by_id) for x in items], pa.list_(pa.int64())), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    "near_items": pa.array([sorted(x, key=_by_id) for x in near], pa.list_(pa.int64())),
+                    "kind": pa.array([0], pa.int32()), "shard": pa.array([shard]), "term": pa.array([0]), "n": pa.array([j - i]),
+                    "body": pa.array([np.r_[meta.ravel(), bounds[-1]].astype("<i8").tobytes()], pa.binary()),
                 })
-
-    copy = F.col("copy") if "copy" in docs.columns and dict(docs.dtypes)["copy"] == "bigint" else F.lit(0).cast("long")
-    return docs.select("doc_id", "text", copy.alias("copy")).mapInArrow(work, HITS)
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """For every document: words, words inside any occurrence of a window, items, hit spans (in words, end excluded), items near.
-
-    The windows of the items are counted first; up to block_windows go out in one block. Beyond
-    that, each block is asked of all distinct rows and the answers are merged by id and text.
-    """
-    windows = windows_of(items, window)
-    n = windows.count()
-    if n <= block_windows:
-        return search(docs.select("doc_id", "text"), [(r.item_id, bytes(r.terms)) for r in windows.collect()], slop)
-    blocks = -(-n // block_windows) * 2
-    keyed = windows.withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(blocks)))
-    copies = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.xxhash64("text"))
-    found = None
-    for k in range(blocks):
-        rows = [(r.item_id, bytes(r.terms)) for r in keyed.where(F.col("block") == k).collect()]
-        part = search(copies, rows, slop)
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("doc_id", "copy", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-    )
-    rows = copies.select("doc_id", "copy", "copies")
-    merged = merged.join(rows, merged["doc_id"].eqNullSafe(rows["doc_id"]) & (merged["copy"] == rows["copy"])).select(merged["*"], F.explode(F.sequence(F.lit(1), "copies")).alias("n"))
-    positions = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
-    return merged.select("doc_id", "copy", "n_words", F.size(positions).cast("long").alias("n_hit"), "items", "spans", "near_items")
+                yield pa.record_batch({
+                    "kind": pa.array(np.ones(len(first), np.int32)), "shard": pa.array(np.full(len(first), shard)), "term": pa.array(h[order[first]].view(np.int64)), "n": pa.array(np.diff(cut)),
+                    "body": lists,
+                })
+                shard += 1
+
+    marks = [F.xxhash64("text").alias("m0"), F.xxhash64(F.lit(1), "text").alias("m1")]
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *marks).mapInArrow(work, INDEX).write.partitionBy("kind").parquet(place)
+    return docs.sparkSession.read.schema(INDEX).parquet(place)
+
+
+class Shard:
+    """A shard's documents, and the postings of some of its terms."""
+
+    def __init__(self, table: pa.Table):
+        kind = table["kind"].to_numpy()
+        body = table["body"]
+        meta = np.frombuffer(body[int(np.flatnonzero(kind == 0)[0])].as_py(), "<i8")
+        rows, self.n_words = meta[:-1].reshape(5, -1), int(meta[-1])
+        self.ids = pa.array(rows[0], mask=rows[1] > 0)
+        self.marks = rows[2:4].T
+        self.bounds = np.r_[rows[4], self.n_words]
+        at = np.flatnonzero(kind == 1)
+        self.lists = {t: np.frombuffer(b, "<i4").astype(np.int64) for t, b in zip(table["term"].take(pa.array(at)).to_pylist(), body.take(pa.array(at)).to_pylist(), strict=True)}
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, at, "right") - 1
+
+    def phrase(self, plan: list[tuple[int, int]]) -> np.ndarray:
+        """Starts of the exact occurrences inside one document. plan: (offset, term), the rarest first."""
+        starts = self.lists[plan[0][1]] - plan[0][0]
+        for off, term in plan[1:]:
+            own = self.lists.get(term)
+            if own is None or not len(starts):
+                return np.zeros(0, np.int64)
+            place = np.minimum(np.searchsorted(own, starts + off), len(own) - 1)
+            starts = starts[own[place] == starts + off]
+        starts = starts[(starts >= 0) & (starts + len(plan) <= self.n_words)]
+        return starts[self.doc_of(starts) == self.doc_of(starts + len(plan) - 1)]
+
+    def near(self, plan: list[tuple[int, int]], slop: int) -> np.ndarray:
+        """Documents where from some start every term stands within slop words of its place."""
+        lead = self.lists[plan[0][1]]
+        starts = (lead[:, None] - plan[0][0] + np.arange(-slop, slop + 1)).ravel()
+        doc = np.repeat(self.doc_of(lead), 2 * slop + 1)
+        for off, term in plan[1:]:
+            own = self.lists.get(term)
+            if own is None or not len(starts):
+                return np.zeros(0, np.int64)
+            low = np.searchsorted(own, np.maximum(starts + off - slop, self.bounds[doc]))
+            found = np.searchsorted(own, np.minimum(starts + off + slop + 1, self.bounds[doc + 1])) > low
+            starts, doc = starts[found], doc[found]
+        return np.unique(doc)
+
+
+def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, windows): for every document of the index its hits, with the windows that occur in it and, if slop is given, those that are near; windows: window, item_id."""
+    small = lambda df, n: F.broadcast(df) if n <= SMALL_ROWS else df.hint("shuffle_merge")
+    place = f"{shared_folder(index.sparkSession)}/windows-{uuid.uuid4().hex}"
+    windows_of(items, window).withColumn("window", F.md5(F.concat_ws(",", F.transform("terms", lambda t: t.cast("string"))))).write.parquet(place)
+    told = index.sparkSession.read.parquet(place)
+    placed = told.groupBy("window").agg(F.first("terms").alias("terms")).select("window", F.posexplode("terms").alias("off", "term"))
+    terms = placed.select("term").distinct()
+    n_terms = terms.count()
+    postings = index.where("kind = 1").join(small(terms, n_terms), "term", "left_semi")
+    postings.groupBy("term").agg(F.sum("n").alias("total")).write.parquet(f"{place}-totals")
+    totals = index.sparkSession.read.parquet(f"{place}-totals")
+    plans = placed.join(small(totals, n_terms), "term", "left").groupBy("window").agg(F.count("total").alias("known"), F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list(F.struct("total", "off", "term"))).alias("plan"))
+    plans = plans.where("known = size").select("window", F.transform("plan", lambda x: F.struct(x["off"].alias("off"), x["term"].alias("term"))).alias("plan"), F.col("plan")[0]["term"].alias("term"))
+    plans.write.parquet(f"{place}-plans")
+    plans = index.sparkSession.read.parquet(f"{place}-plans")
+    asked = index.where("kind = 1").select("term", "shard").join(small(plans, plans.count() * (window + 2)), "term").select(F.col("shard").alias("shard"), "window", "plan")
+
+    def work(rows: pa.Table, windows: pa.Table) -> pa.Table:
+        names = ("doc_id", "mark", "shard", "row", "n_words", "n_hit", "spans", "windows", "near")
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        shard = Shard(rows)
+        n = len(shard.ids)
+        found, sizes = [], []
+        exact: list[list] = [[] for _ in range(n)]
+        close: list[list] = [[] for _ in range(n)]
+        for name, steps in zip(windows["window"].to_pylist(), windows["plan"].to_pylist(), strict=True):
+            plan = [(s["off"], s["term"]) for s in steps]
+            at = shard.phrase(plan)
+            if len(at):
+                found.append(at)
+                sizes.append(np.full(len(at), len(plan)))
+                for d in np.unique(shard.doc_of(at)).tolist():
+                    exact[d].append(name)
+            if slop is not None:
+                for d in shard.near(plan, slop).tolist():
+                    close[d].append(name)
+        hit = cover(shard.n_words, np.concatenate(found), np.concatenate(sizes)) if found else np.zeros(shard.n_words, bool)
+        sums = np.r_[0, np.cumsum(hit)]
+        spans: list[list] = [[] for _ in range(n)]
+        lit = np.flatnonzero(hit)
+        doc = shard.doc_of(lit)
+        head = heads(doc, lit - np.arange(len(lit)))
+        for a, b in zip(lit[head], lit[np.r_[head[1:], len(lit)] - 1] if len(lit) else lit, strict=True):
+            d = int(shard.doc_of(a))
+            spans[d].append({"start": int(a - shard.bounds[d]), "end": int(b - shard.bounds[d]) + 1})
+        cut = pa.array(np.arange(0, 2 * n + 1, 2, dtype=np.int32))
+        columns = (
+            shard.ids, pa.ListArray.from_arrays(cut, pa.array(shard.marks.ravel())), pa.array(np.full(n, rows["shard"][0].as_py())), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.diff(shard.bounds)),
+            pa.array(sums[shard.bounds[1:]] - sums[shard.bounds[:-1]]), pa.array(spans, span), pa.array(exact, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string())),
+        )
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    listed = index.where("kind = 0").unionByName(postings.select(index.columns)).groupBy("shard")
+    return listed.cogroup(asked.groupBy("shard")).applyInArrow(work, HITS), told.select("window", "item_id").distinct()
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """For every document: words, words inside any occurrence of a window, items, hit spans (in words, end excluded), items near."""
+    place = f"{shared_folder(docs.sparkSession)}/index-{uuid.uuid4().hex}"
+    found, windows = find(build_index(docs, place, shard_bytes), items, window, slop)
+    found.write.parquet(f"{place}-hits")
+    found = docs.sparkSession.read.parquet(f"{place}-hits")
+    out = found
+    for column, name in (("windows", "items"), ("near", "near_items")):
+        some = found.select("shard", "row", F.explode(column).alias("window")).join(windows.hint("shuffle_merge"), "window")
+        # Null ids are wrapped, since collect_set leaves nulls out; they are listed last.
+        told = some.groupBy("shard", "row").agg(F.collect_set(F.struct(F.col("item_id").isNull().alias("none"), "item_id")).alias("x"))
+        told = told.select("shard", "row", F.transform(F.array_sort("x"), lambda x: x["item_id"]).alias(name))
+        out = out.join(told.hint("shuffle_merge"), ["shard", "row"], "left")
+    none = F.array().cast("array<long>")
+    return out.select("doc_id", "n_words", "n_hit", F.coalesce("items", none).alias("items"), "spans", F.coalesce("near_items", none).alias("near_items"))
 
 
 def digest(hits: DataFrame) -> DataFrame:
@@ -213,35 +224,14 @@ def digest(hits: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window, with all their columns. A document of null id is judged like any other."""
-    rows = windows_of(items, window)
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK_WINDOWS) * 2 if n > BLOCK_WINDOWS else 1)
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(blocks)))
-    for k in range(blocks):
-        docs = _without(docs, [(r.item_id, bytes(r.terms)) for r in keyed.where(F.col("block") == k).collect()])
-    return docs
-
+    """The documents without any benchmark window, with all their columns. A document of null id is judged like any other.
 
-def _without(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
-    kept: list[Probe] = []
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(Probe(shared.value))
-        probe = kept[0]
-        for batch in batches:
-            buf, off = texts_of(batch["text"])
-            for i, j in runs(off, 4 << 20):
-                part = LOWER[buf[off[i] : off[j]]]
-                starts, ends, bounds = words(part, off[i : j + 1] - off[i], NOT_TERM)
-                place, known = member(probe.terms, word_hash(part, starts, ends))
-                ids = np.where(known, place, -1)
-                doc_of = np.repeat(np.arange(j - i), np.diff(bounds))
-                clean = np.ones(j - i, bool)
-                for _, at in phrases(ids, doc_of, *shard_index(ids, len(probe.terms)), probe.windows):
-                    clean[doc_of[at]] = False
-                yield batch.slice(i, j - i).filter(pa.array(clean))
-
-    return docs.mapInArrow(work, docs.schema)
+    Contaminated rows are told by id and a 128-bit mark of their text.
+    """
+    place = f"{shared_folder(docs.sparkSession)}/index-{uuid.uuid4().hex}"
+    found, _ = find(build_index(docs.select("doc_id", "text"), place), items, window)
+    found.where("n_hit > 0").select(F.col("doc_id").alias("d"), F.col("mark")[0].alias("m0"), F.col("mark")[1].alias("m1")).distinct().write.parquet(f"{place}-hits")
+    gone = docs.sparkSession.read.parquet(f"{place}-hits")
+    gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone.hint("shuffle_merge")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"]) == gone["m0"]) & (F.xxhash64(F.lit(1), docs["text"]) == gone["m1"])
+    return docs.join(gone, same, "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])

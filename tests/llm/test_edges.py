@@ -77,6 +77,32 @@ def test_license_scan_odd_rows(spark, odd, empty):
         license_scan.scan(odd, [("X", "a b c")] * 3000)
 
 
+def test_notices_inside_longer_texts(spark):
+    """A wrapped notice in a source file, one inside a longer line, a whole licence text, and words that only look like one."""
+    import textwrap
+
+    full = next(n for name, n in license_scan.TEMPLATES if name == "MIT" and n.count("\n") > 1)
+    wrapped = "\n".join(" * " + line for line in textwrap.wrap("Copyright (c) 2020 Somebody. " + full, 76))
+    rows = [
+        (1, f"/*\n{wrapped}\n */\nint main() {{ return 0; }}\n"), (2, "Copyright 2020 X. All rights reserved. Printed here."), (3, "word " * 5000 + full.replace("dealings", "doings") + " tail" * 5000),
+        (4, "The licence of software is a right that is reserved for all of us."), (5, "Permission is hereby granted to nobody."), (None, full), (None, full),
+    ]
+    got = {(r.doc_id, r.license): r.score for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, "MIT"] == 1.0 and got[2, "All-Rights-Reserved"] == 1.0 and 0.9 < got[3, "MIT"] <= 1.0 and got[None, "MIT"] == 1.0
+    assert not any(i in (4, 5) for i, _ in got)
+    con = duck([(i, t, None, 0) for i, t in rows])
+    compare(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).toPandas(), con.execute(queries.ORACLES["op8_license_scan"]).df())
+
+
+def test_every_template_has_more_anchors_than_a_match_may_miss():
+    _, rows = license_scan.anchors()
+    for _, notice in license_scan.TEMPLATES:
+        w = license_scan._words(notice)
+        own = set(zip(w, w[1:], strict=False))
+        held = {tuple(gram.split()) for t, gram, *_ in rows if t == " ".join(w)}
+        assert held <= own and len(held) > len(own) - len(own) * 0.8 / 1.2
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     import pandas as pd
 
@@ -86,9 +112,9 @@ def test_decontamination_odd_rows(spark, odd, empty):
     keyed = lambda df: df[df.doc_id.notna()].drop_duplicates().reset_index(drop=True)  # noqa: E731  SQL joins by id, which repeated and null ids can't
     hits = decontam.contamination(odd, frame)
     compare(keyed(decontam.digest(hits).toPandas()), keyed(want))
-    blocks = decontam.contamination(odd, frame, block_windows=2)
-    same = lambda df: sorted(map(str, decontam.digest(df).collect()))
-    assert same(blocks) == same(hits)
+    small = decontam.contamination(odd, frame, shard_bytes=40)
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(small) == same(hits)
     for r in hits.collect():
         assert sum(s.end - s.start for s in r.spans) == r.n_hit
     clean = decontam.clean_documents(odd, frame)
@@ -99,10 +125,38 @@ def test_decontamination_odd_rows(spark, odd, empty):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma far far far far far alpha beta"), (3, "alpha beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
-    got = {r.doc_id: (r.items, r.near_items) for r in decontam.contamination(docs, items, slop=2).collect()}
+    got = {r.doc_id: (r.items, r.near_items) for r in decontam.contamination(docs, items, slop=1).collect()}
     assert got == {1: ([], [9]), 2: ([], []), 3: ([9], [9])}
 
 
+def test_phrases_and_proximity_against_plain_search(spark):
+    """Windows of 4 terms over random texts of few words, with repeated and null ids."""
+    import random
+
+    r = random.Random(8)
+    word = lambda k: [r.choice("abcdefgh") for _ in range(k)]
+    docs = [(r.choice([None, i, i // 2]), " ".join(word(r.randint(0, 30)))) for i in range(60)]
+    items = [(r.choice([None, i]), " ".join(word(r.randint(1, 6)))) for i in range(12)]
+    want = []
+    for i, t in docs:
+        w, hit, exact, near = t.split(), set(), set(), set()
+        for item, q in items:
+            q = q.split()
+            for s in range(max(1, len(q) - 3)):
+                part = q[s : s + 4]
+                for at in range(len(w) - len(part) + 1):
+                    if w[at : at + len(part)] == part:
+                        hit |= set(range(at, at + len(part)))
+                        exact.add(item)
+                if any(all(any(w[p] == x for p in range(max(0, at + k - 1), min(len(w), at + k + 2))) for k, x in enumerate(part)) for at in range(-1, len(w) + 1)):
+                    near.add(item)
+        listed = lambda x: sorted(x, key=lambda v: (v is None, v or 0))
+        want.append(str((i, len(w), len(hit), listed(exact), listed(near))))
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, slop=1, shard_bytes=200)
+    assert sorted(str((x.doc_id, x.n_words, x.n_hit, x["items"], x.near_items)) for x in got.collect()) == sorted(want)
+    assert any("[]" not in x for x in want)
+
+
 def test_chat_parts_round_trip(spark):
     rows = [
         (1, 2, "assistant", [("text", "see <image:1.1> & </turn> \\### ok", None, None), ("image", None, "img://a", 2), ("audio", None, "snd://b", 10)]),
@@ -153,7 +207,7 @@ def test_viterbi_is_the_best_path():
         assert quality.decode(x, np.array([0, n]), model).astype(int).tolist() == list(best)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - {"op10_benchmark_decontamination"}))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, data, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "labels", "conversations"):

@@ -18,5 +18,5 @@ def test_windows_of_null_items_count(spark):
     want = duck(DOCS, benchmark=frame).execute(queries.ORACLES["op10_benchmark_decontamination"]).df()
     compare(decontam.digest(decontam.contamination(docs, items)).toPandas(), want)
     assert [r.doc_id for r in decontam.clean_documents(docs, items).collect()] == [3]
-    blocks = decontam.digest(decontam.contamination(docs, items, block_windows=1))
-    compare(blocks.toPandas(), want)
+    shards = decontam.digest(decontam.contamination(docs, items, shard_bytes=30))
+    compare(shards.toPandas(), want)
