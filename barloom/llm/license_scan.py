@@ -1,9 +1,9 @@
 """License scans: windows of words against licence templates by Dice coefficient over word bigrams, in DataFrame functions only.
 
 Texts are lower-cased, and everything but letters and digits counts as a gap, so it makes no
-difference how a notice is wrapped. A window has as many words as its template (the whole text, if
-that is shorter) and begins where an anchor lies at the same offset as in the template. Anchors
-are bigrams with an anchor word. The size bounds prune by them: a window of b bigrams that
+difference how a notice is wrapped. A window begins where an anchor lies at the same offset as in
+the template, and ends where an anchor leaves the template's last word (often the same one; others
+where words were put in or left out), within the size bounds. Anchors are bigrams with an anchor word. The size bounds prune by them: a window of b bigrams that
 reaches the threshold with a template of a bigrams shares at least t * a / (2 - t) with it, and a
 template has more anchors than it may miss; so a text without any anchor word is not even split
 into words, and a template is only compared where one of its anchors stands. Templates are a short
@@ -141,6 +141,13 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).where(able).select("doc_id", "k0", "k1", split(F.col("text")).alias("words")).dropDuplicates(["doc_id", "k0", "k1"])
     placed = texts.select("doc_id", "k0", "k1", F.size("words").alias("size"), F.posexplode(bigrams(F.col("words"))).alias("at", "gram")).join(F.broadcast(table), "gram")
     placed = placed.select("doc_id", "k0", "k1", "template", "n_words", F.greatest(F.least(F.col("at") - F.col("off"), F.col("size") - F.col("n_words")), F.lit(0)).alias("start")).distinct()
+    # Ends are looked for in the same block of starts and its neighbours.
+    placed = placed.withColumn("block", F.expr("start div n_words"))
+    ends = placed.select("doc_id", "k0", "k1", "template", F.col("start").alias("last"), F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("block")).withColumnsRenamed({c: f"{c}_" for c in ("doc_id", "k0", "k1", "template", "block")})
+    near = placed["doc_id"].eqNullSafe(ends["doc_id_"]) & (placed["k0"] == ends["k0_"]) & (placed["k1"] == ends["k1_"]) & (placed["template"] == ends["template_"]) & (placed["block"] == ends["block_"])
+    shift = F.col("last") - F.col("start")
+    placed = placed.join(ends.hint("shuffle_merge"), near).where((shift * 3 >= -F.col("n_words")) & (shift * 2 <= F.col("n_words")))
+    placed = placed.select("doc_id", "k0", "k1", "template", "start", (F.col("n_words") + shift).alias("n_words")).distinct()
     windows = placed.withColumnsRenamed({"doc_id": "d", "k0": "a", "k1": "b"}).hint("shuffle_hash")
     same = texts["doc_id"].eqNullSafe(windows["d"]) & (texts["k0"] == windows["a"]) & (texts["k1"] == windows["b"])
     units = windows.join(texts, same).select("doc_id", "k0", "k1", "template", "start", F.array_distinct(bigrams(F.slice("words", F.col("start") + 1, F.col("n_words")))).alias("grams"))
@@ -165,7 +172,8 @@ d AS (
   FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 g AS (SELECT r, unnest(generate_series(1, len(w) - 1)) AS i, len(w) AS size, w FROM d WHERE len(w) > 1),
 s AS (SELECT DISTINCT r, template, n_words, greatest(least(i - 1 - off, size - n_words), 0) AS start FROM (SELECT r, i, size, w[i] || ' ' || w[i + 1] AS gram FROM g) JOIN k USING (gram)),
-u AS (SELECT s.r, d.doc_id, template, start, d.w[start + 1 : start + n_words] AS x FROM s JOIN d USING (r)),
+v AS (SELECT DISTINCT a.r, a.template, a.start, b.start + a.n_words AS stop FROM s a JOIN s b ON a.r = b.r AND a.template = b.template AND (b.start - a.start) * 3 >= -a.n_words AND (b.start - a.start) * 2 <= a.n_words),
+u AS (SELECT v.r, d.doc_id, template, start, d.w[start + 1 : stop] AS x FROM v JOIN d USING (r)),
 b AS (SELECT r, doc_id, template, start, {grams.format("x")} AS grams FROM u),
 m AS (SELECT r, doc_id, license, start, max(2.0 * len(list_intersect(grams, own)) / (len(grams) + len(own))) AS score FROM b JOIN t USING (template) GROUP BY ALL)
 SELECT doc_id, license, round(CAST(max(score) AS DOUBLE), 6) AS score, CAST(count(*) AS BIGINT) AS n_units FROM m WHERE score >= {THRESHOLD} GROUP BY doc_id, license"""
