@@ -55,7 +55,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(documents, schedule).
 
-    documents: doc_id, source, size, source_size, target, taken. schedule: slot (order in the mix),
+    documents: doc_id, source, size, source_size, target, taken, and where its words stand in the mix: first_slot and n_slots
+    (blocks that hold some of them; null and 0 without). schedule: slot (order in the mix),
     source, block (number of the block in the source's repeated stream), start and end (words in that stream).
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -75,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
     n_slots = math.ceil((told[1] or 0) / block_words)
 
     offset = by_range.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("key", "range", "before")
-    running = Window.partitionBy("key", "range").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("key", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("within", F.coalesce(F.sum("size").over(running), F.lit(0)))
     placed = placed.join(offset.hint("shuffle_merge"), ["key", "range"]).withColumn("at", F.col("before") + F.col("within"))
     placed = placed.join(small(sources.select("key", "source_size", "target", "goal")), "key").select("doc_id", "source", "key", "size", "source_size", "target", "goal", "at")
@@ -98,9 +99,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
 
     passes = placed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
     pieces = passes.where(F.col("from") < F.col("goal")).withColumn("block", F.explode(F.expr(f"sequence(from div {block_words}, (to - 1) div {block_words})")))
-    joined = pieces.join(schedule.select("key", "block", "start", "end").hint("shuffle_merge"), ["key", "block"])
-    words = joined.groupBy("doc_id", "key", "at", "size").agg(F.sum(F.least("to", "end") - F.greatest("from", "start")).alias("taken"))
+    joined = pieces.join(schedule.select("key", "block", "slot", "start", "end").hint("shuffle_merge"), ["key", "block"])
+    words = joined.groupBy("doc_id", "key", "at", "size").agg(F.sum(F.least("to", "end") - F.greatest("from", "start")).alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
     words = words.withColumnsRenamed({"doc_id": "d", "key": "k", "at": "a", "size": "s"}).hint("shuffle_merge")
     same = placed["doc_id"].eqNullSafe(words["d"]) & (placed["key"] == words["k"]) & (placed["at"] == words["a"]) & (placed["size"] == words["s"])
-    out = placed.join(words, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    out = placed.join(words, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
     return out, schedule.drop("key")

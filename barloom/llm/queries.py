@@ -24,7 +24,7 @@ def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     shared_folder(spark)
     documents, _ = mixing.mix_sources(table(spark, folder, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,27 +105,43 @@ l AS (
       / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 v AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level <= ratio),
 t AS (SELECT source, source_size, CASE WHEN v.level IS NULL THEN most ELSE least(most, v.level * weight) END AS target FROM l, v),
+e AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS goal, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low,
+    sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high, sum(target) OVER () AS whole FROM t),
+n AS (SELECT CAST(ceil(coalesce(max(whole), 0) / 1024) AS BIGINT) AS n_slots FROM e),
+u AS (SELECT slot, fmod(slot * CAST(0.6180339887498949 AS DOUBLE), 1) AS u FROM (SELECT unnest(range(n_slots)) AS slot FROM n)),
+sl AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block FROM u JOIN e ON u * whole >= low AND u * whole < high),
+given AS (SELECT e.source, count(sl.slot) AS k FROM e LEFT JOIN sl ON e.source IS NOT DISTINCT FROM sl.source GROUP BY e.source),
+sched AS (
+  SELECT slot, source, block FROM sl
+  UNION ALL SELECT n_slots, e.source, unnest(range(k, (goal + 1023) // 1024)) FROM e JOIN given ON e.source IS NOT DISTINCT FROM given.source, n),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-  CAST(greatest(0, least(a + size, goal) - a) + greatest(0, least(a + size, goal - source_size) - a) AS BIGINT) AS taken FROM p""",
+  SELECT row_number() OVER () AS r, d.doc_id, d.source, d.size, e.source_size, e.target, e.goal,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+x AS (SELECT r, source, goal, CAST(a + pass * source_size AS BIGINT) AS b, CAST(a + pass * source_size + size AS BIGINT) AS c FROM p, (VALUES (0), (1)) v(pass) WHERE size > 0 AND a + pass * source_size < goal),
+y AS (SELECT *, unnest(range(b // 1024, (c - 1) // 1024 + 1)) AS block FROM x),
+z AS (
+  SELECT r, sum(least(c, (y.block + 1) * 1024, goal) - greatest(b, y.block * 1024)) AS taken, min(slot) AS first_slot, count(*) AS n_slots
+  FROM y JOIN sched ON y.source IS NOT DISTINCT FROM sched.source AND y.block = sched.block WHERE y.block * 1024 < goal GROUP BY r)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(first_slot AS BIGINT) AS first_slot, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots
+FROM p LEFT JOIN z USING (r)""",
     "op5_line_templates": r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS id, doc_id, text FROM documents),
 l0 AS (SELECT r, id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d),
-l1 AS (SELECT *, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked, trim(line, ' ') <> '' AS filled FROM l0),
-l AS (SELECT *, string_split(masked, ' ') AS tok, len(string_split(masked, ' ')) AS n, array_to_string(string_split(masked, ' ')[1:3], ' ') AS lead FROM l1),
+l1 AS (SELECT *, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS fields, trim(line, ' ') <> '' AS filled FROM l0),
+l2 AS (SELECT *, CASE WHEN regexp_matches(line, '[0-9]') AND len(list_filter(string_split(fields, ' '), lambda x: x <> '<*>' AND x <> '')) < 3 THEN line ELSE fields END AS masked FROM l1),
+l AS (SELECT *, string_split(masked, ' ') AS tok, len(string_split(masked, ' ')) AS n, array_to_string(string_split(masked, ' ')[1:3], ' ') AS lead FROM l2),
 own AS (SELECT DISTINCT id, text, n, lead, masked, tok FROM l WHERE filled),
-leaf AS (SELECT n, lead FROM own GROUP BY n, lead HAVING count(*) >= 5),
-m AS (SELECT n, lead, masked, any_value(tok) AS tok, count(*) AS docs, min(id) AS first FROM own JOIN leaf USING (n, lead) GROUP BY n, lead, masked),
-p AS (SELECT n, lead, masked, docs, first, unnest(tok) AS token, generate_subscripts(tok, 1) AS pos FROM m),
-c AS (SELECT n, lead, pos, token FROM p GROUP BY n, lead, pos, token HAVING sum(docs) >= 5),
+leaf AS (SELECT n, lead, count(*) AS total FROM own GROUP BY n, lead HAVING count(*) >= 5),
+m AS (SELECT n, lead, masked, any_value(tok) AS tok, count(*) AS docs, min(id) AS first, any_value(total) AS total FROM own JOIN leaf USING (n, lead) GROUP BY n, lead, masked),
+p AS (SELECT n, lead, masked, docs, first, total, len(list_filter(tok, lambda x: x <> '<*>' AND x <> '')) AS size, unnest(tok) AS token, generate_subscripts(tok, 1) AS pos FROM m),
+c AS (SELECT n, lead, pos, token FROM p GROUP BY n, lead, pos, token HAVING sum(docs) >= greatest(5, max(total) * CAST(0.1 AS DOUBLE))),
 s AS (
-  SELECT n, lead, masked, docs, first, string_agg(pos || ':' || token, ' ' ORDER BY pos) AS fixed, count(*) AS k
-  FROM p JOIN c USING (n, lead, pos, token) GROUP BY n, lead, masked, docs, first),
-t AS (SELECT *, sum(docs) OVER (PARTITION BY n, lead, fixed) AS total, min(first) OVER (PARTITION BY n, lead, fixed) AS keeper FROM s WHERE k >= 0.7 * n AND k >= 3),
-g AS (SELECT masked, n, lead, keeper FROM t WHERE total >= 5),
+  SELECT n, lead, masked, docs, first, size, string_agg(pos || ':' || token, ' ' ORDER BY pos) AS fixed, count(*) FILTER (token <> '<*>' AND token <> '') AS k
+  FROM p JOIN c USING (n, lead, pos, token) GROUP BY n, lead, masked, docs, first, size),
+t AS (SELECT *, sum(docs) OVER (PARTITION BY n, lead, fixed) AS total, min(first) OVER (PARTITION BY n, lead, fixed) AS keeper FROM s WHERE k >= CAST(0.7 AS DOUBLE) * size AND k >= 3),
+g AS (SELECT masked, n, lead, min(keeper) AS keeper FROM (SELECT masked, n, lead, keeper FROM t WHERE total >= 5 UNION ALL SELECT masked, n, lead, first FROM m WHERE docs >= 5) GROUP BY ALL),
 k AS (SELECT l.*, l.filled AND g.keeper IS NOT NULL AND l.id > g.keeper AS gone FROM l LEFT JOIN g USING (n, lead, masked)),
 a AS (
   SELECT r, count(*) FILTER (filled) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone) AS kept FROM k GROUP BY r)
