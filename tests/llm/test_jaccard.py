@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from barloom.llm import jaccard
 
@@ -127,8 +128,12 @@ def test_null_ids_spread_over_chunks(spark):
 
     frame = spark.range(4000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "concat('text ', id, repeat(' word', 60)) as text")
     texts, n = chunks.deal(frame, chunk_bytes=1 << 17)
-    sizes = [r["count"] for r in texts.groupBy("chunk").count().collect()]
-    assert len(sizes) == n > 4 and max(sizes) < 2 * 4000 / n
+    sizes: dict[int, int] = {}
+    for r in texts.packets.toArrow().to_pylist():
+        table = chunks.opened(pa.table({"body": pa.array([r["body"]], pa.binary())}), texts.schema)
+        sizes[r["chunk"]] = sizes.get(r["chunk"], 0) + len(table)
+    assert sum(sizes.values()) == 4000
+    assert len(sizes) == n > 4 and max(sizes.values()) < 2 * 4000 / n
 
 
 def test_keep_one_and_empty(spark):
