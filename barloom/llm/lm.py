@@ -5,7 +5,7 @@ often the context stands in the corpus (buckets by powers of two: of the pair of
 token if that stands in the training documents CUT times, else of the word before it alone, and
 then without a trigram). Weights are learned by expectation maximisation on held-out counts: each
 training token is scored by the counts that remain when that occurrence is deleted. The tokens'
-estimates enter EM as counts over a grid of context bucket and half-octave steps of the three
+estimates enter EM as counts over a grid of context bucket and octaves of the three
 estimates, whose size does not grow with the corpus; each bucket is fitted on its own.
 
 Counts go through buckets of n-grams (see chunks.py): every chunk of documents asks once for each
@@ -37,8 +37,8 @@ BUCKETS = 40
 """Context buckets: 0 for an unseen context, else one more than the whole part of log2 of its count; those of pairs follow those of single words."""
 CUT = 2
 """Trigram estimates need a pair that stands so often; the deleted count of a rarer one is 0."""
-STEPS = 2
-"""Grid steps of an estimate in an octave."""
+STEPS = 1
+"""Grid steps of an estimate in an octave; a cell holds the sums of its tokens' logarithms."""
 ROUNDS = 60
 WIDTH = {0: 8, 1: 5, 3: 5}
 """Bytes of a key of one, two and three words; kind 2 holds the weights."""
