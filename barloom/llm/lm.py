@@ -43,7 +43,8 @@ ROUNDS = 60
 WIDTH = {0: 8, 1: 5, 3: 5}
 """Bytes of a key of one, two and three words; kind 2 holds the weights."""
 LEVELS = (3, 2, 1)
-COUNTS = "key long, n long"
+HELD_KEYS = 4_000_000
+"""Distinct tokens that a task gathers before it sends them (32 MB)."""
 GRID = "bucket int, step3 int, step2 int, step1 int, n double, log3 double, log2 double, log1 double"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -70,24 +71,38 @@ def triples(token: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return mix(token ^ mix(np.r_[END, pair[:-1]].astype(U64), 13), 14)
 
 
-def vocabulary(docs: DataFrame) -> tuple[int, int]:
-    """Tokens and distinct tokens of the training documents."""
+def vocabulary(docs: DataFrame, buckets: int) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training documents. Tasks send their distinct tokens, sorted and packed, to buckets."""
+
+    def send(keys: list[np.ndarray], n: int) -> pa.RecordBatch:
+        own = np.unique(np.concatenate(keys))
+        rows = list(chunks.parcels(own, buckets, 0, 0, lambda s: s))
+        return pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([n] + [0] * (len(rows) - 1)), "body": pa.array([pack(own[r[3]], 8) for r in rows], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, held = [], 0, 0
         for batch in batches:
             buf, off = texts_of(batch["text"])
-            keys, counts = [], []
             for i, j in runs(off):
                 token, _ = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                key, n = np.unique(token, return_counts=True)
-                keys.append(key)
-                counts.append(n)
-            if keys:
-                key, at = np.unique(np.concatenate(keys), return_inverse=True)
-                yield pa.record_batch({"key": pa.array(key.view(np.int64)), "n": pa.array(np.bincount(at, np.concatenate(counts)).astype(np.int64))})
-
-    told = docs.where(~F.col("held_out")).select("text").mapInArrow(count, COUNTS).groupBy("key").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.count(F.lit(1))).first()
-    return int(told[0] or 0), int(told[1])
+                keys.append(np.unique(token))
+                n, held = n + len(token), held + len(keys[-1])
+            if held > HELD_KEYS:
+                keys = [np.unique(np.concatenate(keys))]
+                held = len(keys[0])
+                if held > HELD_KEYS // 2:
+                    yield send(keys, n)
+                    keys, n, held = [], 0, 0
+        if n:
+            yield send(keys, n)
+
+    def distinct(table: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([unpack(b, 8) for b in table["body"].to_pylist()]))
+        return pa.table({"n": pa.array([sum(table["n"].to_pylist())]), "types": pa.array([len(keys)])})
+
+    sent = docs.where(~F.col("held_out")).select("text").mapInArrow(count, "bucket int, n long, body binary")
+    told = sent.groupBy("bucket").applyInArrow(distinct, "n long, types long").agg(F.sum("n"), F.sum("types")).first()
+    return int(told[0] or 0), int(told[1] or 0)
 
 
 def learn(grid: pa.Table) -> pa.Table:
@@ -174,8 +189,8 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     if held_out is None:
         held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    n_train, n_types = vocabulary(docs)
     texts, n = chunks.deal(docs, ["held_out"])
+    n_train, n_types = vocabulary(docs, n)
     log_uniform = -float(np.log2(n_types + 1))
 
     def ask(table: pa.Table) -> list[tuple]:
