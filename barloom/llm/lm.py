@@ -11,7 +11,7 @@ estimates, whose size does not grow with the corpus; each bucket is fitted on it
 Counts go through buckets of n-grams (see chunks.py): every chunk of documents asks once for each
 distinct n-gram in it, and adds its own training counts to the request; trigrams are asked for when
 the counts of their first two words are known. The counts are exact (n-grams of several words by
-40 bits of a fingerprint beside their bucket) and cover all training documents; the answers follow
+48 bits of a fingerprint below their bucket) and cover all training documents; the answers follow
 the order of the requests.
 
 Defined cases: null text counts as empty; every text ends with one end token, so an empty text has
@@ -40,7 +40,7 @@ CUT = 2
 STEPS = 1
 """Grid steps of an estimate in an octave; a cell holds the sums of its tokens' logarithms."""
 ROUNDS = 60
-WIDTH = {0: 8, 1: 5, 3: 5}
+WIDTH = {0: 8, 1: 6, 3: 6}
 """Bytes of a key of one, two and three words; kind 2 holds the weights."""
 LEVELS = (3, 2, 1)
 HELD_KEYS = 4_000_000
@@ -177,7 +177,17 @@ def _requests(table: pa.Table, kind: int, key: np.ndarray, use: np.ndarray, n: i
     first = heads(key)
     count = np.add.reduceat(use[order].astype(U64), first) if len(first) else key
     key = key[first]
-    return chunks.parcels(key, n, int(table["chunk"][0].as_py()), kind, lambda s: pack(key[s], WIDTH[kind]) + pack(count[s], 4))
+    spare = 64 - 8 * WIDTH[kind]
+
+    def body(s: slice) -> bytes:
+        # Counted from the bucket's first key, sorted keys share their upper bytes, which compress to little.
+        own = key[s]
+        if spare:
+            bucket = int(chunks.bucket_of(own[:1], n)[0])
+            own = (own - U64(-(-(bucket << 32) // n) << 32)) >> U64(max(0, spare - (n.bit_length() - 1)))
+        return pack(own, WIDTH[kind]) + pack(count[s], 4)
+
+    return chunks.parcels(key, n, int(table["chunk"][0].as_py()), kind, body)
 
 
 def _trained(table: pa.Table) -> np.ndarray:
