@@ -12,8 +12,10 @@ INDEX_PATTERN = r"(US500|US100|US30|GER40|FRA40|UK100|EU50|JP225|\.CASH)"
 METAL_PATTERN = r"^(XAU|XAG|XPT|XPD)"
 ENERGY_PATTERN = r"(WTI|BRENT|UKOIL|USOIL|NGAS|NATGAS)"
 EQUITY_PATTERN = "STOCK|SHARE|EQUITY"
-MAJORS = ("USD", "EUR", "GBP", "JPY", "AUD", "NZD", "CAD", "CHF")
-CRYPTO_PREFIXES = ("BTC", "ETH", "LTC", "XRP", "BNB", "SOL", "DOGE", "ADA", "DOT")
+MAJORS = ("USD", "EUR", "JPY", "GBP", "AUD", "NZD", "CAD", "CHF")
+CRYPTO_PREFIXES = (
+    "BTC", "ETH", "SOL", "BNB", "ADA", "XRP", "DOGE", "LTC", "DOT", "AVAX", "UNI", "LINK", "XLM", "ATOM", "ETC", "FIL", "AAVE", "ALGO", "NEAR", "SUI", "ARB", "OP", "APT", "MATIC", "TON", "PEPE", "SHIB",
+)
 CRYPTO_NAMES = ("BTC", "ETH", "LTC", "XRP", "BNB", "SOL", "DOGE", "ADA", "DOT", "AVAX", "LINK", "UNI")
 MORE_CRYPTO_NAMES = (*CRYPTO_NAMES, "ICP", "DASH", "EOS", "NEAR", "APE", "SHIB")
 METAL_NAMES = ("XAU", "XAG", "XPT", "XPD")

@@ -29,13 +29,15 @@ def replay(trades: DataFrame, keys: Sequence[str], order: Sequence[str], day: Co
     live = rows.where("_before = 0")
     taken = F.col("_open")
     win = taken & (F.col("_pnl") > 0)
-    out = live.groupBy(*keys).agg(
+    # By day, then by key: the chain of windows runs once.
+    days = live.groupBy(*keys, "_day").agg(
         F.count_if(taken).alias("taken"), F.count_if(~taken).alias("skipped"), F.count_if(win).alias("wins"), F.sum(F.when(win, F.col("_pnl")).otherwise(0.0)).alias("_won"), F.sum(F.when(taken & ~win, -F.col("_pnl")).otherwise(0.0)).alias("_lost"),
-        F.coalesce(F.sum(F.when(taken, F.col("_pnl"))), F.lit(0.0)).alias("final_pnl"), F.least(F.lit(0.0), F.min("_eq")).alias("max_loss"),
-        F.max("_days").alias("trading_days"), F.max(F.when(F.col("_stop") == 1, 1).otherwise(0)).alias("_bust"), F.max(F.when(F.col("_stop") == 2, 1).otherwise(0)).alias("_won_it"),
+        F.sum(F.when(taken, F.col("_pnl"))).alias("_d"), F.min("_eq").alias("_least"), F.max("_days").alias("_n"), F.max(F.when(F.col("_stop") == 1, 1).otherwise(0)).alias("_bust"), F.max(F.when(F.col("_stop") == 2, 1).otherwise(0)).alias("_won_it"),
+    )
+    out = days.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("taken", "skipped", "wins", "_won", "_lost")], F.coalesce(F.sum("_d"), F.lit(0.0)).alias("final_pnl"), F.least(F.lit(0.0), F.min("_least")).alias("max_loss"),
+        F.max("_n").alias("trading_days"), F.max("_bust").alias("_bust"), F.max("_won_it").alias("_won_it"), F.least(F.lit(0.0), F.min(F.round("_d", 6))).alias("worst_day"),
     )
-    by_day = live.where(taken).groupBy(*keys, "_day").agg(F.round(F.sum("_pnl"), 6).alias("_d")).groupBy(*keys).agg(F.least(F.lit(0.0), F.min("_d")).alias("worst_day"))
-    out = out.join(by_day, list(keys), "left") if keys else out.join(by_day)
     rate = F.try_divide("wins", "taken")
     payoff = F.try_divide(F.try_divide("_won", "wins"), F.try_divide("_lost", F.col("taken") - F.col("wins")))
     out = out.withColumns({

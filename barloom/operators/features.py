@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import full
+from barloom.operators.joins import counted
 
 EPSILON = 1e-12
 
@@ -57,38 +59,45 @@ def momentum_efficiency(bars: DataFrame, epsilon: float = EPSILON) -> DataFrame:
 def ewm(bars: DataFrame, column: str, span: int, name: str, adjust: bool = False) -> DataFrame:
     """Exponential moving average of a symbol's bars, in two passes over chunks of one day.
 
-    A day's bars turn a carry a into a * decay + offset. Days are chained over one row each, and
-    the carry is then applied inside the day, so no task holds a whole series. adjust: the
-    weighted form, a ratio of two such averages.
+    A chunk's bars turn a carry a into a * decay + offset. Chunks are chained over one row each, and
+    the carry is then applied inside the chunk, so no task holds a whole series. A day has several
+    chunks where keep ** -k would leave the range of a double. adjust: the weighted form, a ratio of two such averages.
     """
     keep = 1 - 2 / (span + 1)
-    rows = bars.withColumn("_day", F.to_date("time_utc")).withColumn("_k", F.row_number().over(Window.partitionBy("symbol", "_day").orderBy("time_utc")))
-    first = F.row_number().over(by_time()) == 1
+    if keep <= 0:
+        return bars.withColumn(name, F.col(column).cast("double"))
+    longest = max(1, int(500 / -math.log(keep)))
+    rows = bars.withColumn("_d", F.to_date("time_utc")).withColumn("_k", F.row_number().over(Window.partitionBy("symbol", "_d").orderBy("time_utc")))
+    rows = rows.withColumn("_day", F.struct("_d", F.expr(f"(_k - 1) div {longest}").alias("part"))).withColumn("_k", (F.col("_k") - 1) % longest + 1).drop("_d")
+    starts = counted(bars.groupBy("symbol").agg(F.min("time_utc").alias("_first")))
+    rows = rows.join(starts, "symbol")
+    first = F.col("time_utc") == F.col("_first")
     gain = F.lit(1 - keep) if not adjust else F.lit(1.0)
     rows = rows.withColumn("_start", first)
     rows = rows.withColumn("_x", F.when(F.col("_start") & F.lit(not adjust), F.col(column)).otherwise(gain * F.col(column)))
     rows = rows.withColumn("_w", F.lit(1.0))
     size = F.count(F.lit(1)).over(Window.partitionBy("symbol", "_day"))
-    # Inside a day, in terms of keep**-k: bounded because a day has few bars and the span is not tiny.
+    # Inside a chunk, in terms of keep**-k, which stays below e**500.
     inside = Window.partitionBy("symbol", "_day").orderBy("time_utc").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_n": size, "_cx": F.sum(F.col("_x") * F.pow(F.lit(keep), -F.col("_k"))).over(inside), "_cw": F.sum(F.col("_w") * F.pow(F.lit(keep), -F.col("_k"))).over(inside)})
     scale = F.pow(F.lit(keep), F.col("_k"))
     rows = rows.withColumns({"_px": F.col("_cx") * scale, "_pw": F.col("_cw") * scale})
-    days = rows.where("_k = _n").select("symbol", "_day", F.col("_n").alias("n"), F.col("_px").alias("px"), F.col("_pw").alias("pw"))
+    days = rows.where("_k = _n").select("symbol", F.col("_day._d").alias("d"), F.col("_day.part").alias("part"), F.col("_n").alias("n"), F.col("_px").alias("px"), F.col("_pw").alias("pw"))
 
     def chain(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("_day")
+        days = days.sort_values(["d", "part"])
         ax = aw = 0.0
         before = []
         for n, px, pw in zip(days["n"], days["px"], days["pw"], strict=True):
             before.append((ax, aw))
             ax, aw = ax * keep**n + px, aw * keep**n + pw
-        return pd.DataFrame({"symbol": days["symbol"], "_day": days["_day"], "_ax": [a for a, _ in before], "_aw": [b for _, b in before]})
+        return pd.DataFrame({"symbol": days["symbol"], "d": days["d"], "part": days["part"], "_ax": [a for a, _ in before], "_aw": [b for _, b in before]})
 
-    carry = days.groupBy("symbol").applyInPandas(chain, "symbol string, _day date, _ax double, _aw double")
-    rows = rows.join(carry, ["symbol", "_day"])
+    carry = days.groupBy("symbol").applyInPandas(chain, "symbol string, d date, part long, _ax double, _aw double")
+    carry = carry.select("symbol", F.struct(F.col("d").alias("_d"), "part").alias("_day"), "_ax", "_aw")
+    rows = rows.join(carry.hint("shuffle_merge"), ["symbol", "_day"])
     x, w = F.col("_px") + scale * F.col("_ax"), F.col("_pw") + scale * F.col("_aw")
-    return rows.withColumn(name, x / w if adjust else x).drop("_day", "_k", "_start", "_x", "_w", "_n", "_cx", "_cw", "_px", "_pw", "_ax", "_aw")
+    return rows.withColumn(name, x / w if adjust else x).drop("_day", "_k", "_first", "_start", "_x", "_w", "_n", "_cx", "_cw", "_px", "_pw", "_ax", "_aw")
 
 
 def trend(bars: DataFrame, fast: str, slow: str, slope: int = 50) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.joins import counted
+
 
 def _table(bounds: DataFrame, step: Column, at) -> DataFrame:
     """Folds k = 0, 1, ... of each symbol whose end is not after its last time. at(k): the four bounds."""
     rows = bounds.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(step, F.lit(0)).cast("int"))))
     a, b, c, d = at(F.col("k"))
-    rows = rows.select("symbol", F.concat(F.lit("F"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("fold_id"), a.alias("is_start"), b.alias("is_end"), c.alias("oos_start"), d.alias("oos_end"), "last")
+    rows = rows.select("symbol", F.format_string("F%02d", "k").alias("fold_id"), a.alias("is_start"), b.alias("is_end"), c.alias("oos_start"), d.alias("oos_end"), "last")
     return rows.where("oos_end <= last").drop("last")
 
 
@@ -63,7 +65,7 @@ def first_sufficient(options: list[DataFrame], least: int = 6) -> DataFrame:
     size = union.groupBy("symbol", "option").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("symbol").orderBy((F.col("n") >= least).desc(), F.when(F.col("n") >= least, 0).otherwise(-F.col("n")), "option")
     best = size.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("symbol", "option")
-    return union.join(F.broadcast(best), ["symbol", "option"])
+    return union.join(counted(best), ["symbol", "option"])
 
 
 def non_overlapping(folds: DataFrame) -> DataFrame:
@@ -72,19 +74,28 @@ def non_overlapping(folds: DataFrame) -> DataFrame:
     return folds.withColumn("ok", F.coalesce(F.col("oos_start") >= before, F.lit(True)))
 
 
+def _by_day(parts: DataFrame, start: str, end: str) -> DataFrame:
+    """Once for each day from start to end, so that a part meets only the rows of its own days."""
+    return parts.withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date(end)))).hint("shuffle_merge")
+
+
 def tag_segments(rows: DataFrame, folds: DataFrame, time: str) -> DataFrame:
-    """Rows once for each fold part that they fall into (bounds included), as fold_id and segment. A fold table has tens of rows a symbol."""
+    """Rows once for each fold part that they fall into (bounds included), as fold_id and segment."""
     parts = folds.select("symbol", "fold_id", F.explode(F.array(F.struct(F.lit("IS").alias("segment"), F.col("is_start").alias("a"), F.col("is_end").alias("b")), F.struct(F.lit("OOS").alias("segment"), F.col("oos_start").alias("a"), F.col("oos_end").alias("b")))).alias("p"))
-    parts = parts.select("symbol", "fold_id", "p.segment", "p.a", "p.b")
-    return rows.join(parts, "symbol").where((F.col(time) >= F.col("a")) & (F.col(time) <= F.col("b"))).drop("a", "b")
+    parts = parts.select("symbol", "fold_id", "p.segment", "p.a", "p.b").where("a <= b")
+    tagged = rows.withColumn("_day", F.to_date(time)).join(_by_day(parts, "a", "b"), ["symbol", "_day"])
+    return tagged.where((F.col(time) >= F.col("a")) & (F.col(time) <= F.col("b"))).drop("a", "b", "_day")
 
 
 def fold_counts(bars: DataFrame, folds: DataFrame) -> DataFrame:
     """Bars and days in both parts of each fold, ends excluded."""
-    rows = bars.select("symbol", "time_utc").join(folds, "symbol")
+    spans = folds.withColumns({"a": F.least("is_start", "oos_start"), "b": F.greatest("is_end", "oos_end")})
+    rows = bars.select("symbol", "time_utc", F.to_date("time_utc").alias("_day")).join(_by_day(spans, "a", "b"), ["symbol", "_day"])
     inside = lambda a, b: (F.col("time_utc") >= F.col(a)) & (F.col("time_utc") < F.col(b))
-    day = F.to_date("time_utc")
-    return rows.groupBy("symbol", "fold_id").agg(
+    found = rows.groupBy("symbol", "fold_id").agg(
         F.count_if(inside("is_start", "is_end")).alias("is_bars"), F.count_if(inside("oos_start", "oos_end")).alias("oos_bars"),
-        F.countDistinct(F.when(inside("is_start", "is_end"), day)).alias("is_days"), F.countDistinct(F.when(inside("oos_start", "oos_end"), day)).alias("oos_days"),
+        F.countDistinct(F.when(inside("is_start", "is_end"), F.col("_day"))).alias("is_days"), F.countDistinct(F.when(inside("oos_start", "oos_end"), F.col("_day"))).alias("oos_days"),
     )
+    # Folds of a symbol that has bars, but none in the fold, count 0.
+    known = folds.select("symbol", "fold_id").join(bars.select("symbol").distinct().hint("shuffle_merge"), "symbol", "left_semi")
+    return known.join(found.hint("shuffle_merge"), ["symbol", "fold_id"], "left").fillna(0, ["is_bars", "oos_bars", "is_days", "oos_days"])

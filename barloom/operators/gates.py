@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import floor_rank, nearest_rank
+from barloom.operators.joins import counted
 from barloom.operators.folds import tag_segments
 
 # Quantile schemes in the order in which they are tried.
@@ -20,14 +21,14 @@ def trend_gate(bars: DataFrame, q_er: float = 0.60, q_mom: float = 0.55, q_vol:
     """gate_long and gate_short from each symbol's own quantiles of er, mom_bps and vol_bps."""
     a = _whole(bars, "er", {"thr_er": q_er}).join(_whole(bars, "mom_bps", {"thr_mom": q_mom, "thr_mom_short": 1 - q_mom}), "symbol").join(_whole(bars, "vol_bps", {"thr_vol": q_vol}), "symbol")
     base = (F.col("er") >= F.col("thr_er")) & (F.col("vol_bps") <= F.col("thr_vol"))
-    rows = bars.join(F.broadcast(a), "symbol", "left")
+    rows = bars.join(counted(a), "symbol", "left")
     off = F.lit(False)
     return rows.withColumns({"gate_long": F.coalesce(base & (F.col("mom_bps") >= F.col("thr_mom")), off), "gate_short": F.coalesce(base & (F.col("mom_bps") <= F.col("thr_mom_short")), off)})
 
 
 def range_gate(bars: DataFrame, q_er: float = 0.40, q_vol: float = 0.90) -> DataFrame:
     a = _whole(bars, "er", {"thr_er": q_er}).join(_whole(bars, "vol_bps", {"thr_vol": q_vol}), "symbol")
-    rows = bars.join(F.broadcast(a), "symbol", "left")
+    rows = bars.join(counted(a), "symbol", "left")
     return rows.withColumn("gate", F.coalesce((F.col("er") <= F.col("thr_er")) & (F.col("vol_bps") <= F.col("thr_vol")), F.lit(False)))
 
 
@@ -51,7 +52,7 @@ def calibrate_trend(bars: DataFrame, folds: DataFrame, min_rows: int = 5000, lea
     ])
     schemes = wide.select(*keys, F.explode(options).alias("o")).select(*keys, "o.*")
     sizes = rows.groupBy(*keys).agg(F.count_if(F.col("segment") == "IS").alias("n_is"), F.count_if(F.col("segment") == "OOS").alias("n_oos"))
-    tested = rows.select(*keys, "segment", "er", "mom_bps", "vol_bps").join(schemes, keys)
+    tested = rows.select(*keys, "segment", "er", "mom_bps", "vol_bps").join(schemes.hint("shuffle_merge"), keys)
     passed = _passes(F.col("side"), F.col("thr_er"), F.col("thr_mom"), F.col("thr_vol")).cast("double")
     cover = tested.groupBy(*keys, "side", "rank", "scheme", "thr_er", "thr_mom", "thr_vol").agg(F.avg(F.when(F.col("segment") == "IS", passed)).alias("cov_is"), F.coalesce(F.avg(F.when(F.col("segment") == "OOS", passed)), F.lit(0.0)).alias("cov_oos"))
     good = F.col("cov_is").between(least, most)
@@ -68,13 +69,13 @@ def calibrate_range(bars: DataFrame, folds: DataFrame, q_er: float = 0.15, q_vol
     inside, keys = rows.where("segment = 'IS'"), ["symbol", "fold_id"]
     found = nearest_rank(inside, keys, "er", {"thr_er": q_er}).join(nearest_rank(inside, keys, "vol_bps", {"thr_vol": q_vol}), keys).join(nearest_rank(inside, keys, "range_width_atr", {"thr_width": q_width}), keys)
     passed = ((F.col("er") <= F.col("thr_er")) & (F.col("vol_bps") <= F.col("thr_vol")) & (F.col("range_width_atr") <= F.col("thr_width"))).cast("double")
-    return rows.join(found, keys).groupBy(*keys, "thr_er", "thr_vol", "thr_width").agg(F.avg(F.when(F.col("segment") == "IS", passed)).alias("cov_is"), F.coalesce(F.avg(F.when(F.col("segment") == "OOS", passed)), F.lit(0.0)).alias("cov_oos"))
+    return rows.join(found.hint("shuffle_merge"), keys).groupBy(*keys, "thr_er", "thr_vol", "thr_width").agg(F.avg(F.when(F.col("segment") == "IS", passed)).alias("cov_is"), F.coalesce(F.avg(F.when(F.col("segment") == "OOS", passed)), F.lit(0.0)).alias("cov_oos"))
 
 
 def apply_thresholds(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Rows (symbol, fold_id, features) with the gate of each side; parameters without thresholds are skipped."""
     known = params.where("thr_er is not null").select("symbol", "fold_id", "side", "thr_er", "thr_mom", "thr_vol")
-    return rows.join(known, ["symbol", "fold_id"]).withColumn("gate", F.coalesce(_passes(F.col("side"), F.col("thr_er"), F.col("thr_mom"), F.col("thr_vol")), F.lit(False)))
+    return rows.join(known.hint("shuffle_merge"), ["symbol", "fold_id"]).withColumn("gate", F.coalesce(_passes(F.col("side"), F.col("thr_er"), F.col("thr_mom"), F.col("thr_vol")), F.lit(False)))
 
 
 def mean_reversion(bars: DataFrame, k: float, velocity: float = 0.1) -> DataFrame:

@@ -44,7 +44,7 @@ def daily_pnl(trades: DataFrame, keys: Sequence[str], pnl: Column, day: str = "e
 def fill_calendar(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every day from a key's first to its last; missing ones with 0."""
     spans = daily.groupBy(*keys).agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    return spans.join(daily, [*keys, "day"], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
+    return spans.join(daily.hint("shuffle_merge"), [*keys, "day"], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
 
 
 def daily_returns(daily: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:

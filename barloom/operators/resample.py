@@ -1,8 +1,7 @@
 """Resampling as joins: a replicate is one more key, a draw is a row number.
 
-Draws are hashes of (seed, replicate, position), so they need no state, agree between runs and
-come back after a lost task. portable=True takes a linear congruence instead that other SQL
-engines compute alike; it is meant for comparing results only, never for inference.
+Draws are 52 bits of md5(seed:replicate:position), so they need no state, agree between runs and
+engines, and come back after a lost task.
 """
 
 from __future__ import annotations
@@ -12,16 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SMALL_SERIES = 1_000_000
+"""A table of series is broadcast if it has been counted to have no more rows (about 100 MB)."""
 
-def draw(rep: Column, i: Column, n: Column, seed: int, portable: bool = False) -> Column:
-    if portable:
-        return F.pmod(F.pmod(rep.cast("long") * 1103515245 + i.cast("long") * 12345 + seed, F.lit(2147483648)), n)
-    return F.pmod(F.xxhash64(F.lit(seed), rep.cast("long"), i.cast("long")), n)
 
+def with_bits(rows: DataFrame, i: Column, seed: int) -> DataFrame:
+    """rows (rep, ...) with _bits: 52 random bits for each replicate and i."""
+    text = F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"), F.lit(":"), i.cast("string"))
+    return rows.withColumn("_bits", F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long"))
 
-def uniform(rep: Column, i: Column, seed: int) -> Column:
-    """A number in [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), rep.cast("long"), i.cast("long")), F.lit(1 << 52)) / float(1 << 52)
+
+def with_draw(rows: DataFrame, i: Column, n: Column, seed: int) -> DataFrame:
+    """rows with src: a position from 0 to n - 1 for each replicate and i."""
+    return with_bits(rows, i, seed).withColumn("src", F.col("_bits") % n).drop("_bits")
+
+
+def with_uniform(rows: DataFrame, i: Column, seed: int, name: str) -> DataFrame:
+    """rows with a number in [0, 1)."""
+    return with_bits(rows, i, seed).withColumn(name, F.col("_bits") / float(1 << 52)).drop("_bits")
 
 
 def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -38,37 +45,40 @@ def _slots(series: DataFrame, keys: Sequence[str], reps: int) -> DataFrame:
 
 
 def _take(slots: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return slots.join(series.select(*keys, F.col("pos").alias("src"), "v").hint("shuffle_merge"), [*keys, "src"])
+    # Beside a broadcast series the slots stay where they are, all of a replicate in one partition.
+    values = series.select(*keys, F.col("pos").alias("src"), "v")
+    values = F.broadcast(values) if values.count() <= SMALL_SERIES else values.hint("shuffle_merge")
+    return slots.join(values, [*keys, "src"])
 
 
-def iid(series: DataFrame, keys: Sequence[str], reps: int, seed: int, portable: bool = False) -> DataFrame:
+def iid(series: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
     """keys, rep, i, v: each position drawn from all."""
-    slots = _slots(series, keys, reps).withColumn("src", draw(F.col("rep"), F.col("i"), F.col("n"), seed, portable))
+    slots = with_draw(_slots(series, keys, reps), F.col("i"), F.col("n"), seed)
     return _take(slots, series, keys)
 
 
-def circular_blocks(series: DataFrame, keys: Sequence[str], reps: int, block: int, seed: int, portable: bool = False) -> DataFrame:
+def circular_blocks(series: DataFrame, keys: Sequence[str], reps: int, block: int, seed: int) -> DataFrame:
     """Blocks from random starts, wrapping round."""
     b = F.expr(f"i div {block}")
-    slots = _slots(series, keys, reps).withColumn("src", F.pmod(draw(F.col("rep"), b, F.col("n"), seed, portable) + F.pmod(F.col("i"), F.lit(block)), F.col("n")))
+    slots = with_draw(_slots(series, keys, reps), b, F.col("n"), seed).withColumn("src", F.pmod(F.col("src") + F.pmod(F.col("i"), F.lit(block)), F.col("n")))
     return _take(slots, series, keys)
 
 
-def plain_blocks(series: DataFrame, keys: Sequence[str], reps: int, block: int, seed: int, portable: bool = False) -> DataFrame:
+def plain_blocks(series: DataFrame, keys: Sequence[str], reps: int, block: int, seed: int) -> DataFrame:
     """Blocks from starts at which a whole block fits; positions keep their place in time."""
     b, room = F.expr(f"i div {block}"), F.greatest(F.col("n") - block + 1, F.lit(1))
-    slots = _slots(series, keys, reps).withColumn("src", F.least(draw(F.col("rep"), b, room, seed, portable) + F.pmod(F.col("i"), F.lit(block)), F.col("n") - 1))
+    slots = with_draw(_slots(series, keys, reps), b, room, seed).withColumn("src", F.least(F.col("src") + F.pmod(F.col("i"), F.lit(block)), F.col("n") - 1))
     return _take(slots, series, keys)
 
 
 def stationary(series: DataFrame, keys: Sequence[str], reps: int, mean_block: float | None, seed: int) -> DataFrame:
     """Blocks of geometric length; mean_block None: the cube root of the length."""
     length = F.lit(float(mean_block)) if mean_block else F.pow(F.col("n").cast("double"), F.lit(1 / 3))
-    new = (F.col("i") == 0) | (uniform(F.col("rep"), F.col("i"), seed + 1) < 1 / length)
-    slots = _slots(series, keys, reps).withColumn("start_i", F.when(new, F.col("i")))
+    slots = with_uniform(_slots(series, keys, reps), F.col("i"), seed + 1, "_u")
+    slots = slots.withColumn("start_i", F.when((F.col("i") == 0) | (F.col("_u") < 1 / length), F.col("i"))).drop("_u")
     w = Window.partitionBy(*keys, "rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     slots = slots.withColumn("start_i", F.last("start_i", ignorenulls=True).over(w))
-    slots = slots.withColumn("src", F.pmod(draw(F.col("rep"), F.col("start_i"), F.col("n"), seed) + F.col("i") - F.col("start_i"), F.col("n")))
+    slots = with_draw(slots, F.col("start_i"), F.col("n"), seed).withColumn("src", F.pmod(F.col("src") + F.col("i") - F.col("start_i"), F.col("n")))
     return _take(slots, series, keys)
 
 
@@ -79,12 +89,12 @@ def mean_interval(draws: DataFrame, keys: Sequence[str], level: float = 0.95) ->
     return means.groupBy(*keys).agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"), F.avg("m").alias("mean"))
 
 
-def bootstrap_mean(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, reps: int, seed: int, most: int | None = None, portable: bool = False) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, reps: int, seed: int, most: int | None = None) -> DataFrame:
     """Interval of a mean; most: a parameter to draw from at most so many rows of a key, chosen by a hash."""
     series = numbered(rows, keys, order, value)
     if most is not None:
         series = numbered(series.withColumn("h", F.xxhash64("pos", F.lit(seed))), keys, ["h", "pos"], "v").where(F.col("pos") < most).withColumn("n", F.least(F.col("n"), F.lit(most)))
-    return mean_interval(iid(series, keys, reps, seed, portable), keys)
+    return mean_interval(iid(series, keys, reps, seed), keys)
 
 
 def path_metrics(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,9 +122,11 @@ def path_quantiles(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
 def stressed_draws(draws: DataFrame, keys: Sequence[str], multiple: float, slip: float, seed: int) -> DataFrame:
     """Every return less half the mean absolute return times (multiple - 1); one in ten loses slip more."""
     size = draws.groupBy(*keys).agg(F.avg(F.abs("v")).alias("_a")) if keys else draws.agg(F.avg(F.abs("v")).alias("_a"))
-    rows = draws.join(F.broadcast(size), list(keys)) if keys else draws.join(F.broadcast(size))
-    extra = F.when(uniform(F.col("rep"), F.col("i"), seed + 2) < 0.1, slip).otherwise(0.0)
-    return rows.withColumn("v", F.col("v") - F.col("_a") * (multiple - 1) * 0.5 - extra).drop("_a")
+    sizes = F.broadcast(size) if not keys or size.count() <= SMALL_SERIES else size.hint("shuffle_merge")
+    rows = draws.join(sizes, list(keys)) if keys else draws.join(sizes)
+    rows = with_uniform(rows, F.col("i"), seed + 2, "_u")
+    extra = F.when(F.col("_u") < 0.1, slip).otherwise(0.0)
+    return rows.withColumn("v", F.col("v") - F.col("_a") * (multiple - 1) * 0.5 - extra).drop("_a", "_u")
 
 
 def all_methods(series: DataFrame, keys: Sequence[str], reps: int, block: int, seed: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ def next_bar_returns(signals: DataFrame, base: Column, stress: Column) -> DataFr
 def clock_returns(signals: DataFrame, bars: DataFrame, horizons: Sequence[int], seconds: int) -> DataFrame:
     """Return to the close exactly h steps of the clock on, one row a signal and horizon; null where no bar stands there."""
     rows = signals.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("_at", F.col("time_utc") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("horizon") * seconds).cast("decimal(18,6)")))
-    later = bars.select(F.col("symbol").alias("_s"), F.col("time_utc").alias("_t"), F.col("close").alias("later_close"))
+    later = bars.select(F.col("symbol").alias("_s"), F.col("time_utc").alias("_t"), F.col("close").alias("later_close")).hint("shuffle_merge")
     out = rows.join(later, (F.col("symbol") == F.col("_s")) & (F.col("_at") == F.col("_t")), "left").drop("_s", "_t", "_at")
     return out.withColumn("fwd_ret", F.when(F.col("side") == "SHORT", -1).otherwise(1) * (F.try_divide("later_close", "close") - 1))
 
@@ -60,7 +60,7 @@ def label_exits(entries: DataFrame, bars: DataFrame, time_stop: int, min_hold: i
     own = ["symbol", *keys, "i", "side"]
     path = bars.select("symbol", F.col("idx").alias("j"), F.col("time_utc").alias("exit_time"), "high", "low", "close", "gate_long", "gate_short", "weekend", F.expr(f"idx div {time_stop}").alias("block"))
     e = entries.withColumn("block", F.explode(F.array(F.expr(f"i div {time_stop}"), F.expr(f"i div {time_stop}") + 1)))
-    rows = e.join(path, ["symbol", "block"]).where((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + time_stop))
+    rows = e.join(path.hint("shuffle_merge"), ["symbol", "block"]).where((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + time_stop))
     so_far = Window.partitionBy(*own).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     long = F.col("side") == "LONG"
     gate = F.when(long, F.col("gate_long")).otherwise(F.col("gate_short"))
@@ -90,22 +90,19 @@ def label_exits(entries: DataFrame, bars: DataFrame, time_stop: int, min_hold: i
 def without_overlap(labelled: DataFrame, cooldown: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Of entries with their exits, those that a single position takes: each begins after the exit before it and the cooldown.
 
-    Only entry and exit numbers of one group go to a task, at most as many as the group has bars.
+    The chain goes over entry and exit numbers of one group, at most as many as the group has bars.
     """
-    names = [*keys, "i"]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in labelled.schema if f.name in names)
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
+    def chain(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
         free, take = -1, []
-        for i, end in zip(rows["i"], rows["exit_idx"], strict=True):
+        for i, end in zip(rows["i"].to_pylist(), rows["exit_idx"].to_pylist(), strict=True):
             take.append(i >= free)
             if take[-1]:
                 free = end + cooldown + 1
-        return rows.loc[take, names]
+        return rows.filter(pa.array(take, pa.bool_()))
 
-    taken = labelled.select(*names, "exit_idx").groupBy(*keys).applyInPandas(chain, ", ".join(kinds.split(", ")))
-    return labelled.join(taken, names, "left_semi")
+    return labelled.groupBy(*keys).applyInArrow(chain, labelled.schema)
 
 
 def next_match(exits: DataFrame, entries: DataFrame, cooldown: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -133,7 +130,7 @@ def sweep(entries: DataFrame, bars: DataFrame, folds: DataFrame, grid: DataFrame
     rows = entries.join(F.broadcast(grid))
     labelled = label_exits(rows, bars, time_stop, min_hold, gate_off_bars, keys=("combo", "sl", "tp", "trail"))
     ends = folds.select("symbol", "fold_id", F.explode(F.array(F.struct(F.lit("IS").alias("segment"), F.col("is_end").alias("end")), F.struct(F.lit("OOS").alias("segment"), F.col("oos_end").alias("end")))).alias("p")).select("symbol", "fold_id", "p.segment", "p.end")
-    tagged = tag_segments(labelled, folds, "signal_time").join(ends, ["symbol", "fold_id", "segment"]).where("exit_time <= end").drop("end")
+    tagged = tag_segments(labelled, folds, "signal_time").join(ends.hint("shuffle_merge"), ["symbol", "fold_id", "segment"]).where("exit_time <= end").drop("end")
     return without_overlap(tagged, cooldown, ("symbol", "fold_id", "segment", "combo"))
 
 

@@ -18,7 +18,10 @@ from barloom.sources.fixtures import LONG, SHORT, SQL_BARS, SQL_FOLDS, SQL_QUOTE
 
 CLASSES = {"EQUITY": 2.0, "ENERGY": 3.0, "METAL": 4.0}
 # Names of instruments put in place of the parts' own, so that every class occurs.
-NAMES = ("EURUSD", "EURSEK", "XAUUSD", "USOIL", "BTCUSD", "US500.CASH", "ACME", "GER40")
+NAMES = (
+    "EURUSD", "EURSEK", "XAUUSD", "USOIL", "BTCUSD", "US500.CASH", "ACME", "GER40", "AVAXUSD", "PEPEUSD", "XLMUSD", "UNIUSD", "LINKUSD", "OPUSD", "TONUSD", "SEKUSD", "USDJPY", "GBPCHF", "NZDCAD", "XPTEUR", "NATGAS",
+    "BRENT.SPOT", "UK100", "JP225", "FRA40", "ZARJPY", "NOKEUR", "EURPLN", "btcusdt", "SPX500", "SHIBUSD", "ICPUSD",
+)
 
 
 def named_quotes(spark, folder) -> DataFrame:
@@ -27,10 +30,21 @@ def named_quotes(spark, folder) -> DataFrame:
     return X.quotes(spark, folder).withColumn("key", key).withColumn("name", F.element_at(names, F.col("key") % len(NAMES) + 1)).withColumn("asset_class", C.asset_class(F.col("name"), F.concat(F.when(F.col("name") == "ACME", F.lit("Stocks/")).otherwise(F.lit("")), F.col("path")), F.col("description")))
 
 
+MAJOR = ", ".join(f"'{x}'" for x in C.MAJORS)
+FX = f"length(s) BETWEEN 6 AND 10 AND right(s, 3) IN ({MAJOR})"
 SQL_NAMED = SQL_QUOTES + f""",
-named AS (SELECT *, ['EQUITY','INDEX','FX_MAJOR','FX_MINOR','METAL','ENERGY','CRYPTO','INDEX'][CASE name WHEN 'EURUSD' THEN 3 WHEN 'EURSEK' THEN 0 WHEN 'XAUUSD' THEN 5 WHEN 'USOIL' THEN 6 WHEN 'BTCUSD' THEN 7 WHEN 'ACME' THEN 1 ELSE 2 END] AS asset_class
-  FROM (SELECT *, {list(NAMES)}[key % {len(NAMES)} + 1] AS name FROM (SELECT *, CAST(regexp_extract(symbol, '(\\d+)$', 1) AS INT) AS key FROM quotes)))"""
-SQL_NAMED = SQL_NAMED.replace("WHEN 'EURSEK' THEN 0", "WHEN 'EURSEK' THEN 9")
+named AS (SELECT * EXCLUDE (s, p, d),
+    CASE WHEN regexp_matches(s, '{C.INDEX_PATTERN}') OR regexp_matches(p, '{C.INDEX_PATTERN}') THEN 'INDEX' WHEN regexp_matches(s, '{C.METAL_PATTERN}') THEN 'METAL'
+      WHEN regexp_matches(s, '{C.ENERGY_PATTERN}') OR regexp_matches(p, '{C.ENERGY_PATTERN}') THEN 'ENERGY' WHEN contains(p, 'CRYPTO') OR contains(d, 'CRYPTO') OR regexp_matches(s, '^({"|".join(C.CRYPTO_PREFIXES)})') THEN 'CRYPTO'
+      WHEN {FX} AND left(s, 3) IN ({MAJOR}) THEN 'FX_MAJOR' WHEN {FX} THEN 'FX_MINOR' WHEN regexp_matches(p, '{C.EQUITY_PATTERN}') OR regexp_matches(d, '{C.EQUITY_PATTERN}') THEN 'EQUITY' ELSE 'OTHER' END AS asset_class
+  FROM (SELECT *, upper(name) AS s, upper(CASE WHEN name = 'ACME' THEN 'Stocks/' ELSE '' END || path) AS p, upper(description) AS d
+    FROM (SELECT *, {list(NAMES)}[key % {len(NAMES)} + 1] AS name FROM (SELECT *, CAST(regexp_extract(symbol, '(\\d+)$', 1) AS INT) AS key FROM quotes))))"""
+
+
+def _by_name(crypto: tuple[str, ...]) -> str:
+    has = lambda names: f"regexp_matches(upper(name), '{'|'.join(names)}')"
+    money = "|".join(C.CURRENCIES)
+    return f"CASE WHEN {has(crypto)} THEN 'crypto' WHEN {has(C.METAL_NAMES)} THEN 'metal' WHEN {has(C.ENERGY_NAMES)} THEN 'energy' WHEN {has(C.INDEX_NAMES)} THEN 'index' WHEN regexp_matches(upper(name), '^({money})|({money})$') THEN 'forex' ELSE 'other' END"
 
 
 @query("F1_asset_class", SQL_NAMED, sql="SELECT symbol, name, coalesce(asset_class, 'OTHER') AS asset_class FROM named")
@@ -38,7 +52,7 @@ def f1(spark, folder):
     return named_quotes(spark, folder).select("symbol", "name", "asset_class")
 
 
-@query("F2_asset_class_by_name", SQL_NAMED, sql="SELECT symbol, CASE name WHEN 'EURUSD' THEN 'forex' WHEN 'EURSEK' THEN 'forex' WHEN 'XAUUSD' THEN 'metal' WHEN 'USOIL' THEN 'energy' WHEN 'BTCUSD' THEN 'crypto' WHEN 'ACME' THEN 'other' ELSE 'index' END AS by_name, CASE name WHEN 'EURUSD' THEN 'forex' WHEN 'EURSEK' THEN 'forex' WHEN 'XAUUSD' THEN 'metal' WHEN 'USOIL' THEN 'energy' WHEN 'BTCUSD' THEN 'crypto' WHEN 'ACME' THEN 'other' ELSE 'index' END AS by_more_names FROM named")
+@query("F2_asset_class_by_name", SQL_NAMED, sql=f"SELECT symbol, {_by_name(C.CRYPTO_NAMES)} AS by_name, {_by_name(C.MORE_CRYPTO_NAMES)} AS by_more_names FROM named")
 def f2(spark, folder):
     return named_quotes(spark, folder).select("symbol", C.asset_class_by_name(F.col("name")).alias("by_name"), C.asset_class_by_name(F.col("name"), C.MORE_CRYPTO_NAMES).alias("by_more_names"))
 
@@ -358,12 +372,12 @@ BOUNDS = "bounds AS (SELECT o_orderpriority AS symbol, date_trunc('day', min(o_o
 FOLD_COLUMNS = ", ".join(f"CAST(epoch({c}) AS BIGINT) AS {c}" for c in ("is_start", "is_end", "oos_start", "oos_end"))
 
 
-@query("T17_fold_table_calendar_months", BOUNDS, sql=f"SELECT symbol, fold_id, {FOLD_COLUMNS} FROM (SELECT symbol, last, 'F' || lpad(CAST(k AS VARCHAR), 2, '0') AS fold_id, m + to_months(CAST(3 * k AS INT)) AS is_start, m + to_months(CAST(3 * k + 12 AS INT)) AS is_end, m + to_months(CAST(3 * k + 12 AS INT)) + INTERVAL 7 DAY AS oos_start, m + to_months(CAST(3 * k + 15 AS INT)) + INTERVAL 7 DAY AS oos_end FROM (SELECT *, date_trunc('month', first) AS m FROM bounds), ks) WHERE oos_end <= last")
+@query("T17_fold_table_calendar_months", BOUNDS, sql=f"SELECT symbol, fold_id, {FOLD_COLUMNS} FROM (SELECT symbol, last, printf('F%02d', k) AS fold_id, m + to_months(CAST(3 * k AS INT)) AS is_start, m + to_months(CAST(3 * k + 12 AS INT)) AS is_end, m + to_months(CAST(3 * k + 12 AS INT)) + INTERVAL 7 DAY AS oos_start, m + to_months(CAST(3 * k + 15 AS INT)) + INTERVAL 7 DAY AS oos_end FROM (SELECT *, date_trunc('month', first) AS m FROM bounds), ks) WHERE oos_end <= last")
 def t17_calendar(spark, folder):
     return O.calendar_month_folds(order_bounds(spark, folder), 12, 3, 3, 7 * 86400).select("symbol", "fold_id", *[ep(c).alias(c) for c in ("is_start", "is_end", "oos_start", "oos_end")])
 
 
-@query("T17_fold_table_fixed_months", BOUNDS, sql=f"SELECT symbol, fold_id, {FOLD_COLUMNS} FROM (SELECT symbol, last, 'F' || lpad(CAST(k AS VARCHAR), 2, '0') AS fold_id, first + to_days(CAST(90 * k AS INT)) AS is_start, first + to_days(CAST(90 * k + 360 AS INT)) AS is_end, first + to_days(CAST(90 * k + 365 AS INT)) AS oos_start, first + to_days(CAST(90 * k + 455 AS INT)) AS oos_end FROM bounds, ks) WHERE oos_end <= last")
+@query("T17_fold_table_fixed_months", BOUNDS, sql=f"SELECT symbol, fold_id, {FOLD_COLUMNS} FROM (SELECT symbol, last, printf('F%02d', k) AS fold_id, first + to_days(CAST(90 * k AS INT)) AS is_start, first + to_days(CAST(90 * k + 360 AS INT)) AS is_end, first + to_days(CAST(90 * k + 365 AS INT)) AS oos_start, first + to_days(CAST(90 * k + 455 AS INT)) AS oos_end FROM bounds, ks) WHERE oos_end <= last")
 def t17_fixed(spark, folder):
     return O.fixed_month_folds(order_bounds(spark, folder), 12, 3, 3, 5, 30.0).select("symbol", "fold_id", *[ep(c).alias(c) for c in ("is_start", "is_end", "oos_start", "oos_end")])
 

@@ -251,136 +251,101 @@ def m16(spark, folder):
     return M.overall(judged(spark, folder))
 
 
-# Resampling. REPS and portable draws belong to the queries with SQL, which only compare engines: their draws are no
-# random sample. The whole job, of all symbols and segments by hashed draws, has no SQL.
-REPS, SEED, BLOCK = 20, 42, 5
-REPLICATES, RISK_REPLICATES = 1000, 10_000
-FK = ["fold_id"]
-SERIES = SQL_TRADES + f""",
-ser AS (SELECT fold_id, row_number() OVER (PARTITION BY fold_id ORDER BY {ORDER}) - 1 AS pos, count(*) OVER (PARTITION BY fold_id) AS n, net_pnl_base / 10 AS v FROM trades WHERE symbol = 'A' AND segment = 'OOS'),
-slot AS (SELECT fold_id, n, rep, unnest(generate_series(0, n - 1)) AS i FROM (SELECT fold_id, max(n) AS n, unnest(generate_series(0, {REPS - 1})) AS rep FROM ser GROUP BY fold_id))"""
-LCG = "((rep * 1103515245 + {0} * 12345 + 42) % 2147483648) % {1}"
+# Resampling of all symbols, segments and folds; DuckDB draws the same numbers.
+REPS, SEED, BLOCK = 1000, 42, 5
+SERIES_KEYS = ["symbol", "segment", "fold_id"]
 
 
-def _drawn(src: str) -> str:
-    return f"drw AS (SELECT s.fold_id, rep, i, v FROM (SELECT *, {src} AS src FROM slot) s JOIN ser ON ser.fold_id = s.fold_id AND ser.pos = s.src)"
+def _bits(i: str, seed: int = SEED) -> str:
+    """The draw's 52 bits for a replicate rep."""
+    return f"('0x' || left(md5('{seed}:' || rep || ':' || {i}), 13))::BIGINT"
 
 
-def series(spark, folder) -> DataFrame:
-    rows = scaled(spark, folder).where("symbol = 'A' and segment = 'OOS'")
-    return R.numbered(rows, FK, TRADE_ORDER, "r")
+def _draw(i: str, n: str, seed: int = SEED) -> str:
+    return f"{_bits(i, seed)} % {n}"
 
 
-WHOLE = ["symbol", "segment", "fold_id"]
+SERIES = SQL_TRADES + f""",
+ser AS (SELECT dense_rank() OVER (ORDER BY symbol, segment, fold_id) AS g, symbol, segment, fold_id, row_number() OVER (PARTITION BY symbol, segment, fold_id ORDER BY {ORDER}) - 1 AS pos, net_pnl_base / 10 AS v FROM trades),
+grp AS (SELECT g, symbol, segment, fold_id, count(*) AS n FROM ser GROUP BY ALL),
+slot AS (SELECT g, n, rep, unnest(generate_series(0, n - 1)) AS i FROM (SELECT g, n, unnest(generate_series(0, {REPS - 1})) AS rep FROM grp))"""
+PATHS = "pth AS (SELECT g, rep, last(e ORDER BY i) AS final, least(0, min(e / p - 1)) AS mdd FROM (SELECT *, greatest(1, max(e) OVER (PARTITION BY g, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p FROM (SELECT *, exp(sum(ln(1 + v)) OVER (PARTITION BY g, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS e FROM drw)) GROUP BY g, rep)"
 
 
-def whole_series(spark, folder) -> DataFrame:
-    return R.numbered(scaled(spark, folder), WHOLE, TRADE_ORDER, "r")
+def _drawn(src: str) -> str:
+    return f"drw AS (SELECT s.g, rep, i, v FROM (SELECT *, {src} AS src FROM slot) s JOIN ser ON ser.g = s.g AND ser.pos = s.src)"
 
 
-PATHS = "pth AS (SELECT fold_id, rep, last(e ORDER BY i) AS final, least(0, min(e / p - 1)) AS mdd FROM (SELECT *, greatest(1, max(e) OVER (PARTITION BY fold_id, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p FROM (SELECT *, exp(sum(ln(1 + v)) OVER (PARTITION BY fold_id, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS e FROM drw)) GROUP BY fold_id, rep)"
+def series(spark, folder) -> DataFrame:
+    return R.numbered(scaled(spark, folder), SERIES_KEYS, TRADE_ORDER, "r")
 
 
-def _quantiles(out: DataFrame) -> DataFrame:
-    return out.select("fold_id", "metric", *[F.round(c, 6).alias(c) for c in ("p5", "p25", "p50", "p75", "p95")])
+def _quantiles(draws: DataFrame) -> DataFrame:
+    out = R.path_quantiles(R.path_metrics(draws, SERIES_KEYS), SERIES_KEYS)
+    return out.select(*SERIES_KEYS, "metric", *[F.round(c, 6).alias(c) for c in ("p5", "p25", "p50", "p75", "p95")])
 
 
 FLOOR = ", ".join(f"round(list_sort(list({{0}}))[least(CAST(floor(count(*) * {q}::DOUBLE) AS INT), count(*) - 1) + 1], 6) AS p{p}" for p, q in ((5, 0.05), (25, 0.25), (50, 0.5), (75, 0.75), (95, 0.95)))
-QUANTILES = f"SELECT fold_id, 'final' AS metric, {FLOOR.format('final')} FROM pth GROUP BY fold_id UNION ALL SELECT fold_id, 'mdd', {FLOOR.format('mdd')} FROM pth GROUP BY fold_id"
+QUANTILES = f"SELECT symbol, segment, fold_id, metric, p5, p25, p50, p75, p95 FROM (SELECT g, 'final' AS metric, {FLOOR.format('final')} FROM pth GROUP BY g UNION ALL SELECT g, 'mdd', {FLOOR.format('mdd')} FROM pth GROUP BY g) JOIN grp USING (g)"
 
 
-@query("B1_bootstrap_mean", SERIES, _drawn(LCG.format("i", "n")), sql="SELECT fold_id, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg(m), 9) AS mean FROM (SELECT fold_id, rep, avg(v) AS m FROM drw GROUP BY ALL) GROUP BY fold_id")
+@query("B1_bootstrap_mean", SERIES, _drawn(_draw("i", "n")), sql="SELECT symbol, segment, fold_id, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg(m), 9) AS mean FROM (SELECT g, rep, avg(v) AS m FROM drw GROUP BY ALL) JOIN grp USING (g) GROUP BY symbol, segment, fold_id")
 def b1(spark, folder):
-    out = R.mean_interval(R.iid(series(spark, folder), FK, REPS, SEED, portable=True), FK)
-    return out.select("fold_id", *[F.round(c, 9).alias(c) for c in ("low", "high", "mean")])
-
-
-@query("B1_bootstrap_mean_whole")
-def b1_whole(spark, folder):
-    return R.mean_interval(R.iid(whole_series(spark, folder), WHOLE, REPLICATES, SEED), WHOLE)
+    out = R.mean_interval(R.iid(series(spark, folder), SERIES_KEYS, REPS, SEED), SERIES_KEYS)
+    return out.select(*SERIES_KEYS, *[F.round(c, 9).alias(c) for c in ("low", "high", "mean")])
 
 
-@query("B2_iid_paths", SERIES, _drawn(LCG.format("i", "n")), PATHS, sql=QUANTILES)
+@query("B2_iid_paths", SERIES, _drawn(_draw("i", "n")), PATHS, sql=QUANTILES)
 def b2(spark, folder):
-    return _quantiles(R.path_quantiles(R.path_metrics(R.iid(series(spark, folder), FK, REPS, SEED, portable=True), FK), FK))
-
-
-@query("B2_iid_paths_whole")
-def b2_whole(spark, folder):
-    return R.path_quantiles(R.path_metrics(R.iid(whole_series(spark, folder), WHOLE, REPLICATES, SEED), WHOLE), WHOLE)
+    return _quantiles(R.iid(series(spark, folder), SERIES_KEYS, REPS, SEED))
 
 
-@query("B3_circular_blocks", SERIES, _drawn(f"({LCG.format(f'(i // {BLOCK})', 'n')} + i % {BLOCK}) % n"), PATHS, sql=QUANTILES)
+@query("B3_circular_blocks", SERIES, _drawn(f"({_draw(f'(i // {BLOCK})', 'n')} + i % {BLOCK}) % n"), PATHS, sql=QUANTILES)
 def b3(spark, folder):
-    return _quantiles(R.path_quantiles(R.path_metrics(R.circular_blocks(series(spark, folder), FK, REPS, BLOCK, SEED, portable=True), FK), FK))
+    return _quantiles(R.circular_blocks(series(spark, folder), SERIES_KEYS, REPS, BLOCK, SEED))
 
 
-@query("B3_circular_blocks_whole")
-def b3_whole(spark, folder):
-    return R.path_quantiles(R.path_metrics(R.circular_blocks(whole_series(spark, folder), WHOLE, REPLICATES, BLOCK, SEED), WHOLE), WHOLE)
+STRESSED = f"drw AS (SELECT g, rep, i, v - avg(abs(v)) OVER (PARTITION BY g) * 0.5 - CASE WHEN {_bits('i', SEED + 2)} / 4503599627370496::DOUBLE < 0.1::DOUBLE THEN 0.001 ELSE 0 END AS v FROM dr0)"
 
 
-@query("B4_stressed_paths")
+@query("B4_stressed_paths", SERIES, _drawn(_draw("i", "n")).replace("drw AS", "dr0 AS", 1), STRESSED, PATHS, sql=QUANTILES)
 def b4(spark, folder):
-    draws = R.stressed_draws(R.iid(whole_series(spark, folder), WHOLE, REPLICATES, SEED), WHOLE, 2.0, 0.001, SEED)
-    return R.path_quantiles(R.path_metrics(draws, WHOLE), WHOLE)
+    return _quantiles(R.stressed_draws(R.iid(series(spark, folder), SERIES_KEYS, REPS, SEED), SERIES_KEYS, 2.0, 0.001, SEED))
 
 
 ACCOUNT = SQL_TRADES + f""",
-dv AS (SELECT row_number() OVER (ORDER BY d) - 1 AS pos, count(*) OVER () AS n, d, pnl AS v FROM (SELECT CAST(exit_time AS DATE) AS d, round(sum(gross_pnl) * 1000, 6) AS pnl FROM trades WHERE segment = 'OOS' GROUP BY 1)),
-ds AS (SELECT n, rep, unnest(generate_series(0, n - 1)) AS i FROM (SELECT max(n) AS n, unnest(generate_series(0, {REPS - 1})) AS rep FROM dv)),
-da AS (SELECT rep, i, v AS pnl, t.d FROM (SELECT *, least({LCG.format(f'(i // {BLOCK})', f'greatest(n - {BLOCK} + 1, 1)')} + i % {BLOCK}, n - 1) AS src FROM ds) s JOIN dv x ON x.pos = s.src JOIN (SELECT pos AS tp, d FROM dv) t ON t.tp = s.i),
-dw AS (SELECT *, round(sum(pnl) OVER w, 6) AS eq, count(*) OVER w AS days FROM da WINDOW w AS (PARTITION BY rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+dv AS (SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY d) - 1 AS pos, count(*) OVER (PARTITION BY segment) AS n, d, pnl AS v FROM (SELECT segment, CAST(exit_time AS DATE) AS d, round(sum(gross_pnl) * 1000, 6) AS pnl FROM trades GROUP BY ALL)),
+ds AS (SELECT segment, n, rep, unnest(generate_series(0, n - 1)) AS i FROM (SELECT segment, max(n) AS n, unnest(generate_series(0, {REPS - 1})) AS rep FROM dv GROUP BY segment)),
+da AS (SELECT s.segment, rep, i, v AS pnl, t.d FROM (SELECT *, least({_draw(f'(i // {BLOCK})', f'greatest(n - {BLOCK} + 1, 1)')} + i % {BLOCK}, n - 1) AS src FROM ds) s JOIN dv x ON x.segment = s.segment AND x.pos = s.src JOIN (SELECT segment, pos AS tp, d FROM dv) t ON t.segment = s.segment AND t.tp = s.i),
+dw AS (SELECT *, round(sum(pnl) OVER w, 6) AS eq, count(*) OVER w AS days FROM da WINDOW w AS (PARTITION BY segment, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 dx AS (SELECT *, CASE WHEN eq <= -{RULES['total_loss']} THEN 1 WHEN eq >= {RULES['target']} AND days >= 2 THEN 2 ELSE 0 END AS st FROM dw),
-dy AS (SELECT *, coalesce(max(st) OVER (PARTITION BY rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dx),
-dz AS (SELECT rep, max(CAST(st = 1 AS INT)) AS bust, max(CAST(st = 2 AS INT)) AS won, max(CAST(pnl <= -{RULES['daily_loss']} AS INT)) AS vd, sum(pnl) AS final FROM dy WHERE before = 0 GROUP BY rep)"""
+dy AS (SELECT *, coalesce(max(st) OVER (PARTITION BY segment, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dx),
+dz AS (SELECT segment, rep, max(CAST(st = 1 AS INT)) AS bust, max(CAST(st = 2 AS INT)) AS won, max(CAST(pnl <= -{RULES['daily_loss']} AS INT)) AS vd, sum(pnl) AS final FROM dy WHERE before = 0 GROUP BY segment, rep)"""
 
 
-@query("B5_resampled_rules", ACCOUNT, sql="SELECT CAST(count(*) AS BIGINT) AS replicates, avg(bust) AS total_rate, avg(won) AS target_rate, avg(CAST(won = 1 AND vd = 0 AS DOUBLE)) AS pass_rate, round(quantile_cont(final, 0.5), 4) AS median_pnl FROM dz")
+@query("B5_resampled_rules", ACCOUNT, sql="SELECT segment, CAST(count(*) AS BIGINT) AS replicates, avg(bust) AS total_rate, avg(won) AS target_rate, avg(CAST(won = 1 AND vd = 0 AS DOUBLE)) AS pass_rate, round(quantile_cont(final, 0.5), 4) AS median_pnl FROM dz GROUP BY segment")
 def b5(spark, folder):
-    """Days resampled in blocks, dates kept in order, the rules replayed for every replicate."""
-    from barloom.operators import account as K
-
-    t = X.trades(spark, folder).where("segment = 'OOS'")
-    days = M.daily_pnl(t, [], F.col("gross_pnl")).withColumn("pnl", F.round(F.col("pnl") * 1000, 6))
-    own = R.numbered(days, [], ["day"], "pnl")
-    draws = R.plain_blocks(own, [], REPS, BLOCK, SEED, portable=True)
-    dates = days.withColumn("_p", F.lit(0)).select("day", (F.row_number().over(_by_day()) - 1).cast("long").alias("i"))
-    rows = draws.join(dates.hint("shuffle_merge"), "i")
-    out = K.replay(rows, ["rep"], ["i"], F.col("day"), F.col("v"), RULES["daily_loss"], RULES["total_loss"], RULES["target"], RULES["min_days"])
-    passed = F.col("target_reached") & ~F.col("violated_daily")
-    return out.agg(F.count(F.lit(1)).alias("replicates"), F.avg(F.col("violated_total").cast("double")).alias("total_rate"), F.avg(F.col("target_reached").cast("double")).alias("target_rate"), F.avg(passed.cast("double")).alias("pass_rate"), F.round(F.percentile("final_pnl", F.lit(0.5)), 4).alias("median_pnl"))
-
-
-@query("B5_resampled_rules_whole")
-def b5_whole(spark, folder):
-    """B5 for each segment, with hashed draws."""
+    """Days of each segment resampled in blocks, dates kept in order, the rules replayed for every replicate."""
     from barloom.operators import account as K
 
     key = ["segment"]
     days = M.daily_pnl(X.trades(spark, folder), key, F.col("gross_pnl")).withColumn("pnl", F.round(F.col("pnl") * 1000, 6))
-    draws = R.plain_blocks(R.numbered(days, key, ["day"], "pnl"), key, REPLICATES, BLOCK, SEED)
+    draws = R.plain_blocks(R.numbered(days, key, ["day"], "pnl"), key, REPS, BLOCK, SEED)
     dates = R.numbered(days.withColumn("own", F.col("day")), key, ["day"], "own").select(*key, F.col("pos").alias("i"), F.col("v").alias("day"))
     rows = draws.join(dates.hint("shuffle_merge"), [*key, "i"])
     out = K.replay(rows, [*key, "rep"], ["i"], F.col("day"), F.col("v"), RULES["daily_loss"], RULES["total_loss"], RULES["target"], RULES["min_days"])
     passed = F.col("target_reached") & ~F.col("violated_daily")
-    return out.groupBy(*key).agg(F.count(F.lit(1)).alias("replicates"), F.avg(F.col("violated_total").cast("double")).alias("total_rate"), F.avg(F.col("target_reached").cast("double")).alias("target_rate"), F.avg(passed.cast("double")).alias("pass_rate"), F.percentile("final_pnl", F.lit(0.5)).alias("median_pnl"))
-
-
-def _by_day():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("day")
+    return out.groupBy(*key).agg(F.count(F.lit(1)).alias("replicates"), F.avg(F.col("violated_total").cast("double")).alias("total_rate"), F.avg(F.col("target_reached").cast("double")).alias("target_rate"), F.avg(passed.cast("double")).alias("pass_rate"), F.round(F.percentile("final_pnl", F.lit(0.5)), 4).alias("median_pnl"))
 
 
 @query("B6_stationary_bootstrap")
 def b6(spark, folder):
     rows = R.numbered(daily(spark, folder), KEYS, ["day"], "ret")
-    return R.series_risk(R.stationary(rows, KEYS, RISK_REPLICATES, None, SEED), KEYS)
+    return R.series_risk(R.stationary(rows, KEYS, REPS, None, SEED), KEYS)
 
 
 @query("B7_all_methods")
 def b7(spark, folder):
-    return R.all_methods(whole_series(spark, folder), WHOLE, REPLICATES, BLOCK, SEED)
+    return R.all_methods(series(spark, folder), SERIES_KEYS, REPS, BLOCK, SEED)
 
 

@@ -87,11 +87,11 @@ def r5(spark, folder):
     return rows.select("symbol", ep("window_end").alias("window_end"), "rows", "volume")
 
 
-@query("R6_confirmation_state", SQL_BARS, sql=f"SELECT symbol, {EP} AS t FROM (SELECT *, row_number() OVER (PARTITION BY symbol, run, g ORDER BY time_utc) AS k FROM (SELECT *, sum(CAST(NOT g AS INT)) OVER (PARTITION BY symbol ORDER BY time_utc) AS run FROM (SELECT *, coalesce(close > lag(close) OVER (PARTITION BY symbol ORDER BY time_utc), false) AS g FROM bars))) WHERE g AND k % 2 = 0")
+@query("R6_confirmation_state", SQL_BARS, sql=f"SELECT symbol, {EP} AS t FROM (SELECT *, row_number() OVER (PARTITION BY symbol, run, g ORDER BY time_utc) AS k FROM (SELECT *, sum(CAST(NOT g AS INT)) OVER (PARTITION BY symbol ORDER BY time_utc) AS run FROM (SELECT *, coalesce(close > lag(close) OVER (PARTITION BY symbol ORDER BY time_utc), false) AS g FROM bars))) WHERE g AND k % 2 = 0 AND {EP} <= {LAST_BAR} - 86400")
 def r6(spark, folder):
     place = scratch_folder(spark, "gates")
     rows = returns(X.bars(spark, folder)).select("symbol", "time_utc", F.coalesce(F.col("close") > F.col("prev_close"), F.lit(False)).alias("gate"))
-    rows.coalesce(1).write.parquet(place)
+    rows.repartitionByRange(4, "time_utc").write.parquet(place)
     return I.run_to_end(I.confirmations(I.stream_of(spark, place), 2, 0), "streaks").select("symbol", ep("time_utc").alias("t"))
 
 
@@ -100,6 +100,6 @@ def r7(spark, folder):
     return I.sessions(X.ticks(spark, folder), "30 minutes").select("symbol", ep("start").alias("start"), ep("last").alias("last"), "n")
 
 
-@query("R7_sessions_stream")
+@query("R7_sessions_stream", X.SQL_TICKS, sql="SELECT symbol, CAST(floor(min(epoch(time_utc))) AS BIGINT) AS start, CAST(floor(max(epoch(time_utc))) AS BIGINT) AS last, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY time_utc, seq) AS s FROM (SELECT *, CASE WHEN time_utc - lag(time_utc) OVER (PARTITION BY symbol ORDER BY time_utc, seq) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM ticks)) GROUP BY symbol, s HAVING max(time_utc) + INTERVAL 30 MINUTE <= (SELECT max(time_utc) FROM ticks) - INTERVAL 1 HOUR")
 def r7_stream(spark, folder):
     return I.run_to_end(I.sessions(tick_stream(spark, folder), "30 minutes", "1 hour"), "sessions").select("symbol", ep("start").alias("start"), ep("last").alias("last"), "n")

@@ -410,7 +410,7 @@ def t13(spark, folder):
     return K.notional(X.trades(spark, folder), ["symbol", "fold_id"], 100.0).select("symbol", "fold_id", F.round("sl_loss", 9).alias("sl_loss"), F.round("notional", 4).alias("notional"), "sane")
 
 
-@query("S14_report_bundle")
+@query("S14_report_bundle", SQL_TRADES, sql="SELECT symbol, CAST(count(*) AS BIGINT) AS n_trades, CAST(count(*) AS BIGINT) AS n_snapshot, CAST(count(*) AS BIGINT) AS n_stored FROM trades GROUP BY symbol")
 def s14(spark, folder):
     """Trades, one row of metrics and a snapshot written and read back."""
     rows, place = X.trades(spark, folder), scratch_folder(spark, "report")
@@ -425,7 +425,7 @@ def s14(spark, folder):
     return kpis.select("symbol", "n_trades").join(snap, "symbol").join(stored, "symbol")
 
 
-@query("S15_statistics_pack")
+@query("S15_statistics_pack", SQL_TRADES, sql="SELECT 'trades' AS \"table\", CAST(count(*) AS BIGINT) AS n FROM trades UNION ALL SELECT 'core_metrics', count(DISTINCT (symbol, side)) FROM trades UNION ALL SELECT 'folds', count(DISTINCT fold_id) FROM trades UNION ALL SELECT 'costs', 3")
 def s15(spark, folder):
     """Result tables as CSV, one folder each; how many rows each holds when read back."""
     rows, place = X.trades(spark, folder), scratch_folder(spark, "pack")

@@ -230,11 +230,13 @@ def work_list(present: DataFrame, symbols: DataFrame, until: Column, reprocess:
     """Days to fetch (symbol, day, reason): gaps, days since the last one, and days to be done again, where symbol * stands for all; none after `until`."""
     spans = present.groupBy("symbol").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     wanted = spans.select("symbol", "last", F.explode(F.sequence("first", F.greatest(until, F.col("first")))).alias("day"))
-    missing = wanted.join(present.select("symbol", "day").distinct(), ["symbol", "day"], "left_anti").where(F.col("day") <= until)
+    missing = wanted.join(present.select("symbol", "day").distinct().hint("shuffle_merge"), ["symbol", "day"], "left_anti").where(F.col("day") <= until)
     out = missing.select("symbol", "day", F.when(F.col("day") > F.col("last"), "TAIL").otherwise("GAP").alias("reason"))
     if reprocess is not None:
         named = reprocess.where("symbol <> '*'").select("symbol", "day")
-        stars = reprocess.where("symbol = '*'").select("day").distinct().join(symbols.select("symbol").distinct())
+        # One row with the days that all symbols do again.
+        days = reprocess.where("symbol = '*'").agg(F.collect_set("day").alias("days"))
+        stars = symbols.select("symbol").distinct().join(F.broadcast(days)).select("symbol", F.explode("days").alias("day"))
         again = named.unionByName(stars.select("symbol", "day")).where(F.col("day") <= until).distinct().withColumn("reason", F.lit("REPROCESS"))
         out = out.unionByName(again)
     return out.groupBy("symbol", "day").agg(F.max("reason").alias("reason"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.joins import counted
+
 EXPECTED_BARS = 24
 BAR_SECONDS = 3600
 LONG, SHORT = 24, 8
@@ -31,7 +33,10 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Bars under their raw names, time in epoch milliseconds, every 50th row twice (the second with close + 999)."""
-    rows = bars(spark, folder).withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("symbol", "time_utc")))
+    rows = bars(spark, folder)
+    sizes = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("symbol", F.coalesce(F.sum("n").over(Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = rows.join(counted(before), "symbol").withColumn("rn", F.col("before") + F.row_number().over(Window.partitionBy("symbol").orderBy("time_utc")))
     rows = rows.withColumn("ingest_seq", F.explode(F.when(F.col("rn") % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     rows = rows.withColumn("close", F.col("close") + F.when(F.col("ingest_seq") == 2, 999.0).otherwise(0.0))
     return rows.select((F.unix_timestamp("time_utc") * 1000).alias("timestamp_utc"), "symbol", "open", "high", "low", "close", F.col("volume").alias("tick_volume"), F.col("spread").alias("spread_points"), "ingest_seq")
@@ -97,7 +102,7 @@ SQL_TRADES = """trades AS (SELECT *, gross_pnl - cost AS net_pnl_base, gross_pnl
   l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4, l_extendedprice AS k5 FROM lineitem))"""
 SQL_QUOTES = """quotes AS (SELECT upper(p_brand || '-' || CAST(p_partkey AS VARCHAR)) AS symbol, p_type AS path, p_name AS description, p_retailprice AS bid,
   p_retailprice * (1 + p_size / 1e5) AS ask, CAST(p_size AS DOUBLE) AS contract_size, p_partkey % 7 <> 0 AS visible, CAST(p_partkey % 5 - 1 AS INT) AS trade_mode FROM part)"""
-SQL_FOLDS = """folds AS (SELECT symbol, 'F' || lpad(CAST(k AS VARCHAR), 2, '0') AS fold_id, TIMESTAMP '2024-01-01' + to_days(CAST(4 * k AS INT)) AS is_start,
+SQL_FOLDS = """folds AS (SELECT symbol, printf('F%02d', k) AS fold_id, TIMESTAMP '2024-01-01' + to_days(CAST(4 * k AS INT)) AS is_start,
   TIMESTAMP '2024-01-01' + to_days(CAST(4 * k + 10 AS INT)) AS is_end, TIMESTAMP '2024-01-01' + to_days(CAST(4 * k + 11 AS INT)) AS oos_start,
   TIMESTAMP '2024-01-01' + to_days(CAST(4 * k + 15 AS INT)) AS oos_end
   FROM (SELECT DISTINCT symbol FROM ticks), (SELECT unnest(generate_series(0, 7)) AS k)

@@ -104,22 +104,43 @@ def sessions(ticks: DataFrame, gap: str, delay: str | None = None) -> DataFrame:
 STREAKS = "symbol string, time_utc timestamp, streak long"
 
 
-def confirmations(bars: DataFrame, k: int, cooldown: int, delay: str = "1 day") -> DataFrame:
-    """bars (symbol, time_utc, gate): a row where the gate has held k bars in a row, after which `cooldown` bars are passed over. State: run length and bars left to pass over, for each symbol."""
+def confirmations(bars: DataFrame, k: int, cooldown: int, delay: str = "1 day", idle: str = "30 days") -> DataFrame:
+    """bars (symbol, time_utc, gate): a row where the gate has held k bars in a row, after which `cooldown` bars are passed over.
+
+    Bars wait in the state until the watermark has passed them, so those that come out of order
+    within the delay are taken in order; later ones are dropped. State for each symbol: run length,
+    bars left to pass over, the last bar taken, and the bars that wait. A symbol without bars for
+    the idle time loses its state.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, rest = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values("time_utc")
-        out = []
-        for time, gate in zip(rows["time_utc"], rows["gate"], strict=True):
+        run, rest, last, times, gates = state.get if state.exists else (0, 0, -(2**62), [], [])
+        waiting = list(zip(times, gates, strict=True))
+        if not state.hasTimedOut:
+            for rows in frames:
+                micros = rows["time_utc"].astype("datetime64[us]").astype("int64")
+                waiting += [(int(t), bool(g)) for t, g in zip(micros, rows["gate"], strict=True) if t > last]
+        waiting.sort()
+        water = state.getCurrentWatermarkMs()
+        out, at = [], 0
+        while at < len(waiting) and waiting[at][0] <= water * 1000:
+            last, gate = waiting[at]
+            at += 1
             run = run + 1 if gate else 0
             if rest > 0:
                 rest -= 1
             elif run >= k:
-                out.append((key[0], time, run))
+                out.append((key[0], last, run))
                 run, rest = 0, cooldown
-        state.update((run, rest))
-        yield pd.DataFrame(out, columns=["symbol", "time_utc", "streak"])
-
-    rows = bars.select("symbol", "time_utc", "gate")
-    return rows.groupBy("symbol").applyInPandasWithState(step, STREAKS, "run long, rest long", "append", GroupStateTimeout.NoTimeout)
+        waiting = waiting[at:]
+        if state.hasTimedOut and not waiting and last // 1000 + idle_ms <= water:
+            state.remove()
+        else:
+            state.update((run, rest, last, [t for t, _ in waiting], [g for _, g in waiting]))
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 if waiting else last // 1000 + idle_ms, water + 1))
+        found = pd.DataFrame(out, columns=["symbol", "time_utc", "streak"])
+        yield found.assign(time_utc=pd.to_datetime(found["time_utc"].astype("int64"), unit="us"))
+
+    rows = bars.select("symbol", "time_utc", "gate").withWatermark("time_utc", delay)
+    return rows.groupBy("symbol").applyInPandasWithState(step, STREAKS, "run long, rest long, last long, times array<long>, gates array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)

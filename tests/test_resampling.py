@@ -11,17 +11,17 @@ def groups(spark, data):
 
 
 def test_interval_has_a_width_for_all_groups(spark, data):
-    got = QUERIES["B1_bootstrap_mean_whole"](spark, data).collect()
+    got = QUERIES["B1_bootstrap_mean"](spark, data).collect()
     assert {(r.symbol, r.segment, r.fold_id) for r in got} == groups(spark, data)
     assert sum(r.low < r.mean < r.high for r in got) > 0.9 * len(got)
 
 
 def test_final_equity_varies(spark, data):
-    for name in ("B2_iid_paths_whole", "B4_stressed_paths"):
+    for name in ("B2_iid_paths", "B4_stressed_paths"):
         got = [r for r in QUERIES[name](spark, data).collect() if r.metric == "final"]
         assert {(r.symbol, r.segment, r.fold_id) for r in got} == groups(spark, data)
         assert sum(r.p5 < r.p50 < r.p95 for r in got) > 0.9 * len(got)
 
 
 def test_rules_are_replayed_for_both_segments(spark, data):
-    assert {(r.segment, r.replicates) for r in QUERIES["B5_resampled_rules_whole"](spark, data).collect()} == {("IS", 1000), ("OOS", 1000)}
+    assert {(r.segment, r.replicates) for r in QUERIES["B5_resampled_rules"](spark, data).collect()} == {("IS", 1000), ("OOS", 1000)}
