@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import block_dedup, chat, decontam, jaccard, license_scan, line_templates, lm, mixing, quality, suffix_dedup
+from barloom.llm import block_dedup, chat, decontam, jaccard, license_scan, line_templates, lm, mixing, oracles, quality, suffix_dedup, vector_codes
 from barloom.llm.session import shared_folder
 
 
@@ -61,6 +61,10 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontam.digest(decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.encode(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_source_mixing": op2_source_mixing,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES = {
@@ -176,4 +181,5 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS i
 SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(f.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)""",
+    "op11_vector_codes": oracles.vector_codes(),
 }
