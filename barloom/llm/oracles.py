@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators on vectors, URLs and conversations."""
 
+from barloom.llm.url_filter import ALLOW, BIN, BLOCK, END, FOLDS, MOST_BIN, ODD, ORDER, OTHER, RULES, START, UNIT
+
 
 def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """Vectors of one length that parts divides."""
@@ -25,3 +27,41 @@ c0 AS (SELECT p, r AS e, x FROM pt WHERE r < {entries}),{steps}
 b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
 t AS (SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM t JOIN k USING (r), b"""
+
+
+def url_filter() -> str:
+    """The rules and both character models."""
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{{i}}}'" for i, (_, h, p) in enumerate(rules))
+    rule = "CASE " + cases.format(*(h + p for _, h, p in rules)) + " END"
+    ruled = "CASE " + cases.format(*(k for k, _, _ in rules)) + " END"
+
+    def chance(c: str) -> str:
+        return f"CASE WHEN n_{c} = 0 THEN p_{c} ELSE ({c} + t_{c} * p_{c}) / (n_{c} + t_{c}) END AS p_{c}"
+
+    levels = ""
+    for k in range(ORDER + 1):
+        before = "base" if k == 0 else f"f{k - 1} ON right(l.gram, {k}) = f{k - 1}.gram"
+        levels += f"""
+l{k} AS (SELECT *, sum(good) OVER c AS n_good, sum(bad) OVER c AS n_bad, count(*) FILTER (good > 0) OVER c AS t_good, count(*) FILTER (bad > 0) OVER c AS t_bad
+  FROM (SELECT right(gram, {k + 1}) AS gram, CAST(sum(good) AS DOUBLE) AS good, CAST(sum(bad) AS DOUBLE) AS bad FROM counts GROUP BY ALL) WINDOW c AS (PARTITION BY left(gram, {k}))),
+f{k} AS (SELECT l.gram, {chance("good")}, {chance("bad")} FROM l{k} l JOIN {before}{" ON true" if k == 0 else ""}),"""
+    start, end = "chr(2)", "chr(3)"
+    assert (START, END) == ("\x02", "\x03")
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT *, {rule} AS rule, {ruled} AS ruled, ('0x' || left(md5(host || path), 7))::BIGINT % {FOLDS} = 0 AS held,
+  repeat({start}, {ORDER}) || regexp_replace(host || path, '{ODD}', '{OTHER}', 'g') || {end} AS padded FROM h),
+g AS (SELECT r, held, ruled, substr(padded, i, {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, length(padded) - {ORDER} + 1)) AS i FROM j)),
+counts AS (SELECT gram, count(*) FILTER (NOT held AND ruled = '{ALLOW}') AS good, count(*) FILTER (NOT held AND ruled = '{BLOCK}') AS bad FROM g GROUP BY gram),
+base AS (SELECT 1::DOUBLE / (count(*) FILTER (n > 0) + 1) AS p_good, 1::DOUBLE / (count(*) FILTER (n > 0) + 1) AS p_bad FROM (SELECT right(gram, 1) AS c, sum(good + bad) AS n FROM counts GROUP BY c)),{levels}
+w AS (SELECT gram, CAST(round((ln(p_good) - ln(p_bad)) * {UNIT}) AS BIGINT) AS weight FROM f{ORDER}),
+s AS (SELECT r, CAST(sum(weight) AS BIGINT) AS score, count(*) AS n FROM g JOIN w USING (gram) GROUP BY r),
+b AS (SELECT *, least(greatest(CAST(floor(CAST(score AS DOUBLE) / (n * {BIN})) AS BIGINT), -{MOST_BIN}), {MOST_BIN}) AS step FROM s JOIN j USING (r)),
+c AS (SELECT step, count(*) FILTER (ruled = '{ALLOW}') AS a, count(*) FILTER (ruled = '{BLOCK}') AS b FROM b WHERE held AND ruled IS NOT NULL GROUP BY step),
+d AS (SELECT step, sum(a) AS a, sum(b) AS b FROM (SELECT * FROM c UNION ALL SELECT step + 1, 0, 0 FROM c) GROUP BY step),
+e AS (SELECT x.step, (SELECT sum(a) FROM d) AS na, (SELECT sum(b) FROM d) AS nb, coalesce((SELECT sum(a) FROM d WHERE step < x.step), 0) AS pa, coalesce((SELECT sum(b) FROM d WHERE step < x.step), 0) AS pb FROM d x),
+t AS (SELECT step FROM e WHERE na > 0 AND nb > 0 ORDER BY (na - pa) * nb + pb * na DESC, abs(step), step LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN step >= coalesce((SELECT step FROM t), 0) THEN '{ALLOW}' ELSE '{BLOCK}' END) AS verdict,
+  CAST(floor(CAST(score AS DOUBLE) / n) AS BIGINT) AS score, n AS n_chars FROM b"""

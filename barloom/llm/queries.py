@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import block_dedup, chat, decontam, jaccard, license_scan, line_templates, lm, mixing, oracles, quality, suffix_dedup, vector_codes
+from barloom.llm import block_dedup, chat, decontam, jaccard, license_scan, line_templates, lm, mixing, oracles, quality, suffix_dedup, url_filter, vector_codes
 from barloom.llm.session import shared_folder
 
 
@@ -65,6 +65,10 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.encode(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_source_mixing": op2_source_mixing,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op12_url_filter": op12_url_filter,
 }
 
 ORACLES = {
@@ -182,4 +187,5 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce
   sha256(coalesce(f.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)""",
     "op11_vector_codes": oracles.vector_codes(),
+    "op12_url_filter": oracles.url_filter(),
 }
