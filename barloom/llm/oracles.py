@@ -65,3 +65,29 @@ e AS (SELECT x.step, (SELECT sum(a) FROM d) AS na, (SELECT sum(b) FROM d) AS nb,
 t AS (SELECT step FROM e WHERE na > 0 AND nb > 0 ORDER BY (na - pa) * nb + pb * na DESC, abs(step), step LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN step >= coalesce((SELECT step FROM t), 0) THEN '{ALLOW}' ELSE '{BLOCK}' END) AS verdict,
   CAST(floor(CAST(score AS DOUBLE) / n) AS BIGINT) AS score, n AS n_chars FROM b"""
+
+
+PREFIX_TRIE = """
+WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+told AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations),
+ids AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM told),
+fact AS (
+  SELECT c, c - c % 5 AS base, coalesce(xor(list_reduce([4294967295] || list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9, 0) AS h FROM ids, tab),
+part AS (
+  SELECT fact.c, 0 AS half, pos, role, text FROM fact JOIN told ON told.c = base AND pos <= h
+  UNION ALL SELECT fact.c, 1, pos, role, text FROM fact JOIN told ON told.c IS NOT DISTINCT FROM fact.c AND pos > h),
+re AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY half, pos) AS d, md5(strlen(role) || ':' || role || text) AS turn, strlen(text) AS n_bytes FROM part),
+path AS (
+  SELECT c, 0 AS d, '' AS k, 0 AS n_bytes FROM fact
+  UNION ALL SELECT c, d, array_to_string(list(turn) OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ''), n_bytes FROM re),
+last AS (SELECT c, max(d) AS d FROM path GROUP BY c),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n_bytes) AS saved, CASE WHEN d > 0 THEN left(k, 32 * (d - 1)::INT) END AS up FROM path GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY up),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (k)),
+tot AS (SELECT a.k, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved) AS saved FROM full_node a JOIN full_node b ON b.d >= a.d AND starts_with(b.k, a.k) GROUP BY a.k),
+fin AS (SELECT k, string_agg(coalesce(CAST(path.c AS VARCHAR), ''), ',' ORDER BY path.c NULLS LAST) AS ends FROM path JOIN last ON path.c IS NOT DISTINCT FROM last.c AND path.d = last.d GROUP BY k)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(tot.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM full_node n JOIN tot USING (k) LEFT JOIN node p ON p.k = n.up LEFT JOIN fin ON fin.k = n.k"""

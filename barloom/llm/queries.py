@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import block_dedup, chat, decontam, jaccard, license_scan, line_templates, lm, mixing, oracles, quality, suffix_dedup, url_filter, vector_codes
+from barloom.llm import block_dedup, chat, decontam, jaccard, license_scan, line_templates, lm, mixing, oracles, prefix_trie, quality, suffix_dedup, url_filter, vector_codes
 from barloom.llm.session import shared_folder
 
 
@@ -69,6 +69,10 @@ def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, folder, "pages"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_source_mixing": op2_source_mixing,
@@ -82,6 +86,7 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_vector_codes": op11_vector_codes,
     "op12_url_filter": op12_url_filter,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -188,4 +193,5 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce
 FROM dw d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)""",
     "op11_vector_codes": oracles.vector_codes(),
     "op12_url_filter": oracles.url_filter(),
+    "op13_prefix_trie": oracles.PREFIX_TRIE,
 }
