@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,21 @@ def replay(trades: DataFrame, keys: Sequence[str], order: Sequence[str], day: Co
     return out.withColumn("discipline", discipline).drop("_won", "_lost", "_bust", "_won_it")
 
 
+REPLAY_FIELDS = ("violated_total", "target_reached", "violated_daily", "final_pnl")
+
+
+def replay_days(pnl: np.ndarray, daily_loss: float, total_loss: float, target: float, min_days: int) -> tuple[float, float, float, float]:
+    """replay() of one account whose days have one result each: REPLAY_FIELDS, flags as 0 or 1."""
+    equity = np.round(np.cumsum(pnl), 6)
+    bust = equity <= -total_loss
+    stop = bust | (equity >= target) & (np.arange(len(pnl)) + 1 >= min_days)
+    end = int(np.argmax(stop)) + 1 if stop.any() else len(pnl)
+    over = bool(stop[end - 1]) if end else False
+    lost = bool(over and bust[end - 1])
+    taken = pnl[:end]
+    return float(lost), float(over and not lost), float(bool((np.round(taken, 6) <= -daily_loss).any())), float(taken.sum())
+
+
 def daily_overlay(trades: DataFrame, keys: Sequence[str], order: Sequence[str], day: Column, pnl: Column, most: int = 8, loss: float = -0.05, profit: float = 0.08) -> DataFrame:
     """Each day's trades up to the first at which the day has had its most trades, or has lost or gained enough."""
     w = Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,16 +1,33 @@
-"""Resampling as joins: a replicate is one more key, a draw is a row number.
+"""Resampling: a replicate is one more key, a draw is a row number.
 
 Draws are 52 bits of md5(seed:replicate:position), so they need no state, agree between runs and
-engines, and come back after a lost task.
+engines, and come back after a lost task; they do not depend on the series, so all series of a task share them.
+A series is held once, as an array, and each replicate is folded over it in one pass (`replicates`):
+no join, no sort and no window for a replicate. Series longer than LONGEST values go another way to the same
+results: draws are rows that meet the series in a join, gathered into blocks, whose products, peaks and
+drawdowns compose (`path_metrics`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.scratch import scratch_folder
+
+LONGEST = 1 << 20
+"""Values of a series that a task holds as an array (8 MB)."""
+UNIT_VALUES = 1 << 18
+"""Values of the series that are folded together, on average."""
+PATH_BLOCK = 4096
+"""Positions of a replicate in a block, where the series is too long for an array."""
 SMALL_SERIES = 1_000_000
 """A table of series is broadcast if it has been counted to have no more rows (about 100 MB)."""
 
@@ -44,11 +61,21 @@ def _slots(series: DataFrame, keys: Sequence[str], reps: int) -> DataFrame:
     return rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
 
 
+def _by_keys(rows: DataFrame, side: DataFrame, keys: Sequence[str], also: Sequence[str] = (), few: bool = False) -> DataFrame:
+    """rows with the other columns of side, which has one row for equal keys; null keys meet each other."""
+    own = [*keys, *also]
+    named = side.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(own)), *(c for c in side.columns if c not in own))
+    named = F.broadcast(named) if few else named.hint("shuffle_merge")
+    if not own:
+        return rows.join(F.broadcast(named))  # one row
+    same = [rows[c].eqNullSafe(named[f"_k{i}"]) for i, c in enumerate(own)]
+    return rows.join(named, same).drop(*(f"_k{i}" for i in range(len(own))))
+
+
 def _take(slots: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFrame:
     # Beside a broadcast series the slots stay where they are, all of a replicate in one partition.
     values = series.select(*keys, F.col("pos").alias("src"), "v")
-    values = F.broadcast(values) if values.count() <= SMALL_SERIES else values.hint("shuffle_merge")
-    return slots.join(values, [*keys, "src"])
+    return _by_keys(slots, values, keys, ["src"], values.count() <= SMALL_SERIES)
 
 
 def iid(series: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
@@ -71,22 +98,181 @@ def plain_blocks(series: DataFrame, keys: Sequence[str], reps: int, block: int,
     return _take(slots, series, keys)
 
 
+def _blocks_at_most(n: int, mean_block: float) -> int:
+    """Blocks that are drawn; the last of them runs to the end (eight deviations beyond the mean number)."""
+    return math.ceil(n / mean_block + 8 * math.sqrt(n / mean_block)) + 64
+
+
 def stationary(series: DataFrame, keys: Sequence[str], reps: int, mean_block: float | None, seed: int) -> DataFrame:
-    """Blocks of geometric length; mean_block None: the cube root of the length."""
+    """Blocks of geometric length; mean_block None: the cube root of the length.
+
+    Starts and lengths are drawn once a block, lengths by inverse transform; positions follow from their prefix sums.
+    """
     length = F.lit(float(mean_block)) if mean_block else F.pow(F.col("n").cast("double"), F.lit(1 / 3))
-    slots = with_uniform(_slots(series, keys, reps), F.col("i"), seed + 1, "_u")
-    slots = slots.withColumn("start_i", F.when((F.col("i") == 0) | (F.col("_u") < 1 / length), F.col("i"))).drop("_u")
-    w = Window.partitionBy(*keys, "rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    slots = slots.withColumn("start_i", F.last("start_i", ignorenulls=True).over(w))
-    slots = with_draw(slots, F.col("start_i"), F.col("n"), seed).withColumn("src", F.pmod(F.col("src") + F.col("i") - F.col("start_i"), F.col("n")))
+    sizes = series.groupBy(*keys).agg(F.max("n").alias("n")) if keys else series.agg(F.max("n").alias("n")).where("n is not null")
+    rows = sizes.withColumn("_l", length).withColumn("_most", (F.ceil(F.col("n") / F.col("_l") + 8 * F.sqrt(F.col("n") / F.col("_l"))) + 64).cast("long"))
+    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*keys, "rep")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1)))
+    rows = with_uniform(rows, F.col("k"), seed + 1, "_u")
+    drawn = F.when(F.col("_l") <= 1, 1).otherwise(1 + F.floor(F.log(1 - F.col("_u")) / F.log(1 - 1 / F.col("_l"))))
+    rows = rows.withColumn("_len", F.when(F.col("k") == F.col("_most") - 1, F.col("n")).otherwise(F.least(drawn, F.col("n"))).cast("long"))
+    upto = Window.partitionBy(*keys, "rep").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_first", F.coalesce(F.sum("_len").over(upto), F.lit(0).cast("long"))).where("_first < n")
+    rows = with_draw(rows, F.col("k"), F.col("n"), seed)
+    slots = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_len", F.col("n") - F.col("_first")) - 1)))
+    slots = slots.select(*keys, "n", "rep", (F.col("_first") + F.col("_o")).alias("i"), F.pmod(F.col("src") + F.col("_o"), F.col("n")).alias("src"))
     return _take(slots, series, keys)
 
 
-def mean_interval(draws: DataFrame, keys: Sequence[str], level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean."""
-    means = draws.groupBy(*keys, "rep").agg(F.avg("v").alias("m"))
+@dataclass(frozen=True)
+class Draw:
+    """How a replicate is drawn: iid, circular or plain blocks, or stationary (block None: the cube root of the length).
+
+    Stressed: every value less half the mean absolute value that all replicates draw times (multiple - 1); one in ten loses slip more.
+    """
+
+    kind: str
+    block: float | None = None
+    multiple: float = 1.0
+    slip: float = 0.0
+
+    @property
+    def plain(self) -> Draw:
+        return replace(self, multiple=1.0, slip=0.0)
+
+
+class Bits:
+    """52 random bits by seed, replicate and position, as with_bits draws them."""
+
+    def __init__(self) -> None:
+        self.names: list[bytes] = []
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def of(self, seed: int, rep: int, n: int) -> np.ndarray:
+        have = self.held.get((seed, rep))
+        if have is None or len(have) < n:
+            self.names += [b"%d" % i for i in range(len(self.names), n)]
+            start = hashlib.md5(b"%d:%d:" % (seed, rep))
+            drawn = []
+            for name in self.names[:n]:
+                h = start.copy()
+                h.update(name)
+                drawn.append(h.digest()[:7])
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, 1:] = np.frombuffer(b"".join(drawn), np.uint8).reshape(n, 7)
+            have = self.held[seed, rep] = (wide.reshape(-1).view(">u8").astype(np.int64)) >> 4
+        return have[:n]
+
+
+def _lengths(n: int, mean_block: float | None, bits: Bits, seed: int, rep: int) -> tuple[np.ndarray, float]:
+    size = mean_block or n ** (1 / 3)
+    most = _blocks_at_most(n, size)
+    u = bits.of(seed + 1, rep, most) / float(1 << 52)
+    own = np.ones(most) if size <= 1 else 1 + np.floor(np.log(1 - u) / math.log(1 - 1 / size))
+    own[-1] = n
+    own = np.minimum(own, n).astype(np.int64)
+    ends = np.cumsum(own)
+    k = int(np.searchsorted(ends, n)) + 1
+    own = own[:k]
+    own[-1] -= ends[k - 1] - n
+    return own, size
+
+
+def drawn(draw: Draw, v: np.ndarray, bits: Bits, seed: int, rep: int, size: float = 0.0) -> np.ndarray:
+    """One replicate of a series; size: the mean absolute value that stress takes its share of."""
+    n = len(v)
+    i = np.arange(n)
+    if draw.kind == "iid":
+        src = bits.of(seed, rep, n) % n
+    elif draw.kind == "stationary":
+        own, _ = _lengths(n, draw.block, bits, seed, rep)
+        start = bits.of(seed, rep, len(own)) % n
+        src = (np.repeat(start - (np.cumsum(own) - own), own) + i) % n
+    else:
+        block = int(draw.block)
+        start = bits.of(seed, rep, -(-n // block))[i // block]
+        src = (start % n + i % block) % n if draw.kind == "circular" else np.minimum(start % max(n - block + 1, 1) + i % block, n - 1)
+    out = v[src]
+    if draw != draw.plain:
+        u = bits.of(seed + 2, rep, n) / float(1 << 52)
+        out = out - size * (draw.multiple - 1) * 0.5 - np.where(u < 0.1, draw.slip, 0.0)
+    return out
+
+
+PATH_FIELDS = ("final", "mdd", "mean", "std")
+
+
+def path_fold(v: np.ndarray) -> tuple[float | None, ...]:
+    """Final equity, greatest drawdown (the start counts), mean and deviation."""
+    equity = np.cumprod(1 + v)
+    peak = np.maximum(np.maximum.accumulate(equity), 1.0)
+    return equity[-1], min(0.0, (equity / peak - 1).min()), v.mean(), v.std(ddof=1) if len(v) > 1 else None
+
+
+def replicates(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[str, Draw], seed: int, fold: Callable[[np.ndarray], tuple] = path_fold, fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
+    """keys, method, rep and what fold makes of each replicate, for each series of at most LONGEST values. series as numbered() gives it, written out."""
+    own = series.where(F.col("n") <= LONGEST).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).getField("v").cast("array<double>").alias("v"))
+    stressed = next((d.plain for d in draws.values() if d != d.plain), None)
+    if stressed:
+        sizes = replicates(series, keys, reps, {"": stressed}, seed, lambda v: (np.abs(v).mean(),), ("_size",)).groupBy(*keys).agg(F.avg("_size").alias("_size"))
+        own = _by_keys(own, sizes, keys)
+    total = series.where(F.col("n") <= LONGEST).count()
+    units = max(1, math.ceil(total / UNIT_VALUES))
+    parts = min(reps, max(1, math.ceil(4 * series.sparkSession.sparkContext.defaultParallelism / units)))
+    each = own.withColumn("_unit", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(units)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kinds = dict(series.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "method string", "rep int", *(f"`{f}` double" for f in fields)])
+
+    def work(table: pa.Table) -> pa.Table:
+        part = table["_part"][0].as_py()
+        values = [np.array(v, float) for v in table["v"].to_pylist()]
+        size = table["_size"].to_pylist() if stressed else [0.0] * len(values)
+        rows, bits = [], Bits()
+        for rep in range(part, reps, parts):
+            bits.held.clear()
+            for s, v in sorted(enumerate(values), key=lambda x: -len(x[1])):
+                rows += [(s, name, rep, *fold(drawn(draw, v, bits, seed, rep, size[s]))) for name, draw in draws.items()]
+        at, method, rep_of, *found = zip(*rows, strict=True) if rows else ([],) * (3 + len(fields))
+        picked = table.select(list(keys)).take(pa.array(at, pa.int64()))
+        columns = [*picked.columns, pa.array(method, pa.string()), pa.array(rep_of, pa.int32()), *(pa.array([None if x is None else float(x) for x in f], pa.float64()) for f in found)]
+        return pa.table(columns, names=[*keys, "method", "rep", *fields])
+
+    return each.groupBy("_unit", "_part").applyInArrow(work, schema)
+
+
+def draw_rows(draw: Draw, series: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """The same draws as rows keys, rep, i, v."""
+    if draw.kind == "iid":
+        rows = iid(series, keys, reps, seed)
+    elif draw.kind == "stationary":
+        rows = stationary(series, keys, reps, draw.block, seed)
+    else:
+        rows = (circular_blocks if draw.kind == "circular" else plain_blocks)(series, keys, reps, int(draw.block), seed)
+    if draw == draw.plain:
+        return rows
+    rows = _by_keys(rows, rows.groupBy(*keys).agg(F.avg(F.abs("v")).alias("_size")), keys)
+    rows = with_uniform(rows, F.col("i"), seed + 2, "_u")
+    return rows.withColumn("v", F.col("v") - F.col("_size") * (draw.multiple - 1) * 0.5 - F.when(F.col("_u") < 0.1, draw.slip).otherwise(0.0)).drop("_size", "_u")
+
+
+def resampled_paths(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[str, Draw], seed: int) -> DataFrame:
+    """keys, method, rep, final, mdd, mean and std of each replicate, over series of any length."""
+    spark, place = series.sparkSession, scratch_folder(series.sparkSession, "series")
+    series.select(*keys, "pos", "n", "v").write.parquet(place)
+    series = spark.read.parquet(place)
+    out = replicates(series, keys, reps, draws, seed)
+    long = series.where(F.col("n") > LONGEST)
+    if not long.limit(1).count():
+        return out
+    for name, draw in draws.items():
+        out = out.unionByName(path_metrics(draw_rows(draw, long, keys, reps, seed), keys).withColumn("method", F.lit(name)).select(*out.columns))
+    return out
+
+
+def mean_interval(paths: DataFrame, keys: Sequence[str], level: float = 0.95) -> DataFrame:
+    """Percentile interval of the replicates' means."""
     a = (1 - level) / 2
-    return means.groupBy(*keys).agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"), F.avg("m").alias("mean"))
+    return paths.groupBy(*keys).agg(F.percentile("mean", F.lit(a)).alias("low"), F.percentile("mean", F.lit(1 - a)).alias("high"), F.avg("mean").alias("mean"))
 
 
 def bootstrap_mean(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, reps: int, seed: int, most: int | None = None) -> DataFrame:
@@ -94,15 +280,68 @@ def bootstrap_mean(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
     series = numbered(rows, keys, order, value)
     if most is not None:
         series = numbered(series.withColumn("h", F.xxhash64("pos", F.lit(seed))), keys, ["h", "pos"], "v").where(F.col("pos") < most).withColumn("n", F.least(F.col("n"), F.lit(most)))
-    return mean_interval(iid(series, keys, reps, seed), keys)
+    return mean_interval(resampled_paths(series, keys, reps, {"iid": Draw("iid")}, seed), keys)
 
 
-def path_metrics(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Final equity and greatest drawdown of every replicate's compound path."""
-    from barloom.operators.metrics import compound_equity
+def _block_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block of values with its product, highest and lowest product on the way."""
+    for batch in batches:
+        found = [np.cumprod(1 + np.array(v, float)) for v in batch.column("values").to_pylist()]
+        for name, pick in (("product", lambda e: e[-1]), ("top", np.max), ("low", np.min)):
+            batch = batch.append_column(name, pa.array([float(pick(e)) for e in found], pa.float64()))
+        yield batch
 
-    rows = compound_equity(draws, [*keys, "rep"], ["i"], "v")
-    return rows.groupBy(*keys, "rep").agg(F.max_by("equity", "i").alias("final"), F.least(F.lit(0.0), F.min("drawdown")).alias("mdd"))
+
+def _block_falls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's greatest drawdown, from the equity and the peak before it."""
+    for batch in batches:
+        falls = []
+        for v, before, peak in zip(batch.column("values").to_pylist(), batch.column("before").to_pylist(), batch.column("peak").to_pylist(), strict=True):
+            equity = before * np.cumprod(1 + np.array(v, float))
+            falls.append(float((equity / np.maximum(np.maximum.accumulate(equity), peak) - 1).min()))
+        yield batch.append_column("fall", pa.array(falls, pa.float64()))
+
+
+def path_metrics(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Final equity, greatest drawdown, mean and deviation of every replicate of draws (keys, rep, i, v).
+
+    No task holds a replicate: its positions are gathered in blocks, the equity before a block is the product of those before it.
+    """
+    own = [*keys, "rep"]
+    kinds = dict(draws.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", b long, values array<double>"
+    blocks = draws.groupBy(*own, F.expr(f"cast(i as long) div {PATH_BLOCK}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).getField("v").cast("array<double>").alias("values"))
+    place = scratch_folder(draws.sparkSession, "blocks")
+    facts = f"{schema}, product double, top double, low double"
+    blocks.mapInArrow(_block_facts, facts).write.parquet(place)
+    facts_of = draws.sparkSession.read.schema(facts).parquet(place)
+    w = Window.partitionBy(*own).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    x = F.col("product")
+    rows = facts_of.withColumns({"_log": F.sum(F.when(x != 0, F.log(F.abs(x)))).over(w), "_zero": F.max((x == 0).cast("int")).over(w), "_minus": F.sum((x < 0).cast("int")).over(w)})
+    rows = rows.withColumn("before", F.when(F.col("_log").isNull() & F.col("_zero").isNull(), 1.0).when(F.col("_zero") == 1, 0.0).otherwise(F.exp("_log") * F.when(F.col("_minus") % 2 == 1, -1).otherwise(1)))
+    reach = F.greatest(F.col("before") * F.col("top"), F.col("before") * F.col("low"))
+    rows = rows.withColumn("peak", F.greatest(F.lit(1.0), F.max(reach).over(w))).select(*own, "b", "values", "product", "before", "peak")
+    ends = rows.mapInArrow(_block_falls, f"{schema}, product double, before double, peak double, fall double")
+    # sums of values and of their squares about the replicate's own mean come from the rows themselves
+    moments = draws.groupBy(*own).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    out = ends.groupBy(*own).agg(F.max_by(F.col("before") * F.col("product"), "b").alias("final"), F.least(F.lit(0.0), F.min("fall")).alias("mdd"))
+    return _by_keys(out, moments, own)
+
+
+def resampled_rules(days: DataFrame, keys: Sequence[str], reps: int, draw: Draw, seed: int, daily_loss: float, total_loss: float, target: float, min_days: int) -> DataFrame:
+    """keys, rep, violated_total, target_reached, violated_daily, final_pnl: account rules replayed over each replicate of a series of days, dates kept in order."""
+    from barloom.operators import account
+
+    spark, place = days.sparkSession, scratch_folder(days.sparkSession, "series")
+    days.select(*keys, "pos", "n", "v").write.parquet(place)
+    days = spark.read.parquet(place)
+    rules = (float(daily_loss), float(total_loss), float(target), int(min_days))
+    out = replicates(days, keys, reps, {"own": draw}, seed, lambda v: account.replay_days(v, *rules), account.REPLAY_FIELDS).drop("method")
+    long = days.where(F.col("n") > LONGEST)
+    if not long.limit(1).count():
+        return out
+    rows = account.replay(draw_rows(draw, long, keys, reps, seed), [*keys, "rep"], ["i"], F.col("i"), F.col("v"), *rules)
+    return out.unionByName(rows.select(*keys, "rep", *(F.col(c).cast("double").alias(c) for c in account.REPLAY_FIELDS)))
 
 
 def path_quantiles(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -110,39 +349,22 @@ def path_quantiles(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
     from barloom.functions.ranks import floor_rank
 
     wanted = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    keyed = paths if keys else paths.withColumn("_all", F.lit(0))
-    own = list(keys) or ["_all"]
-    out = None
-    for column in ("final", "mdd"):
-        one = floor_rank(keyed, own, column, wanted).withColumn("metric", F.lit(column))
-        out = one if out is None else out.unionByName(one)
-    return out if keys else out.drop("_all")
-
-
-def stressed_draws(draws: DataFrame, keys: Sequence[str], multiple: float, slip: float, seed: int) -> DataFrame:
-    """Every return less half the mean absolute return times (multiple - 1); one in ten loses slip more."""
-    size = draws.groupBy(*keys).agg(F.avg(F.abs("v")).alias("_a")) if keys else draws.agg(F.avg(F.abs("v")).alias("_a"))
-    sizes = F.broadcast(size) if not keys or size.count() <= SMALL_SERIES else size.hint("shuffle_merge")
-    rows = draws.join(sizes, list(keys)) if keys else draws.join(sizes)
-    rows = with_uniform(rows, F.col("i"), seed + 2, "_u")
-    extra = F.when(F.col("_u") < 0.1, slip).otherwise(0.0)
-    return rows.withColumn("v", F.col("v") - F.col("_a") * (multiple - 1) * 0.5 - extra).drop("_a", "_u")
+    each = paths.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in ("final", "mdd")))).alias("m"))
+    return floor_rank(each.select(*keys, "m.metric", "m.x"), [*keys, "metric"], "x", wanted)
+
+
+STRESSED = Draw("iid", None, 2.0, 0.001)
 
 
 def all_methods(series: DataFrame, keys: Sequence[str], reps: int, block: int, seed: int) -> DataFrame:
-    """Quantiles of plain, block and stressed resampling, one below the other."""
-    plain, blocks = iid(series, keys, reps, seed), circular_blocks(series, keys, reps, block, seed)
-    out = None
-    for name, draws in (("iid", plain), ("block", blocks), ("stressed", stressed_draws(plain, keys, 2.0, 0.001, seed))):
-        one = path_quantiles(path_metrics(draws, keys), keys).withColumn("method", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Quantiles of plain, block and stressed resampling, one below the other, from one pass over the series."""
+    paths = resampled_paths(series, keys, reps, {"iid": Draw("iid"), "block": Draw("circular", block), "stressed": STRESSED}, seed)
+    return path_quantiles(paths, [*keys, "method"])
 
 
-def series_risk(draws: DataFrame, keys: Sequence[str], level: float = 0.95, limit: float = -0.10) -> DataFrame:
-    """From resampled daily returns: intervals of mean, Sharpe and drawdown, chance of a loss and of a drawdown beyond a limit."""
-    own = draws.groupBy(*keys, "rep").agg(F.avg("v").alias("mean"), (F.coalesce(F.try_divide(F.avg("v"), F.stddev_samp("v")), F.lit(0.0)) * F.sqrt(F.lit(365.0))).alias("sharpe"))
-    paths = path_metrics(draws, keys).join(own.hint("shuffle_merge"), [*keys, "rep"])
+def series_risk(paths: DataFrame, keys: Sequence[str], level: float = 0.95, limit: float = -0.10) -> DataFrame:
+    """From replicates of daily returns: intervals of mean, Sharpe and drawdown, chance of a loss and of a drawdown beyond a limit."""
+    paths = paths.withColumn("sharpe", F.coalesce(F.try_divide("mean", "std"), F.lit(0.0)) * F.sqrt(F.lit(365.0)))
     a = (1 - level) / 2
     ends = [F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("mean", "sharpe", "mdd", "final") for name, q in (("low", a), ("high", 1 - a))]
     return paths.groupBy(*keys).agg(*ends, F.avg((F.col("final") < 1).cast("double")).alias("p_loss"), F.avg((F.col("mdd") <= limit).cast("double")).alias("p_drawdown"))

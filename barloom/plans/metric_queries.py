@@ -252,7 +252,7 @@ def m16(spark, folder):
 
 
 # Resampling of all symbols, segments and folds; DuckDB draws the same numbers.
-REPS, SEED, BLOCK = 1000, 42, 5
+REPS, RISK_REPS, SEED, BLOCK = 1000, 10_000, 42, 5
 SERIES_KEYS = ["symbol", "segment", "fold_id"]
 
 
@@ -280,8 +280,12 @@ def series(spark, folder) -> DataFrame:
     return R.numbered(scaled(spark, folder), SERIES_KEYS, TRADE_ORDER, "r")
 
 
-def _quantiles(draws: DataFrame) -> DataFrame:
-    out = R.path_quantiles(R.path_metrics(draws, SERIES_KEYS), SERIES_KEYS)
+def _paths(spark, folder, draw: R.Draw) -> DataFrame:
+    return R.resampled_paths(series(spark, folder), SERIES_KEYS, REPS, {"own": draw}, SEED)
+
+
+def _quantiles(paths: DataFrame) -> DataFrame:
+    out = R.path_quantiles(paths, SERIES_KEYS)
     return out.select(*SERIES_KEYS, "metric", *[F.round(c, 6).alias(c) for c in ("p5", "p25", "p50", "p75", "p95")])
 
 
@@ -291,18 +295,18 @@ QUANTILES = f"SELECT symbol, segment, fold_id, metric, p5, p25, p50, p75, p95 FR
 
 @query("B1_bootstrap_mean", SERIES, _drawn(_draw("i", "n")), sql="SELECT symbol, segment, fold_id, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg(m), 9) AS mean FROM (SELECT g, rep, avg(v) AS m FROM drw GROUP BY ALL) JOIN grp USING (g) GROUP BY symbol, segment, fold_id")
 def b1(spark, folder):
-    out = R.mean_interval(R.iid(series(spark, folder), SERIES_KEYS, REPS, SEED), SERIES_KEYS)
+    out = R.mean_interval(_paths(spark, folder, R.Draw("iid")), SERIES_KEYS)
     return out.select(*SERIES_KEYS, *[F.round(c, 9).alias(c) for c in ("low", "high", "mean")])
 
 
 @query("B2_iid_paths", SERIES, _drawn(_draw("i", "n")), PATHS, sql=QUANTILES)
 def b2(spark, folder):
-    return _quantiles(R.iid(series(spark, folder), SERIES_KEYS, REPS, SEED))
+    return _quantiles(_paths(spark, folder, R.Draw("iid")))
 
 
 @query("B3_circular_blocks", SERIES, _drawn(f"({_draw(f'(i // {BLOCK})', 'n')} + i % {BLOCK}) % n"), PATHS, sql=QUANTILES)
 def b3(spark, folder):
-    return _quantiles(R.circular_blocks(series(spark, folder), SERIES_KEYS, REPS, BLOCK, SEED))
+    return _quantiles(_paths(spark, folder, R.Draw("circular", BLOCK)))
 
 
 STRESSED = f"drw AS (SELECT g, rep, i, v - avg(abs(v)) OVER (PARTITION BY g) * 0.5 - CASE WHEN {_bits('i', SEED + 2)} / 4503599627370496::DOUBLE < 0.1::DOUBLE THEN 0.001 ELSE 0 END AS v FROM dr0)"
@@ -310,7 +314,7 @@ STRESSED = f"drw AS (SELECT g, rep, i, v - avg(abs(v)) OVER (PARTITION BY g) * 0
 
 @query("B4_stressed_paths", SERIES, _drawn(_draw("i", "n")).replace("drw AS", "dr0 AS", 1), STRESSED, PATHS, sql=QUANTILES)
 def b4(spark, folder):
-    return _quantiles(R.stressed_draws(R.iid(series(spark, folder), SERIES_KEYS, REPS, SEED), SERIES_KEYS, 2.0, 0.001, SEED))
+    return _quantiles(_paths(spark, folder, R.STRESSED))
 
 
 ACCOUNT = SQL_TRADES + f""",
@@ -326,22 +330,17 @@ dz AS (SELECT segment, rep, max(CAST(st = 1 AS INT)) AS bust, max(CAST(st = 2 AS
 @query("B5_resampled_rules", ACCOUNT, sql="SELECT segment, CAST(count(*) AS BIGINT) AS replicates, avg(bust) AS total_rate, avg(won) AS target_rate, avg(CAST(won = 1 AND vd = 0 AS DOUBLE)) AS pass_rate, round(quantile_cont(final, 0.5), 4) AS median_pnl FROM dz GROUP BY segment")
 def b5(spark, folder):
     """Days of each segment resampled in blocks, dates kept in order, the rules replayed for every replicate."""
-    from barloom.operators import account as K
-
     key = ["segment"]
     days = M.daily_pnl(X.trades(spark, folder), key, F.col("gross_pnl")).withColumn("pnl", F.round(F.col("pnl") * 1000, 6))
-    draws = R.plain_blocks(R.numbered(days, key, ["day"], "pnl"), key, REPS, BLOCK, SEED)
-    dates = R.numbered(days.withColumn("own", F.col("day")), key, ["day"], "own").select(*key, F.col("pos").alias("i"), F.col("v").alias("day"))
-    rows = draws.join(dates.hint("shuffle_merge"), [*key, "i"])
-    out = K.replay(rows, [*key, "rep"], ["i"], F.col("day"), F.col("v"), RULES["daily_loss"], RULES["total_loss"], RULES["target"], RULES["min_days"])
-    passed = F.col("target_reached") & ~F.col("violated_daily")
-    return out.groupBy(*key).agg(F.count(F.lit(1)).alias("replicates"), F.avg(F.col("violated_total").cast("double")).alias("total_rate"), F.avg(F.col("target_reached").cast("double")).alias("target_rate"), F.avg(passed.cast("double")).alias("pass_rate"), F.round(F.percentile("final_pnl", F.lit(0.5)), 4).alias("median_pnl"))
+    out = R.resampled_rules(R.numbered(days, key, ["day"], "pnl"), key, REPS, R.Draw("plain", BLOCK), SEED, RULES["daily_loss"], RULES["total_loss"], RULES["target"], RULES["min_days"])
+    passed = (F.col("target_reached") == 1) & (F.col("violated_daily") == 0)
+    return out.groupBy(*key).agg(F.count(F.lit(1)).alias("replicates"), F.avg("violated_total").alias("total_rate"), F.avg("target_reached").alias("target_rate"), F.avg(passed.cast("double")).alias("pass_rate"), F.round(F.percentile("final_pnl", F.lit(0.5)), 4).alias("median_pnl"))
 
 
 @query("B6_stationary_bootstrap")
 def b6(spark, folder):
     rows = R.numbered(daily(spark, folder), KEYS, ["day"], "ret")
-    return R.series_risk(R.stationary(rows, KEYS, REPS, None, SEED), KEYS)
+    return R.series_risk(R.resampled_paths(rows, KEYS, RISK_REPS, {"own": R.Draw("stationary")}, SEED), KEYS)
 
 
 @query("B7_all_methods")

@@ -345,7 +345,7 @@ def t20(spark, folder):
     rows = W.forward_returns(trend_gate(features(spark, folder)), (1, 3, 6, 12)).where("gate_long")
     long = rows.select("symbol", "time_utc", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("ret")) for h in (1, 3, 6, 12)])).alias("p")).select("symbol", "time_utc", "p.horizon", "p.ret").where("ret is not null")
     edge = long.groupBy("symbol", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
-    interval = bootstrap_mean(long, ["symbol", "horizon"], ["time_utc"], "ret", 200, 42)
+    interval = bootstrap_mean(long, ["symbol", "horizon"], ["time_utc"], "ret", 500, 42)
     best = M.best_horizon(edge, ["symbol"])
     return edge.join(interval.select("symbol", "horizon", "low", "high"), ["symbol", "horizon"]).join(best, "symbol").withColumn("significant", F.col("low") > 0)
 

@@ -151,7 +151,7 @@ def test_stress_is_never_better(spark):
     rows = spark.createDataFrame([("a", k, 0.01 * (k % 7 - 3)) for k in range(60)], "g string, i int, v double")
     own = resample.numbered(rows, ["g"], ["i"], "v")
     plain = resample.iid(own, ["g"], 30, 1)
-    a, b = (resample.path_metrics(x, ["g"]).agg(F.avg("final")).first()[0] for x in (plain, resample.stressed_draws(plain, ["g"], 2.0, 0.001, 1)))
+    a, b = (resample.path_metrics(x, ["g"]).agg(F.avg("final")).first()[0] for x in (plain, resample.draw_rows(resample.STRESSED, own, ["g"], 30, 1)))
     assert b <= a
     assert resample.iid(own, ["g"], 30, 1).agg(F.sum("v")).first() == plain.agg(F.sum("v")).first()
 

@@ -131,7 +131,8 @@ def test_all_methods_are_the_single_ones(spark):
     rows = spark.createDataFrame([(g, k, ((k * 37 + ord(g)) % 101 - 50) / 1000) for g in "ab" for k in range(80)], "g string, t int, v double")
     own = resample.numbered(rows, ["g"], ["t"], "v")
     got = {(r.g, r.method, r.metric): (r.p5, r.p50, r.p95) for r in resample.all_methods(own, ["g"], 50, 5, 7).collect()}
-    for name, draws in (("iid", resample.iid(own, ["g"], 50, 7)), ("block", resample.circular_blocks(own, ["g"], 50, 5, 7)), ("stressed", resample.stressed_draws(resample.iid(own, ["g"], 50, 7), ["g"], 2.0, 0.001, 7))):
+    stressed = resample.draw_rows(resample.STRESSED, own, ["g"], 50, 7)
+    for name, draws in (("iid", resample.iid(own, ["g"], 50, 7)), ("block", resample.circular_blocks(own, ["g"], 50, 5, 7)), ("stressed", stressed)):
         for r in resample.path_quantiles(resample.path_metrics(draws, ["g"]), ["g"]).collect():
             assert got[r.g, name, r.metric] == pytest.approx((r.p5, r.p50, r.p95))
     assert len(got) == 12 and all(got[g, "stressed", "final"][1] < got[g, "iid", "final"][1] for g in "ab")
@@ -139,7 +140,7 @@ def test_all_methods_are_the_single_ones(spark):
 
 def test_risk_of_a_sure_gain(spark):
     rows = spark.createDataFrame([("a", k, 0.01) for k in range(30)], "g string, t int, v double")
-    r = resample.series_risk(resample.stationary(resample.numbered(rows, ["g"], ["t"], "v"), ["g"], 20, None, 1), ["g"]).first()
+    r = resample.series_risk(resample.resampled_paths(resample.numbered(rows, ["g"], ["t"], "v"), ["g"], 20, {"own": resample.Draw("stationary")}, 1), ["g"]).first()
     assert r.mean_low == pytest.approx(0.01) and r.mean_high == pytest.approx(0.01) and r.p_loss == 0 and r.p_drawdown == 0 and r.mdd_low == 0
     assert r.final_low == pytest.approx(1.01**30)
 
