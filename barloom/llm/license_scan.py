@@ -2,8 +2,10 @@
 
 Texts are lower-cased, and everything but letters and digits counts as a gap, so it makes no
 difference how a notice is wrapped. A window begins where an anchor lies at the same offset as in
-the template, and ends where an anchor leaves the template's last word (often the same one; others
-where words were put in or left out), within the size bounds. Anchors are bigrams with an anchor word. The size bounds prune by them: a window of b bigrams that
+the template. It has the template's length, or ends where the anchor nearest to the template's end leaves
+its last word (other words were put in or left out), within the size bounds: two windows a start at most,
+cut from a run of RUN words, so work grows with the notices in a text and no row holds a long text twice.
+Of windows that start near each other the best one is a notice; n_units counts notices. Anchors are bigrams with an anchor word. The size bounds prune by them: a window of b bigrams that
 reaches the threshold with a template of a bigrams shares at least t * a / (2 - t) with it, and a
 template has more anchors than it may miss; so a text without any anchor word is not even split
 into words, and a template is only compared where one of its anchors stands. Templates are a short
@@ -21,10 +23,14 @@ from collections import Counter
 from collections.abc import Sequence
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+RUN = 4096
+"""Words of a text that windows are cut from at once, and the longest window beside."""
+PER, FAR = 1000, 1_000_000_000
+"""Starts are compared in thousandths of the template's length; no text has FAR words."""
 MAX_TEMPLATES = 2000
 """More templates than this are refused, so that their table stays small."""
 
@@ -127,7 +133,7 @@ def bigrams(words: Column) -> Column:
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, score (the best), n_units (windows that match)."""
+    """doc_id, license, score (the best), n_units (notices that match)."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"{len(templates)} templates, at most {MAX_TEMPLATES}")
     spark = docs.sparkSession
@@ -140,20 +146,35 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     key = [F.xxhash64("text").alias("k0"), F.xxhash64(F.lit(1), "text").alias("k1")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).where(able).select("doc_id", "k0", "k1", split(F.col("text")).alias("words")).dropDuplicates(["doc_id", "k0", "k1"])
     placed = texts.select("doc_id", "k0", "k1", F.size("words").alias("size"), F.posexplode(bigrams(F.col("words"))).alias("at", "gram")).join(F.broadcast(table), "gram")
-    placed = placed.select("doc_id", "k0", "k1", "template", "n_words", F.greatest(F.least(F.col("at") - F.col("off"), F.col("size") - F.col("n_words")), F.lit(0)).alias("start")).distinct()
-    # Ends are looked for in the same block of starts and its neighbours.
-    placed = placed.withColumn("block", F.expr("start div n_words"))
-    ends = placed.select("doc_id", "k0", "k1", "template", F.col("start").alias("last"), F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("block")).withColumnsRenamed({c: f"{c}_" for c in ("doc_id", "k0", "k1", "template", "block")})
-    near = placed["doc_id"].eqNullSafe(ends["doc_id_"]) & (placed["k0"] == ends["k0_"]) & (placed["k1"] == ends["k1_"]) & (placed["template"] == ends["template_"]) & (placed["block"] == ends["block_"])
-    shift = F.col("last") - F.col("start")
-    placed = placed.join(ends.hint("shuffle_merge"), near).where((shift * 3 >= -F.col("n_words")) & (shift * 2 <= F.col("n_words")))
-    placed = placed.select("doc_id", "k0", "k1", "template", "start", (F.col("n_words") + shift).alias("n_words")).distinct()
-    windows = placed.withColumnsRenamed({"doc_id": "d", "k0": "a", "k1": "b"}).hint("shuffle_hash")
-    same = texts["doc_id"].eqNullSafe(windows["d"]) & (texts["k0"] == windows["a"]) & (texts["k1"] == windows["b"])
-    units = windows.join(texts, same).select("doc_id", "k0", "k1", "template", "start", F.array_distinct(bigrams(F.slice("words", F.col("start") + 1, F.col("n_words")))).alias("grams"))
-    pairs = units.join(F.broadcast(known), "template").withColumn("score", 2.0 * F.size(F.array_intersect("grams", "own")) / (F.size("grams") + F.size("own"))).where(F.col("score") >= threshold)
-    pairs = pairs.select("doc_id", "k0", "k1", "start", "score", F.explode("licenses").alias("license")).groupBy("doc_id", "license", "k0", "k1", "start").agg(F.max("score").alias("score"))
-    return pairs.groupBy("doc_id", "license").agg(F.round(F.max("score"), 6).alias("score"), F.count(F.lit(1)).alias("n_units"))
+    text, own = ["doc_id", "k0", "k1"], ["doc_id", "k0", "k1", "template"]
+    placed = placed.select(*own, "n_words", F.greatest(F.least(F.col("at") - F.col("off"), F.col("size") - F.col("n_words")), F.lit(0)).alias("start"), "off")
+    starts = placed.groupBy(*own, "n_words", "start").agg(F.max("off").alias("off"))
+    # A window may end where the anchor nearest to the template's end says, of those whose start is near enough.
+    near = Window.partitionBy(*own).orderBy(F.expr(f"start * {PER} div n_words")).rangeBetween(-(PER // 3), PER // 2)
+    last = F.max(F.col("off").cast("long") * F.lit(FAR) + F.col("start")).over(near) % FAR
+    windows = starts.withColumn("last", last).withColumn("length", F.explode(F.array_distinct(F.array(F.col("n_words").cast("long"), F.col("n_words") + F.col("last") - F.col("start")))))
+    # Texts are cut into runs of words, so a window meets its own run, not the whole text.
+    longest = max((n for *_, n in rows), default=0) * 3 // 2 + 1
+    run = lambda b: F.struct(b.alias("run"), F.slice("words", b * RUN + 1, F.lit(RUN + longest)).alias("piece"))
+    runs = texts.select(*text, F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(words) - 1) div {RUN} as int)")), run)).alias("x")).select(*(F.col(c).alias(f"{c}_") for c in text), "x.run", "x.piece")
+    windows = windows.withColumn("run_", F.expr(f"cast(start div {RUN} as int)"))
+    same = windows["doc_id"].eqNullSafe(runs["doc_id_"]) & (windows["k0"] == runs["k0_"]) & (windows["k1"] == runs["k1_"]) & (windows["run_"] == runs["run"])
+    cut = F.array_distinct(bigrams(F.slice("piece", (F.col("start") % RUN + 1).cast("int"), F.col("length").cast("int"))))
+    units = windows.join(runs.hint("shuffle_merge"), same).select(*own, "n_words", "start", "length", cut.alias("grams")).join(F.broadcast(known), "template")
+    dice = F.transform(F.array("grams"), lambda g: 2.0 * F.size(F.array_intersect(g, F.col("own"))) / (F.size(g) + F.size("own")))[0]
+    found_units = units.select(*own, "licenses", "n_words", "start", "length", dice.alias("score")).where(F.col("score") >= threshold)
+    # Windows of a notice start near each other; the best one stands for it.
+    order = Window.partitionBy(*own).orderBy("start", "length")
+    before = F.lag("start").over(order)
+    units = found_units.withColumn("new", (before.isNull() | ((F.col("start") - before) * 3 > F.col("n_words"))).cast("long")).withColumn("unit", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max(F.struct("score", (-F.col("start")).alias("s"), (-F.col("length")).alias("l"))).alias("b")
+    notices = units.groupBy(*own, "licenses", "unit").agg(best).select(*text, F.explode("licenses").alias("license"), F.col("b.score").alias("score"), (-F.col("b.s")).alias("start"), (-F.col("b.l")).alias("length"))
+    # Notices of one licence that share more than a quarter of the shorter one are one: a short form within a long one.
+    before = Window.partitionBy(*text, "license").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max((F.col("start") + F.col("length")) * F.lit(FAR) + F.col("length")).over(before)
+    shared = F.expr(f"_reach div {FAR}") - F.col("start")
+    notices = notices.withColumn("_reach", reach).withColumn("new", (F.col("_reach").isNull() | (shared * 4 <= F.least("length", F.col("_reach") % FAR))).cast("long"))
+    return notices.groupBy("doc_id", "license").agg(F.round(F.max("score"), 6).alias("score"), F.sum("new").alias("n_units"))
 
 
 def oracle() -> str:
@@ -171,9 +192,13 @@ d AS (
     list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10ffff}}]+'), lambda x: x <> '') AS w
   FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 g AS (SELECT r, unnest(generate_series(1, len(w) - 1)) AS i, len(w) AS size, w FROM d WHERE len(w) > 1),
-s AS (SELECT DISTINCT r, template, n_words, greatest(least(i - 1 - off, size - n_words), 0) AS start FROM (SELECT r, i, size, w[i] || ' ' || w[i + 1] AS gram FROM g) JOIN k USING (gram)),
-v AS (SELECT DISTINCT a.r, a.template, a.start, b.start + a.n_words AS stop FROM s a JOIN s b ON a.r = b.r AND a.template = b.template AND (b.start - a.start) * 3 >= -a.n_words AND (b.start - a.start) * 2 <= a.n_words),
-u AS (SELECT v.r, d.doc_id, template, start, d.w[start + 1 : stop] AS x FROM v JOIN d USING (r)),
-b AS (SELECT r, doc_id, template, start, {grams.format("x")} AS grams FROM u),
-m AS (SELECT r, doc_id, license, start, max(2.0 * len(list_intersect(grams, own)) / (len(grams) + len(own))) AS score FROM b JOIN t USING (template) GROUP BY ALL)
-SELECT doc_id, license, round(CAST(max(score) AS DOUBLE), 6) AS score, CAST(count(*) AS BIGINT) AS n_units FROM m WHERE score >= {THRESHOLD} GROUP BY doc_id, license"""
+s AS (SELECT r, template, n_words, greatest(least(i - 1 - off, size - n_words), 0) AS start, max(off) AS off FROM (SELECT r, i, size, w[i] || ' ' || w[i + 1] AS gram FROM g) JOIN k USING (gram) GROUP BY ALL),
+e AS (SELECT *, max(off::BIGINT * {FAR} + start) OVER (PARTITION BY r, template ORDER BY start * {PER} // n_words RANGE BETWEEN {PER // 3} PRECEDING AND {PER // 2} FOLLOWING) % {FAR} AS last FROM s),
+v AS (SELECT DISTINCT r, template, n_words, start, unnest([n_words::BIGINT, n_words + last - start]) AS length FROM e),
+b AS (SELECT v.*, {grams.format("d.w[start + 1 : start + length]")} AS grams FROM v JOIN d USING (r)),
+m AS (SELECT DISTINCT r, template, n_words, start, length, 2.0 * len(list_intersect(grams, own)) / (len(grams) + len(own)) AS score FROM b JOIN t USING (template)),
+u AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY start, length) AS unit FROM (
+  SELECT *, CAST(coalesce((start - lag(start) OVER (PARTITION BY r, template ORDER BY start, length)) * 3 > n_words, true) AS INT) AS new FROM m WHERE score >= {THRESHOLD})),
+n AS (SELECT r, template, score, start, length FROM u QUALIFY row_number() OVER (PARTITION BY r, template, unit ORDER BY score DESC, start, length) = 1),
+q AS (SELECT r, license, score, start, length, max((start + length) * {FAR} + length) OVER (PARTITION BY r, license ORDER BY start, length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM n JOIN t USING (template))
+SELECT doc_id, license, round(CAST(max(score) AS DOUBLE), 6) AS score, CAST(count(*) FILTER (reach IS NULL OR (reach // {FAR} - start) * 4 <= least(length, reach % {FAR})) AS BIGINT) AS n_units FROM q JOIN d USING (r) GROUP BY doc_id, license"""

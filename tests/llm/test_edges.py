@@ -71,6 +71,22 @@ def test_template_generalises_a_field_without_digits(spark):
     assert [got[k] for k in range(6)] == [0, 1, 1, 1, 1, 1] and all(got[k] == 0 for k in got if k >= 100)
 
 
+def test_many_notices_in_one_text(spark):
+    """A NOTICE file of 40 clean or damaged notices; some SQL beside, on texts of a few."""
+    rng = np.random.default_rng(4)
+    full = next(n for name, n in license_scan.TEMPLATES if name == "BSD-3-Clause" and len(n) > 1000)
+
+    def hurt(share):
+        return " ".join(w for w in full.split() if rng.random() >= share)
+
+    rows = [(1, f"{full}\n" * 40), (2, "\n".join(hurt(0.05) for _ in range(40))), (3, "\n".join(hurt(0.12) for _ in range(40))), (4, ("filler words here " * 3000 + full) * 3)]
+    got = {(r.doc_id, r.license): (r.score, r.n_units) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, "BSD-3-Clause"] == (1.0, 40) and got[1, "BSD-2-Clause"][1] == 40 and got[4, "BSD-3-Clause"] == (1.0, 3)
+    assert 38 <= got[2, "BSD-3-Clause"][1] <= 42 and got[3, "BSD-3-Clause"][1] <= 42
+    few = [(1, f"{full}\n{full}\nand more"), (2, f"x y z {hurt(0.04)} {'w ' * 300}{hurt(0.03)}"), (None, full.replace("binary", "very old binary")), (3, "Licensed under the MIT License")]
+    compare(license_scan.scan(spark.createDataFrame(few, "doc_id long, text string")).toPandas(), duck([(*r, None) for r in few]).execute(queries.ORACLES["op8_license_scan"]).df())
+
+
 def test_license_scan_odd_rows(spark, odd, empty):
     compare(license_scan.scan(odd).toPandas(), duck().execute(queries.ORACLES["op8_license_scan"]).df())
     assert license_scan.scan(empty).count() == 0
