@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.times import is_weekend
 from barloom.operators.features import by_time
+from barloom.operators.joins import meet
+from barloom.scratch import scratch_folder
+
+SPAN = 4096
+"""Bars of a group that one task compares entries in."""
 
 # Exits of one bar in order of priority.
 EXITS = ("SL", "TRAIL", "TP", "TIME", "REGIME_OFF", "WEEKEND")
@@ -87,31 +91,69 @@ def label_exits(entries: DataFrame, bars: DataFrame, time_stop: int, min_hold: i
     return out.withColumns({"hold_bars": F.col("exit_idx") - F.col("i"), "gross_pnl": gross})
 
 
-def without_overlap(labelled: DataFrame, cooldown: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Of entries with their exits, those that a single position takes: each begins after the exit before it and the cooldown.
+def next_entries(asked: DataFrame, entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """asked (keys, at, ...) with next_i: the first entry (keys, i) at or after that number; null: none.
 
-    The chain goes over entry and exit numbers of one group, at most as many as the group has bars.
+    Numbers are compared within blocks of SPAN; a question that its block can't answer takes the first
+    entry of the next block that has one. So no task holds more of a group than a block, or one row for each of its blocks.
     """
+    block = lambda c: F.expr(f"cast({c} as long) div {SPAN}").alias("_block")
+    mine = asked.select("*", block("at"))
+    extra = [c for c in asked.columns if c not in (*keys, "at")]
+    kinds = dict(asked.dtypes)
+    rows = mine.select(*keys, "_block", F.col("at").cast("long").alias("at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_entry"), *extra).unionByName(
+        entries.select(*keys, block("i"), F.col("i").cast("long").alias("at"), F.lit(1).alias("_kind"), F.col("i").cast("long").alias("_entry"), *(F.lit(None).cast(kinds[c]).alias(c) for c in extra))
+    )
+    later = Window.partitionBy(*keys, "_block").orderBy("at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    here = rows.withColumn("_here", F.first("_entry", ignorenulls=True).over(later)).where("_kind = 0").drop("_kind", "_entry")
+    blocks = rows.groupBy(*keys, "_block").agg(F.min("_entry").alias("_first"))
+    after = F.first("_first", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing))
+    out = meet(here, blocks.select(*keys, "_block", after.alias("_after")), [*keys, "_block"])
+    return out.withColumn("next_i", F.coalesce("_here", "_after")).drop("_block", "_here", "_after")
 
-    def chain(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("i")
-        free, take = -1, []
-        for i, end in zip(rows["i"].to_pylist(), rows["exit_idx"].to_pylist(), strict=True):
-            take.append(i >= free)
-            if take[-1]:
-                free = end + cooldown + 1
-        return rows.filter(pa.array(take, pa.bool_()))
 
-    return labelled.groupBy(*keys).applyInArrow(chain, labelled.schema)
+def chosen(entries: DataFrame, cooldown: int, keys: Sequence[str]) -> DataFrame:
+    """keys and i of the entries that a single position takes, from written (keys, i, exit_idx) with one row for each i.
+
+    Each entry points at the first one after its exit and the cooldown. A group's first entry is taken; then, round by round,
+    what taken entries point at is taken as well, and all pointers double their reach: a chain of n trades needs log n rounds.
+    """
+    spark, place, rounds = entries.sparkSession, scratch_folder(entries.sparkSession, "chain"), 0
+
+    def put(rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{place}/{rounds}")
+        return spark.read.parquet(f"{place}/{rounds}")
+
+    first = entries.groupBy(*keys).agg(F.min("i").alias("_head"))
+    asked = entries.select(*keys, F.col("i").cast("long").alias("i"), (F.col("exit_idx") + cooldown + 1).cast("long").alias("at"))
+    nodes = meet(next_entries(asked, entries, keys), first, keys)
+    nodes = put(nodes.select(*keys, "i", F.col("next_i").alias("to"), (F.col("i") == F.col("_head")).alias("taken")))
+    while nodes.where("taken AND to IS NOT NULL").limit(1).count():
+        rounds += 1
+        pushed = nodes.where("taken AND to IS NOT NULL").select(*keys, F.col("to").alias("i"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("taken"))
+        nodes = nodes.unionByName(pushed).groupBy(*keys, "i").agg(F.max("to").alias("to"), F.max("taken").alias("taken"))
+        live, done = nodes.where("to IS NOT NULL"), nodes.where("to IS NULL AND taken")
+        onward = live.select(*keys, F.col("i").alias("to"), F.col("to").alias("_onward"))
+        nodes = put(meet(live, onward, [*keys, "to"], "left").select(*keys, "i", F.col("_onward").alias("to"), "taken").unionByName(done))
+    return nodes.where("taken").select(*keys, "i")
+
+
+def without_overlap(labelled: DataFrame, cooldown: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Of entries with their exits, those that a single position takes: each begins after the exit before it and the cooldown.
+
+    Of several entries at one bar the one that ends first counts. labelled is written once, only keys and numbers go round.
+    """
+    one = F.row_number().over(Window.partitionBy(*keys, "i").orderBy("exit_idx", *(c for c in labelled.columns if c not in (*keys, "i", "exit_idx"))))
+    place = scratch_folder(labelled.sparkSession, "labelled")
+    labelled.withColumn("_one", one).where("_one = 1").drop("_one").write.parquet(place)
+    rows = labelled.sparkSession.read.parquet(place)
+    return meet(rows, chosen(rows.select(*keys, "i", "exit_idx"), cooldown, keys), [*keys, "i"], "left_semi").select(*labelled.columns)
 
 
 def next_match(exits: DataFrame, entries: DataFrame, cooldown: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """For each exit (exit_idx) the first entry at or after exit + cooldown + 1, by one pass over the union of both."""
-    union = exits.select(*keys, (F.col("exit_idx") + cooldown + 1).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("entry"), "exit_idx").unionByName(
-        entries.select(*keys, F.col("i").alias("at"), F.lit(1).alias("kind"), F.col("i").alias("entry"), F.lit(None).cast("int").alias("exit_idx"))
-    )
-    later = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    return union.withColumn("next_i", F.first("entry", ignorenulls=True).over(later)).where("kind = 0").select(*keys, "exit_idx", "next_i")
+    """For each exit (exit_idx) the first entry at or after exit + cooldown + 1."""
+    asked = exits.select(*keys, (F.col("exit_idx") + cooldown + 1).alias("at"), "exit_idx")
+    return next_entries(asked, entries.select(*keys, "i"), keys).select(*keys, "exit_idx", F.col("next_i").cast(dict(entries.dtypes)["i"]).alias("next_i"))
 
 
 def parameter_grid(spark, sl: Sequence[float], tp: Sequence[float], trail: Sequence[float], most: int | None = None) -> DataFrame:
