@@ -140,14 +140,13 @@ def cost_model(stats: DataFrame) -> DataFrame:
 
 def micro_structure(bars: DataFrame) -> DataFrame:
     """Median and 95th percentile of spread and absolute return in bps, and how many spreads there are."""
-    from barloom.functions.ranks import nearest_rank
+    from barloom.functions.ranks import nearest_ranks
     from barloom.operators.features import returns
 
     rows = returns(bars).withColumns({"spread_bps": spread_in_bps(F.col("spread"), F.col("close")), "abs_ret_bps": F.abs("ret") * 10000})
     base = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.count("spread_bps").alias("n_spread"), F.median("spread_bps").alias("spread_med"), F.median("abs_ret_bps").alias("vol_med"))
-    a = nearest_rank(rows, ["symbol"], "spread_bps", {"spread_p95": 0.95})
-    b = nearest_rank(rows, ["symbol"], "abs_ret_bps", {"vol_p95": 0.95})
-    return base.join(a, "symbol", "left").join(b, "symbol", "left")
+    ranks = nearest_ranks(rows, ["symbol"], {"spread_bps": {"spread_p95": 0.95}, "abs_ret_bps": {"vol_p95": 0.95}})
+    return base.join(ranks.hint("shuffle_merge"), "symbol", "left")
 
 
 def typical_commission(quotes: DataFrame, defaults: Mapping[str, float], global_default: float = 0.5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import floor_rank, nearest_rank
+from barloom.functions.ranks import floor_ranks, linear_ranks, nearest_ranks
 from barloom.operators.joins import counted
 from barloom.operators.folds import tag_segments
 
@@ -13,13 +13,9 @@ from barloom.operators.folds import tag_segments
 SCHEMES = (("BASE", 0.60, 0.55, 0.90), ("RELAX1", 0.50, 0.50, 0.95), ("RELAX2", 0.40, 0.50, 0.99), ("TIGHT1", 0.70, 0.60, 0.85))
 
 
-def _whole(df: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
-    return floor_rank(df, ["symbol"], column, quantiles)
-
-
 def trend_gate(bars: DataFrame, q_er: float = 0.60, q_mom: float = 0.55, q_vol: float = 0.90) -> DataFrame:
     """gate_long and gate_short from each symbol's own quantiles of er, mom_bps and vol_bps."""
-    a = _whole(bars, "er", {"thr_er": q_er}).join(_whole(bars, "mom_bps", {"thr_mom": q_mom, "thr_mom_short": 1 - q_mom}), "symbol").join(_whole(bars, "vol_bps", {"thr_vol": q_vol}), "symbol")
+    a = floor_ranks(bars, ["symbol"], {"er": {"thr_er": q_er}, "mom_bps": {"thr_mom": q_mom, "thr_mom_short": 1 - q_mom}, "vol_bps": {"thr_vol": q_vol}})
     base = (F.col("er") >= F.col("thr_er")) & (F.col("vol_bps") <= F.col("thr_vol"))
     rows = bars.join(counted(a), "symbol", "left")
     off = F.lit(False)
@@ -27,7 +23,7 @@ def trend_gate(bars: DataFrame, q_er: float = 0.60, q_mom: float = 0.55, q_vol:
 
 
 def range_gate(bars: DataFrame, q_er: float = 0.40, q_vol: float = 0.90) -> DataFrame:
-    a = _whole(bars, "er", {"thr_er": q_er}).join(_whole(bars, "vol_bps", {"thr_vol": q_vol}), "symbol")
+    a = floor_ranks(bars, ["symbol"], {"er": {"thr_er": q_er}, "vol_bps": {"thr_vol": q_vol}})
     rows = bars.join(counted(a), "symbol", "left")
     return rows.withColumn("gate", F.coalesce((F.col("er") <= F.col("thr_er")) & (F.col("vol_bps") <= F.col("thr_vol")), F.lit(False)))
 
@@ -42,9 +38,8 @@ def calibrate_trend(bars: DataFrame, folds: DataFrame, min_rows: int = 5000, lea
     rows = tag_segments(bars.dropna(subset=["er", "mom_bps", "vol_bps"]), folds, "time_utc")
     inside = rows.where("segment = 'IS'")
     keys = ["symbol", "fold_id"]
-    q = lambda column, k, name: nearest_rank(inside, keys, column, {f"{name}_{s[0]}": s[k] for s in SCHEMES})
-    short = nearest_rank(inside, keys, "mom_bps", {f"short_{s[0]}": 1 - s[2] for s in SCHEMES})
-    wide = q("er", 1, "er").join(q("mom_bps", 2, "long"), keys).join(short, keys).join(q("vol_bps", 3, "vol"), keys)
+    named = lambda name, k: {f"{name}_{s[0]}": s[k] for s in SCHEMES}
+    wide = nearest_ranks(inside, keys, {"er": named("er", 1), "mom_bps": named("long", 2) | {f"short_{s[0]}": 1 - s[2] for s in SCHEMES}, "vol_bps": named("vol", 3)})
     options = F.array(*[
         F.struct(F.lit(k).alias("rank"), F.lit(s[0]).alias("scheme"), F.lit(side).alias("side"), F.col(f"er_{s[0]}").alias("thr_er"),
                  (F.greatest(F.lit(0.0), F.col(f"long_{s[0]}")) if side == "LONG" else F.least(F.lit(0.0), F.col(f"short_{s[0]}"))).alias("thr_mom"), F.col(f"vol_{s[0]}").alias("thr_vol"))
@@ -67,7 +62,7 @@ def calibrate_range(bars: DataFrame, folds: DataFrame, q_er: float = 0.15, q_vol
     """Thresholds of the range gate by symbol and fold, with coverage in both parts."""
     rows = tag_segments(bars.dropna(subset=["er", "vol_bps", "range_width_atr"]), folds, "time_utc")
     inside, keys = rows.where("segment = 'IS'"), ["symbol", "fold_id"]
-    found = nearest_rank(inside, keys, "er", {"thr_er": q_er}).join(nearest_rank(inside, keys, "vol_bps", {"thr_vol": q_vol}), keys).join(nearest_rank(inside, keys, "range_width_atr", {"thr_width": q_width}), keys)
+    found = nearest_ranks(inside, keys, {"er": {"thr_er": q_er}, "vol_bps": {"thr_vol": q_vol}, "range_width_atr": {"thr_width": q_width}})
     passed = ((F.col("er") <= F.col("thr_er")) & (F.col("vol_bps") <= F.col("thr_vol")) & (F.col("range_width_atr") <= F.col("thr_width"))).cast("double")
     return rows.join(found.hint("shuffle_merge"), keys).groupBy(*keys, "thr_er", "thr_vol", "thr_width").agg(F.avg(F.when(F.col("segment") == "IS", passed)).alias("cov_is"), F.coalesce(F.avg(F.when(F.col("segment") == "OOS", passed)), F.lit(0.0)).alias("cov_oos"))
 
@@ -86,6 +81,6 @@ def mean_reversion(bars: DataFrame, k: float, velocity: float = 0.1) -> DataFram
 
 def terciles(rows: DataFrame, column: str, name: str) -> DataFrame:
     """low, mid or high by the linear terciles of the whole table."""
-    cuts = rows.agg(F.percentile(column, F.lit(0.333)).alias("_a"), F.percentile(column, F.lit(0.667)).alias("_b"))
+    cuts = linear_ranks(rows, [], {column: {"_a": 0.333, "_b": 0.667}})
     x = F.col(column)
     return rows.join(F.broadcast(cuts)).withColumn(name, F.when(x.isNull(), F.lit(None)).when(x <= F.col("_a"), "low").when(x <= F.col("_b"), "mid").otherwise("high")).drop("_a", "_b")

@@ -202,13 +202,12 @@ def best_horizon(report: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def timing_qa(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Seconds from signal to entry and of holding: median, p90, p99, most, and how many are slow."""
-    from barloom.functions.ranks import nearest_rank
+    from barloom.functions.ranks import nearest_ranks
 
     rows = trades.withColumns({"_wait": F.unix_timestamp("entry_time") - F.unix_timestamp("signal_time"), "_hold": F.unix_timestamp("exit_time") - F.unix_timestamp("entry_time")})
     out = rows.groupBy(*keys).agg(F.median("_wait").alias("wait_p50"), F.max("_wait").alias("wait_max"), F.median("_hold").alias("hold_p50"), F.max("_hold").alias("hold_max"), *[F.avg((F.col("_hold") > s).cast("double")).alias(f"hold_over_{s}") for s in (900, 3600, 86400)])
-    for c in ("wait", "hold"):
-        out = out.join(nearest_rank(rows, keys, f"_{c}", {f"{c}_p90": 0.90, f"{c}_p99": 0.99}), list(keys))
-    return out
+    ranks = nearest_ranks(rows, keys, {f"_{c}": {f"{c}_p90": 0.90, f"{c}_p99": 0.99} for c in ("wait", "hold")})
+    return out.join(ranks.hint("shuffle_merge"), list(keys))
 
 
 def decay_table(report: DataFrame, keys: Sequence[str] = ("symbol", "side"), top: int = 20) -> DataFrame:

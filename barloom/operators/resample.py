@@ -350,7 +350,7 @@ def path_quantiles(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     wanted = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     each = paths.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in ("final", "mdd")))).alias("m"))
-    return floor_rank(each.select(*keys, "m.metric", "m.x"), [*keys, "metric"], "x", wanted)
+    return floor_rank(each.select(*keys, "m.metric", "m.x"), [*keys, "metric"], "x", wanted, bounded=True)
 
 
 STRESSED = Draw("iid", None, 2.0, 0.001)
