@@ -10,7 +10,8 @@ summed over the index, and a window that has a term without postings is dropped.
 only the shards that hold its rarest term. There its lists are intersected from the rarest term
 on, each shifted by its offset in the window, until all terms are used (exact phrases); or, for
 proximity matches, there must be a start from which every term stands within `slop` words of its
-place. Neither documents, postings nor windows pass through the driver.
+place. Proximity is asked of full windows only, since the words of a shorter item may stand near each other by chance.
+Neither documents, postings nor windows pass through the driver.
 
 Defined cases: null or empty texts have no words and no hits; an item shorter than the window is
 one window; items without words or with null text match nothing; items of null id are one item,
@@ -33,6 +34,8 @@ from barloom.llm.session import shared_folder
 from barloom.llm.textkit import LOWER, NOT_TERM, cover, heads, runs, texts_of, word_hash, words
 
 WINDOW = 10
+SLOP = 1
+"""Words by which a term may miss its place in a proximity match."""
 SHARD_BYTES = 4 << 20
 SMALL_ROWS = 1_000_000
 """Terms or documents, of 40 bytes at most, are broadcast if they have been counted to be no more than this."""
@@ -175,7 +178,7 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | N
                 sizes.append(np.full(len(at), len(plan)))
                 for d in np.unique(shard.doc_of(at)).tolist():
                     exact[d].append(name)
-            if slop is not None:
+            if slop is not None and len(plan) == window:
                 for d in shard.near(plan, slop).tolist():
                     close[d].append(name)
         hit = cover(shard.n_words, np.concatenate(found), np.concatenate(sizes)) if found else np.zeros(shard.n_words, bool)
@@ -216,21 +219,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 
 
 def digest(hits: DataFrame) -> DataFrame:
-    """The columns that the query returns."""
+    """The columns that the query returns; n_near: items with a window that stands exactly or within SLOP words."""
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return hits.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window, with all their columns. A document of null id is judged like any other.
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = SLOP) -> DataFrame:
+    """The documents without any benchmark window, exact or (unless slop is None) near, with all their columns. A document of null id is judged like any other.
 
     Contaminated rows are told by id and a 128-bit mark of their text.
     """
     place = f"{shared_folder(docs.sparkSession)}/index-{uuid.uuid4().hex}"
-    found, _ = find(build_index(docs.select("doc_id", "text"), place), items, window)
-    found.where("n_hit > 0").select(F.col("doc_id").alias("d"), F.col("mark")[0].alias("m0"), F.col("mark")[1].alias("m1")).distinct().write.parquet(f"{place}-hits")
+    found, _ = find(build_index(docs.select("doc_id", "text"), place), items, window, slop)
+    found.where("n_hit > 0 OR size(near) > 0").select(F.col("doc_id").alias("d"), F.col("mark")[0].alias("m0"), F.col("mark")[1].alias("m1")).distinct().write.parquet(f"{place}-hits")
     gone = docs.sparkSession.read.parquet(f"{place}-hits")
     gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone.hint("shuffle_merge")
     same = docs["doc_id"].cast("long").eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"]) == gone["m0"]) & (F.xxhash64(F.lit(1), docs["text"]) == gone["m1"])

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.textkit import SPACE, cover, heads, mix, runs, span_hash, texts_of, window_starts, word_hash, words
@@ -205,6 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     The sample is dealt into shards of about FIT_DOCS documents and FIT_BYTES of text at most. Each is
     fitted in a task of its own, and the parameters (28 numbers a shard) are averaged by numbers of documents.
+    Good and bad documents are dealt apart, so every shard has both; of a kind with fewer documents than
+    there are shards each one goes to several. A shard weighs both kinds alike.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -223,7 +225,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         rows = [] if parts is None else [np.concatenate([p.ravel() for p in parts]).tolist()]
         return pa.table({"n": pa.array([len(documents)] * len(rows), pa.int64()), "parts": pa.array(rows, pa.list_(pa.float64()))})
 
-    dealt = picked.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    kind = Window.partitionBy(F.col("quality") == 1)  # of the sample
+    ranked = picked.withColumns({"_r": F.row_number().over(kind.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")) - 1, "_n": F.count(F.lit(1)).over(kind).cast("int")})
+    places = F.when(F.col("_n") >= shards, F.array(F.col("_r") % shards)).otherwise(F.sequence(F.col("_r"), F.lit(shards - 1), F.col("_n")))
+    dealt = ranked.withColumn("shard", F.explode(places)).drop("_r", "_n").repartition(shards, "shard")
     fitted = sorted((r.n, r.parts) for r in dealt.groupBy("shard").applyInArrow(work, "n long, parts array<double>").collect())
     picked.unpersist()
     if not fitted:

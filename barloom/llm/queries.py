@@ -58,7 +58,7 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontam.digest(decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+    return decontam.digest(decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), slop=decontam.SLOP))
 
 
 def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,10 +187,17 @@ hits AS (
   SELECT pos.doc_id, win.item_id, pos.i, win.n FROM pos JOIN lens ON pos.i + lens.n - 1 <= len(pos.w)
   JOIN win ON win.n = lens.n AND win.phrase = array_to_string(pos.w[pos.i : pos.i + lens.n - 1], ' ')),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id),
+posn AS (SELECT doc_id, i, w[i] AS word FROM pos),
+freq AS (SELECT word, count(*) AS c FROM posn GROUP BY word),
+term AS (SELECT phrase, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS off FROM (SELECT DISTINCT phrase, string_split(phrase, ' ') AS t FROM win WHERE n = 10)),
+lead AS (SELECT phrase, arg_min(off, c * 100 + off) AS off, arg_min(word, c * 100 + off) AS word FROM term LEFT JOIN freq USING (word) GROUP BY phrase HAVING count(c) = 10),
+cand AS (SELECT DISTINCT phrase, doc_id, i - off + unnest([-1, 0, 1]) AS s FROM lead JOIN posn USING (word)),
+close AS (SELECT c.phrase, c.doc_id, s FROM (SELECT *, s + off + unnest([-1, 0, 1]) AS i FROM cand JOIN term USING (phrase)) c JOIN posn p ON p.doc_id = c.doc_id AND p.i = c.i AND p.word = c.word GROUP BY ALL HAVING count(DISTINCT off) = 10),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN win ON win.phrase = close.phrase AND win.n = 10 GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(f.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM dw d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)""",
+  sha256(coalesce(f.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op11_vector_codes": oracles.vector_codes(),
     "op12_url_filter": oracles.url_filter(),
     "op13_prefix_trie": oracles.PREFIX_TRIE,

@@ -16,7 +16,7 @@ def test_windows_of_null_items_count(spark):
     docs, items = spark.createDataFrame(DOCS, SCHEMA), spark.createDataFrame(ITEMS, "item_id long, text string")
     frame = pd.DataFrame({"item_id": pd.array([i for i, _ in ITEMS], "Int64"), "text": [t for _, t in ITEMS]})
     want = duck(DOCS, benchmark=frame).execute(queries.ORACLES["op10_benchmark_decontamination"]).df()
-    compare(decontam.digest(decontam.contamination(docs, items)).toPandas(), want)
+    compare(decontam.digest(decontam.contamination(docs, items, slop=decontam.SLOP)).toPandas(), want)
     assert [r.doc_id for r in decontam.clean_documents(docs, items).collect()] == [3]
-    shards = decontam.digest(decontam.contamination(docs, items, shard_bytes=30))
+    shards = decontam.digest(decontam.contamination(docs, items, slop=decontam.SLOP, shard_bytes=30))
     compare(shards.toPandas(), want)

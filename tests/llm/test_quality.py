@@ -91,3 +91,17 @@ def test_labels_of_one_kind_and_repeated_ids(spark, tables):
     assert quality.train(docs, labels.where("quality = 1"))["trivial"] and quality.train(docs.limit(0), labels)["trivial"] and quality.train(docs, labels.limit(0))["trivial"]
     same, twice = quality.train(docs, labels), quality.train(docs.unionByName(docs).repartition(3), labels.unionByName(labels))
     assert np.allclose(same["emission"], twice["emission"]) and np.allclose(same["transition"], twice["transition"])
+
+
+def test_rare_kinds_reach_every_shard(spark, tables, monkeypatch):
+    """One bad document among hundreds of good ones, cut into many shards: all good ones count, and the bad one is in each."""
+    docs, labels = tables
+    known = docs.join(labels.where("quality is not null"), "doc_id").select("doc_id", "quality")
+    bad = known.where("quality = 0").orderBy("doc_id").limit(1)
+    few = known.where("quality = 1").unionByName(bad)
+    one = quality.train(docs, few)
+    monkeypatch.setattr(quality, "FIT_DOCS", 40)
+    many = quality.train(docs, few)
+    assert not one["trivial"] and not many["trivial"]
+    judged = [{r.doc_id: r.kept for r in quality.score_documents(docs.join(few.select("doc_id"), "doc_id", "left_semi"), m).collect()} for m in (one, many)]
+    assert np.mean([judged[0][k] == judged[1][k] for k in judged[0]]) > 0.97
