@@ -54,37 +54,100 @@ def candidates(bars: DataFrame, weekdays_only: bool = True, check_execution: boo
     return rows.select("symbol", F.col("idx").alias("i"), F.col("time_utc").alias("signal_time"), side.alias("side"), F.coalesce("next_open", "close").alias("entry_price"), "atr")
 
 
+def _quiet_exits(bars: DataFrame, time_stop: int, min_hold: int, gate_off_bars: int, weekdays_only: bool, block: int) -> DataFrame:
+    """symbol, i and, for an entry at each bar, what doesn't depend on its prices: its first exit by time, regime or weekend on either
+    side, and how far high and low go in the rest of its block."""
+    ahead = lambda a, b: by_time().rowsBetween(a, max(a, b))
+    wait = max(min_hold, gate_off_bars, 1)
+    at = lambda rank: F.struct(F.col("idx").alias("j"), F.lit(rank).alias("rank"), F.col("close").alias("price"), F.col("time_utc").alias("exit_time"))
+    rows = bars.withColumns({f"_on_{side}": F.max(F.when(F.col(f"gate_{side}"), F.col("idx"))).over(by_time().rowsBetween(Window.unboundedPreceding, 0)) for side in ("long", "short")})
+    late = F.min(at(3)).over(by_time().rowsBetween(time_stop, time_stop))
+    weekend = F.min(F.when(F.col("weekend") & F.lit(weekdays_only), at(5))).over(ahead(1, time_stop))
+
+    def quiet(side: str) -> Column:
+        off = F.coalesce(F.col("idx") - F.col(f"_on_{side}"), F.lit(gate_off_bars)) >= gate_off_bars
+        regime = F.min(F.when(off, at(4))).over(ahead(wait, time_stop))
+        return F.least(late, weekend, F.when(regime["j"] <= F.col("idx") + time_stop, regime))
+
+    own = Window.partitionBy("symbol", F.expr(f"idx div {block}")).orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
+    return rows.select("symbol", F.col("idx").alias("i"), quiet("long").alias("_quiet_long"), quiet("short").alias("_quiet_short"), F.max("high").over(own).alias("_rest_high"), F.min("low").over(own).alias("_rest_low"))
+
+
+def _block_index(bars: DataFrame, block: int, span: int) -> tuple[DataFrame, DataFrame]:
+    """(symbol, block, its bars), and (symbol, span, the extremes of its blocks and the next span's): highest high, lowest low, and the
+    greatest fall from a high so far and rise from a low so far inside the block."""
+    one = F.struct(F.col("idx").alias("j"), "high", "low", F.col("time_utc").alias("exit_time"))
+    held = bars.groupBy("symbol", F.expr(f"idx div {block}").alias("block")).agg(F.array_sort(F.collect_list(one)).alias("path"))
+
+    def swing(first: str, other: str, pick, sign: int) -> Column:
+        start = F.struct(F.lit(None).cast("double").alias("far"), F.lit(None).cast("double").alias("most"))
+
+        def step(acc: Column, x: Column) -> Column:
+            far = pick(acc["far"], x[first])
+            return F.struct(far.alias("far"), F.greatest(acc["most"], sign * (far - x[other])).alias("most"))
+
+        return F.aggregate("path", start, step, lambda acc: acc["most"])
+
+    facts = F.struct("block", F.array_max(F.transform("path", lambda x: x["high"])).alias("high"), F.array_min(F.transform("path", lambda x: x["low"])).alias("low"), swing("high", "low", F.greatest, 1).alias("fall"), swing("low", "high", F.least, -1).alias("rise"))
+    spans = held.select("symbol", facts.alias("f"), F.explode(F.array(F.expr(f"block div {span}"), F.expr(f"block div {span}") - 1)).alias("span"))
+    return held, spans.groupBy("symbol", "span").agg(F.array_sort(F.collect_list("f")).alias("blocks"))
+
+
 def label_exits(entries: DataFrame, bars: DataFrame, time_stop: int, min_hold: int, gate_off_bars: int, weekdays_only: bool = True, keys: Sequence[str] = ()) -> DataFrame:
     """The first bar at which an entry is closed, and why.
 
     entries: symbol, i, side, entry_price, atr, sl, tp, trail (multiples of atr; trail null or 0: none)
-    and `keys`. Entries meet only the bars of their own and the next block of time_stop bars; the
-    trail follows the best price so far, the bar's own included. Entries still open at the last bar give no row.
+    and `keys`, one row for each of these. The trail follows the best price so far, the bar's own included. Entries still open at
+    the last bar give no row.
+
+    Time, regime and weekend are looked up once a bar. For prices an entry meets one row of extremes of blocks, where it
+    finds the first block that its stop, goal or trail is in, and then the bars of that block and of the rest of its own: so
+    the rows that are joined grow with entries, whatever time_stop is. Of a fall so near to the trail that rounding
+    decides, the block is looked into and the search goes on.
     """
+    block = max(2, round(time_stop**0.5))
+    span = -(-time_stop // block) + 1
+    held, spans = _block_index(bars, block, span)
     own = ["symbol", *keys, "i", "side"]
-    path = bars.select("symbol", F.col("idx").alias("j"), F.col("time_utc").alias("exit_time"), "high", "low", "close", "gate_long", "gate_short", "weekend", F.expr(f"idx div {time_stop}").alias("block"))
-    e = entries.withColumn("block", F.explode(F.array(F.expr(f"i div {time_stop}"), F.expr(f"i div {time_stop}") + 1)))
-    rows = e.join(path.hint("shuffle_merge"), ["symbol", "block"]).where((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + time_stop))
-    so_far = Window.partitionBy(*own).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     long = F.col("side") == "LONG"
-    gate = F.when(long, F.col("gate_long")).otherwise(F.col("gate_short"))
+    sign = F.when(long, 1).otherwise(-1)
+    rows = meet(entries, _quiet_exits(bars, time_stop, min_hold, gate_off_bars, weekdays_only, block), ["symbol", "i"])
     rows = rows.withColumns({
-        "best": F.when(long, F.greatest("entry_price", F.max("high").over(so_far))).otherwise(F.least("entry_price", F.min("low").over(so_far))),
-        "off": F.col("j") - F.coalesce(F.max(F.when(gate, F.col("j"))).over(so_far), F.col("i")),
+        "_quiet": F.when(long, F.col("_quiet_long")).otherwise(F.col("_quiet_short")), "_rest": F.when(long, F.greatest("entry_price", "_rest_high")).otherwise(F.least("entry_price", "_rest_low")),
+        "_stop": F.col("entry_price") - sign * F.col("sl") * F.col("atr"), "_goal": F.col("entry_price") + sign * F.col("tp") * F.col("atr"), "_back": F.when(F.col("trail") > 0, F.col("trail") * F.col("atr")),
+        "_trail": F.when(F.col("trail") > 0, sign * F.col("trail") * F.col("atr")), "block": F.expr(f"i div {block}"), "_last": F.expr(f"(i + {time_stop}) div {block}"),
     })
-    sign = F.when(long, 1).otherwise(-1)
-    stop, goal = F.col("entry_price") - sign * F.col("sl") * F.col("atr"), F.col("entry_price") + sign * F.col("tp") * F.col("atr")
-    trail = F.when(F.col("trail") > 0, F.col("best") - sign * F.col("trail") * F.col("atr"))
-    reached = lambda level: F.coalesce(F.when(long, F.col("low") <= level).otherwise(F.col("high") >= level), F.lit(False))
-    won = F.when(long, F.col("high") >= goal).otherwise(F.col("low") <= goal)
-    held = F.col("j") - F.col("i")
-    tests = (reached(stop), reached(trail), won, held >= time_stop, (held >= min_hold) & (F.col("off") >= gate_off_bars), F.col("weekend") & F.lit(weekdays_only))
-    prices = (stop, trail, goal, *[F.col("close")] * 3)
-    event = None
-    for k, (test, price) in enumerate(zip(tests, prices, strict=True)):
-        what = F.struct(F.col("j").alias("j"), F.lit(k).alias("rank"), price.alias("price"), F.col("exit_time").alias("exit_time"))
-        event = F.when(test, what) if event is None else event.when(test, what)
-    first = rows.withColumn("event", event).where("event is not null").groupBy(*own, "entry_price", "signal_time").agg(F.min("event").alias("x"))
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    below = lambda x, level: yes(F.when(long, x["low"] <= level).otherwise(x["high"] >= level))
+    above = lambda x, level: yes(F.when(long, x["high"] >= level).otherwise(x["low"] <= level))
+    beyond = lambda best, x: F.when(long, F.greatest(best, x["high"])).otherwise(F.least(best, x["low"]))
+
+    def search(acc: Column, x: Column) -> Column:
+        swing = F.when(long, x["fall"]).otherwise(x["rise"])
+        sure = below(x, F.col("_stop")) | above(x, F.col("_goal")) | below(x, acc["best"] - F.col("_trail")) | yes(swing >= F.col("_back") * (1 + 1e-9))
+        near = sure | yes(swing >= F.col("_back") * (1 - 1e-9))
+        look = ~acc["done"] & (x["block"] > F.col("block")) & (x["block"] <= F.col("_last"))
+        found = F.when(look & near, F.array_append(acc["found"], F.struct(x["block"].alias("block"), acc["best"].alias("best")))).otherwise(acc["found"])
+        return F.struct(F.when(look, beyond(acc["best"], x)).otherwise(acc["best"]).alias("best"), (acc["done"] | (look & sure)).alias("done"), found.alias("found"))
+
+    mine = F.array(F.struct(F.col("block"), F.col("entry_price").alias("best")))
+    start = F.struct(F.col("_rest").alias("best"), F.lit(False).alias("done"), mine.alias("found"))
+    rows = meet(rows.withColumn("span", F.expr(f"block div {span}")), spans, ["symbol", "span"])
+    rows = rows.withColumn("_found", F.explode(F.aggregate("blocks", start, search, lambda acc: acc["found"]))).drop("blocks").withColumns({"block": F.col("_found.block"), "_best": F.col("_found.best")})
+
+    event = "struct<j:int,rank:int,price:double,exit_time:timestamp>"
+
+    def walk(acc: Column, x: Column) -> Column:
+        best = beyond(acc["best"], x)
+        trail = best - F.col("_trail")
+        what = lambda rank, price: F.struct(x["j"].cast("int").alias("j"), F.lit(rank).alias("rank"), price.cast("double").alias("price"), x["exit_time"].alias("exit_time")).cast(event)
+        here = F.when(below(x, F.col("_stop")), what(0, F.col("_stop"))).when(below(x, trail), what(1, trail)).when(above(x, F.col("_goal")), what(2, F.col("_goal")))
+        inside = acc["event"].isNull() & (x["j"] > F.col("i")) & (x["j"] <= F.col("i") + time_stop)
+        return F.struct(F.when(inside, best).otherwise(acc["best"]).alias("best"), F.when(inside, here).otherwise(acc["event"]).alias("event"))
+
+    begin = F.struct(F.col("_best").cast("double").alias("best"), F.lit(None).cast(event).alias("event"))
+    rows = meet(rows, held, ["symbol", "block"]).withColumn("_event", F.aggregate("path", begin, walk, lambda acc: acc["event"])).drop("path")
+    first = rows.groupBy(*own, "entry_price", "signal_time").agg(F.least(F.min(F.col("_quiet").cast(event)), F.min("_event")).alias("x")).where("x IS NOT NULL")
     reasons = F.array(*[F.lit(r) for r in EXITS])
     out = first.select(*own, "signal_time", "entry_price", F.col("x.price").alias("exit_price"), F.col("x.j").alias("exit_idx"), F.col("x.exit_time").alias("exit_time"), F.element_at(reasons, F.col("x.rank") + 1).alias("exit_reason"))
     gross = F.when(F.col("side") == "LONG", 1).otherwise(-1) * (F.col("exit_price") / F.col("entry_price") - 1)
