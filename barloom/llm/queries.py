@@ -188,7 +188,7 @@ hits AS (
   JOIN win ON win.n = lens.n AND win.phrase = array_to_string(pos.w[pos.i : pos.i + lens.n - 1], ' ')),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id),
-posn AS (SELECT doc_id, i, w[i] AS word FROM pos),
+posn AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM dw),
 freq AS (SELECT word, count(*) AS c FROM posn GROUP BY word),
 term AS (SELECT phrase, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS off FROM (SELECT DISTINCT phrase, string_split(phrase, ' ') AS t FROM win WHERE n = 10)),
 lead AS (SELECT phrase, arg_min(off, c * 100 + off) AS off, arg_min(word, c * 100 + off) AS word FROM term LEFT JOIN freq USING (word) GROUP BY phrase HAVING count(c) = 10),

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.joins import meet
+
 
 def winsorise(daily: DataFrame, bound: float = 0.40) -> DataFrame:
     """ret within bounds, with the sign of the side."""
@@ -224,11 +228,51 @@ def common_days(daily: DataFrame) -> DataFrame:
     return daily.join(days, "day", "left_semi")
 
 
-def correlations(daily: DataFrame) -> DataFrame:
-    """Pearson correlation of daily returns of every pair of symbols."""
-    a = daily.select("day", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    b = daily.select("day", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    return a.join(b, "day").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("rho"), F.count(F.lit(1)).alias("days"))
+TILE, DAYS = 256, 256
+"""Symbols in a tile, on average, and days in a block of the matrix product."""
+
+
+def correlations(daily: DataFrame, tile: int = TILE, days: int = DAYS) -> DataFrame:
+    """Pearson correlation of daily returns of every pair of symbols, and on how many days both have a row.
+
+    daily: one row for each (symbol, day). A blocked matrix product: symbols lie in tiles, days in blocks; each block of a tile
+    is sent once to each pair of tiles that it belongs to, where sums and cross-products of all its pairs come from products of
+    matrices, with masks for what is missing. So rows move once for each tile, not once for each other symbol.
+    Returns are taken from their symbol's mean, which changes no correlation and keeps the sums small; days on which one of both is null don't
+    count in rho, and a pair without variation has a null.
+    """
+    daily = daily.where("symbol IS NOT NULL")
+    symbols = daily.groupBy("symbol").agg(F.avg("ret").alias("_mean"))
+    tiles = max(1, -(-symbols.count() // tile))
+    place = F.pmod(F.xxhash64("symbol"), F.lit(tiles)).cast("int")
+    rows = meet(daily.select("symbol", "day", F.col("ret").cast("double").alias("ret")), symbols, ["symbol"])
+    rows = rows.select("symbol", F.datediff("day", F.lit("1970-01-01")).cast("long").alias("_d"), (F.col("ret") - F.col("_mean")).alias("x"), place.alias("_tile"))
+    rows = rows.withColumn("_block", F.floor(F.col("_d") / days)).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    sums = ("days", "n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def work(table: pa.Table) -> pa.Table:
+        names, at = np.unique(np.array(table["symbol"].to_pylist(), object).astype(str), return_inverse=True)
+        own = np.zeros(len(names), np.int64)
+        own[at] = table["_tile"].to_numpy()
+        _, day = np.unique(table["_d"].to_numpy(), return_inverse=True)
+        value = table["x"].to_numpy(zero_copy_only=False)
+        x, here, known = (np.zeros((day.max() + 1, len(names))) for _ in range(3))
+        there = ~np.isnan(value)
+        here[day, at], known[day[there], at[there]], x[day[there], at[there]] = 1, 1, value[there]
+        square = x * x
+        product = {"days": here.T @ here, "n": known.T @ known, "sx": x.T @ known, "sy": known.T @ x, "sxx": square.T @ known, "syy": known.T @ square, "sxy": x.T @ x}
+        low, high = int(table["_low"][0].as_py()), int(table["_high"][0].as_py())
+        wanted = np.triu(np.ones((len(names), len(names)), bool), 1) & (product["days"] > 0)
+        if low != high:  # pairs inside of a tile are counted with the tile itself
+            wanted &= own[:, None] != own[None, :]
+        a, b = np.nonzero(wanted)
+        return pa.table({"a": pa.array(names[a], pa.string()), "b": pa.array(names[b], pa.string())} | {k: pa.array(product[k][a, b]) for k in sums})
+
+    pairs = rows.withColumns({"_low": F.least("_tile", "_other"), "_high": F.greatest("_tile", "_other")}).groupBy("_block", "_low", "_high").applyInArrow(work, "a string, b string, " + ", ".join(f"{k} double" for k in sums))
+    whole = pairs.groupBy("a", "b").agg(*(F.sum(k).alias(k) for k in sums))
+    spread = lambda s, ss: F.greatest(F.col("n") * F.col(ss) - F.col(s) * F.col(s), F.lit(0.0))
+    rho = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sx", "sxx") * spread("sy", "syy")))
+    return whole.select("a", "b", rho.alias("rho"), F.col("days").cast("long").alias("days"))
 
 
 def joint_losses(daily: DataFrame) -> DataFrame:

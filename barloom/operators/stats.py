@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.joins import meet
+
 
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -49,25 +53,49 @@ def _p_values(rows: DataFrame, t: str, df: str | None, name: str) -> DataFrame:
     return rows.withColumn(name, udf(F.col(t), F.col(df).cast("double") if df else F.lit(None).cast("double")))
 
 
-def hac_t(daily: DataFrame, keys: Sequence[str], column: str = "ret", order: str = "day", max_lag: int = 30) -> DataFrame:
-    """Newey-West t-statistic of the mean with Bartlett weights and L = max(1, floor(4 (T / 100)^(2/9))) lags.
+LAG_BLOCK = 1024
+"""Positions of a series in a block, or as many as there are lags if these are more."""
+
+
+def hac_t(daily: DataFrame, keys: Sequence[str], column: str = "ret", order: str = "day", lags: int | None = None) -> DataFrame:
+    """Newey-West t-statistic of the mean with Bartlett weights and L = max(1, floor(4 (T / 100)^(2/9))) lags, or as many as given.
 
-    Autocovariances come from lagged columns, so the series is never gathered; series for which L
-    would exceed max_lag (about 800,000 days) are refused by a null.
+    A series is cut into blocks of positions, each with the block before it as its halo, so lags reach across; a block adds up the
+    weighted products of its values with those up to L places before them, and the blocks' sums are added. Any number of lags works.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    whole = Window.partitionBy(*keys)
-    rows = daily.withColumns({"_u": F.col(column) - F.avg(column).over(whole), "_t": F.count(F.lit(1)).over(whole)})
-    rows = rows.withColumn("_L", F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("_t") / 100.0, F.lit(2 / 9)))))
-    lagged = [F.sum(F.col("_u") * F.col(f"_l{k}")).alias(f"_g{k}") for k in range(1, max_lag + 1)]
-    rows = rows.withColumns({f"_l{k}": F.lag("_u", k).over(w) for k in range(1, max_lag + 1)})
-    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.max("_L").alias("max_lags"), F.avg(column).alias("mean"), F.sum(F.col("_u") * F.col("_u")).alias("_g0"), *lagged)
-    weighted = F.col("_g0")
-    for k in range(1, max_lag + 1):
-        weighted = weighted + F.when(F.col("max_lags") >= k, 2 * (1 - k / (F.col("max_lags") + 1)) * F.coalesce(f"_g{k}", F.lit(0.0))).otherwise(0.0)
-    se = F.sqrt(weighted) / F.col("n_obs")
-    out = out.withColumn("t_stat", F.when((F.col("max_lags") <= max_lag) & (F.col("n_obs") >= 5), F.try_divide("mean", se)))
-    return out.select(*keys, "n_obs", "max_lags", "t_stat")
+    whole, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
+    rows = daily.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_x"), (F.row_number().over(w) - 1).alias("_pos"), F.count(F.lit(1)).over(whole).alias("n_obs"), F.avg(column).over(whole).alias("mean"))
+    most = F.lit(lags).cast("long") if lags else F.greatest(F.lit(1).cast("long"), F.floor(4 * F.pow(F.col("n_obs") / 100.0, F.lit(2 / 9))))
+    rows = rows.withColumns({"max_lags": most, "_u": F.col("_x") - F.col("mean")})
+    widest = lags or daily.groupBy(*keys).count().agg(F.max(F.floor(4 * F.pow(F.col("count") / 100.0, F.lit(2 / 9))))).first()[0] or 1
+    size = max(LAG_BLOCK, int(widest))
+    own = [*keys, "_block"]
+    held = rows.groupBy(*keys, F.expr(f"cast(_pos as long) div {size}").alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_u"))).getField("_u").alias("_values"), F.max("n_obs").alias("n_obs"), F.max("mean").alias("mean"), F.max("max_lags").alias("max_lags"),
+    )
+    before = held.select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_values").alias("_before"))
+    kinds = dict(rows.dtypes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for values, halo, most in zip(batch.column("_values").to_pylist(), batch.column("_before").to_pylist(), batch.column("max_lags").to_pylist(), strict=True):
+                u = np.array(values)
+                line = np.r_[np.array(halo or [], float)[-most:], u]
+                start = len(line) - len(u)
+                total = u @ u
+                for k in range(1, min(most, len(line) - 1) + 1):
+                    first = max(start, k)
+                    total += 2 * (1 - k / (most + 1)) * (line[first:] @ line[first - k : len(line) - k])
+                out.append(float(total))
+            kept = [batch.column(c) for c in (*keys, "n_obs", "mean", "max_lags")]
+            yield pa.record_batch([*kept, pa.array(out, pa.float64())], [*keys, "n_obs", "mean", "max_lags", "_v"])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_obs long, mean double, max_lags long, _v double"])
+    parts = meet(held, before, own, "left").select(*keys, "n_obs", "mean", "max_lags", "_values", "_before").mapInArrow(work, schema)
+    out = parts.groupBy(*keys, "n_obs", "mean", "max_lags").agg(F.sum("_v").alias("_v"))
+    se = F.sqrt(F.greatest("_v", F.lit(0.0))) / F.col("n_obs")
+    return out.withColumn("t_stat", F.when(F.col("n_obs") >= 5, F.try_divide("mean", se))).select(*keys, "n_obs", "max_lags", "t_stat")
 
 
 def hac_test(daily: DataFrame, keys: Sequence[str], column: str = "ret") -> DataFrame:
