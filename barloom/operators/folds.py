@@ -87,6 +87,15 @@ def tag_segments(rows: DataFrame, folds: DataFrame, time: str) -> DataFrame:
     return tagged.where((F.col(time) >= F.col("a")) & (F.col(time) <= F.col("b"))).drop("a", "b", "_day")
 
 
+def range_counts(bars: DataFrame, folds: DataFrame) -> DataFrame:
+    """Bars between is_start and is_end of each fold of a symbol with bars, the end excluded and included."""
+    rows = bars.select("symbol", "time_utc", F.to_date("time_utc").alias("_day")).join(_by_day(folds.select("symbol", "fold_id", "is_start", "is_end").where("is_start <= is_end"), "is_start", "is_end"), ["symbol", "_day"])
+    t = F.col("time_utc")
+    found = rows.groupBy("symbol", "fold_id").agg(F.count_if((t >= F.col("is_start")) & (t < F.col("is_end"))).alias("half_open"), F.count_if((t >= F.col("is_start")) & (t <= F.col("is_end"))).alias("closed"))
+    own = folds.select("symbol", "fold_id").distinct().join(bars.select("symbol").distinct().hint("shuffle_merge"), "symbol", "left_semi")
+    return own.join(found.hint("shuffle_merge"), ["symbol", "fold_id"], "left").fillna(0, ["half_open", "closed"])
+
+
 def fold_counts(bars: DataFrame, folds: DataFrame) -> DataFrame:
     """Bars and days in both parts of each fold, ends excluded."""
     spans = folds.withColumns({"a": F.least("is_start", "oos_start"), "b": F.greatest("is_end", "oos_end")})

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.joins import counted
+
 from barloom.functions.ranks import linear
 
 MAX_RETURN, MAX_ZERO_SHARE = 0.5, 0.8
@@ -159,11 +161,17 @@ def coverage_misses(present: DataFrame, windows: DataFrame, symbols: DataFrame)
 
 
 def ready_windows(present: DataFrame, windows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each symbol with its full windows and the best (longest) of them."""
-    missed = coverage_misses(present, windows, symbols).select("symbol", "window_days").distinct()
-    pairs = symbols.select("symbol").distinct().join(F.broadcast(windows.select("window_days").distinct()))
-    whole = pairs.join(missed, ["symbol", "window_days"], "left_anti").groupBy("symbol").agg(F.max("window_days").alias("best_window"), F.count(F.lit(1)).alias("full_windows"))
-    return symbols.select("symbol").distinct().join(whole, "symbol", "left").withColumn("full_windows", F.coalesce("full_windows", F.lit(0)))
+    """Each symbol with its full windows and the best (longest) of them.
+
+    A window is full where a symbol has as many of its days as it asks for, so only days that are there meet the windows; none is made up.
+    """
+    asked = windows.select("window_days", "day").distinct()
+    sizes = asked.groupBy("window_days").agg(F.count("day").alias("_asked"))
+    own = symbols.select("symbol").distinct()
+    days = present.select("symbol", "day").distinct().join(own.hint("shuffle_merge"), "symbol", "left_semi")
+    held = days.join(counted(asked), "day").groupBy("symbol", "window_days").agg(F.count(F.lit(1)).alias("_held"))
+    whole = held.join(counted(sizes), "window_days").where("_held = _asked").groupBy("symbol").agg(F.max("window_days").alias("best_window"), F.count(F.lit(1)).alias("full_windows"))
+    return own.join(whole.hint("shuffle_merge"), "symbol", "left").withColumn("full_windows", F.coalesce("full_windows", F.lit(0)))
 
 
 def readiness_gate(rows: DataFrame, ok: Column, base: Column | None = None, least: int = 50, share: float = 0.7) -> DataFrame:

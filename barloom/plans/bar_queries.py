@@ -100,7 +100,7 @@ def s10(spark, folder):
     B.write_bars(again, place)
     forced = bars.select("symbol", F.to_date(F.lit("2024-01-10")).alias("day")).distinct()
     B.write_bars(again, place, forced)
-    return spark.read.parquet(place).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("close"))
+    return B.read_store(spark, place).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("close"))
 
 
 @query("S11_run_log", sql="SELECT event_id, 'out/' || event_id AS path FROM events WHERE user_id % 2 = 0 AND event_type = 'click' UNION ALL SELECT event_id, 'in/' || event_id FROM events WHERE user_id % 2 = 1 AND event_type = 'click'")
@@ -147,7 +147,7 @@ def s17(spark, folder):
 
 @query("S19_file_fingerprints")
 def s19(spark, folder):
-    place = _stored(spark, folder)
+    place = f"{_stored(spark, folder)}/data"
     now = B.fingerprints(spark, place)
     return B.changed_files(now, now.withColumn("logged_at", F.lit(1))).groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
@@ -347,7 +347,7 @@ def a8(spark, folder):
 
 @query("A9_file_manifest", SQL_BARS, sql=f"SELECT symbol, CAST(count(*) AS BIGINT) AS rows, min({EP}) AS min_ts, max({EP}) AS max_ts FROM bars GROUP BY symbol")
 def a9(spark, folder):
-    stored = spark.read.parquet(_stored(spark, folder))
+    stored = B.read_store(spark, _stored(spark, folder))
     return Q.file_manifest(stored).groupBy("symbol").agg(F.sum("rows").alias("rows"), F.min(ep("min_ts")).alias("min_ts"), F.max(ep("max_ts")).alias("max_ts"))
 
 

@@ -210,9 +210,7 @@ def p6(spark, folder):
 
 @query("P7_fold_ranges", SQL_BARS, SQL_FOLDS, sql="SELECT symbol, fold_id, CAST(count(*) FILTER (time_utc >= is_start AND time_utc < is_end) AS BIGINT) AS half_open, CAST(count(*) FILTER (time_utc >= is_start AND time_utc <= is_end) AS BIGINT) AS closed FROM bars JOIN folds USING (symbol) GROUP BY ALL")
 def p7(spark, folder):
-    rows = X.bars(spark, folder).join(X.folds(spark, folder), "symbol")
-    t = F.col("time_utc")
-    return rows.groupBy("symbol", "fold_id").agg(F.count_if((t >= F.col("is_start")) & (t < F.col("is_end"))).alias("half_open"), F.count_if((t >= F.col("is_start")) & (t <= F.col("is_end"))).alias("closed"))
+    return O.range_counts(X.bars(spark, folder), X.folds(spark, folder))
 
 
 FEAT = SQL_BARS + f""",

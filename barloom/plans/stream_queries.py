@@ -44,7 +44,7 @@ def r1_last(spark, folder):
     rows.where("ingest_seq = 1").coalesce(1).write.parquet(source)
     rows.where("ingest_seq = 2").coalesce(1).write.mode("append").parquet(source)
     I.each_batch(I.stream_of(spark, source, 1), "ingest", I.keep_last(store))
-    return spark.read.parquet(store).select("symbol", ep("time_utc").alias("t"), "close")
+    return B.read_store(spark, store).select("symbol", ep("time_utc").alias("t"), "close")
 
 
 @query("R2_reopened_days", SQL_BARS, sql=f"SELECT symbol, {DAY} AS d, CAST(count(*) AS BIGINT) AS n_bars FROM bars WHERE day(time_utc) IN (5, 6, 20) GROUP BY ALL")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.operators.joins import counted
+
 # Raw column names and the names that take their place, and other names a column may come under.
 RENAMES = {"timestamp_utc": "time_utc", "tick_volume": "volume", "spread_points": "spread"}
 CANDIDATES = {
@@ -101,8 +104,8 @@ load_features = load_bars
 
 
 def load_partitioned(spark: SparkSession, base: str, symbols: Sequence[str] | None = None, order: Sequence[str] | None = None) -> DataFrame:
-    """Bars from folders symbol=S/year=Y/month=M; only the folders of the symbols asked for are read."""
-    rows = spark.read.option("basePath", base).parquet(base)
+    """Bars of a store, or from folders symbol=S/year=Y/month=M; only the folders of the symbols asked for are read."""
+    rows = spark.read.option("basePath", base).parquet(base) if last_manifest(spark, base) is None else read_store(spark, base)
     if symbols is not None:
         rows = rows.where(F.col("symbol").isin([s.strip().upper() for s in symbols]))
     return normalise(rows.drop("year", "month"), None, order)
@@ -147,36 +150,93 @@ def clean_bars(df: DataFrame, order: Sequence[str] = ("ingest_seq",), keep: str
     return dedup(rows, ("symbol", "timestamp_utc"), order, keep).withColumn("spread_points", F.col("spread_points").cast("float"))
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    place, files = _files(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(place)) if files.exists(place) else []
+
+
+def last_manifest(spark: SparkSession, path: str) -> int | None:
+    """Number of a store's current manifest; null: there is no store."""
+    found = [int(name[2:]) for name in _names(spark, f"{path}/manifest") if name.startswith("n=")]
+    return max(found, default=None)
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.schema("symbol string, year int, month int, version string").parquet(f"{path}/manifest/n={number}")
+
+
+def _publish(spark: SparkSession, rows: DataFrame, path: str, number: int) -> None:
+    """Write a manifest beside the others and give it its number by one rename: readers see all of a change or nothing of it."""
+    draft = f"{path}/manifest/draft-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.parquet(draft)
+    end, files = _files(spark, f"{path}/manifest/n={number}")
+    if files.exists(end) or not files.rename(_files(spark, draft)[0], end):
+        raise RuntimeError(f"manifest {number} was published by another writer")
+
+
+def read_store(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """A store's bars with year and month, as its last manifest (or one of that number) lists them: each month in one version."""
+    number = last_manifest(spark, path) if number is None else number
+    if number is None:
+        raise ValueError(f"no bars are stored in {path}")
+    rows = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+    rows = rows.withColumns({"symbol": F.col("symbol").cast("string"), "version": F.col("version").cast("string")})
+    listed = _manifest(spark, path, number).select(*(F.col(c).alias(f"_{c}") for c in ("symbol", "year", "month", "version")))
+    same = [rows[c].eqNullSafe(F.col(f"_{c}")) for c in ("symbol", "year", "month", "version")]
+    return rows.join(counted(listed), same, "left_semi").drop("version")
+
+
 def write_bars(df: DataFrame, path: str, force_days: DataFrame | None = None) -> None:
-    """Bars under symbol=/year=/month=. Days that are stored stay, unless forced; then their month is rewritten whole."""
-    spark = df.sparkSession
+    """Bars under data/version=/symbol=/year=/month=. Days that are stored stay, unless forced; then their month is written anew.
+
+    A write adds a version that holds the months it touches, and then a manifest that names the version of every month. A write that
+    ends before its manifest has its number leaves the store as it was; its files belong to no manifest. Of two writers at once the second fails.
+    """
+    spark, number, version = df.sparkSession, last_manifest(df.sparkSession, path), uuid.uuid4().hex
     rows = df.withColumns({"day": F.to_date("time_utc"), "year": F.year("time_utc"), "month": F.month("time_utc")})
-    months = rows.select("symbol", "year", "month").distinct()
-    try:
-        stored = spark.read.option("basePath", path).parquet(path).select(*df.columns, "year", "month")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        stored = None
-    if stored is None:
-        rows.drop("day").repartition("symbol", "year", "month").sortWithinPartitions("symbol", "time_utc").write.partitionBy("symbol", "year", "month").option("compression", "zstd").parquet(path)
+    out = rows
+    if number is not None:
+        kept = read_store(spark, path, number).select(*df.columns, "year", "month").withColumn("day", F.to_date("time_utc"))
+        have = kept.select("symbol", "day").distinct()
+        if force_days is not None:
+            forced = force_days.select("symbol", "day").distinct()
+            kept = kept.join(forced, ["symbol", "day"], "left_anti")
+            have = have.join(forced, ["symbol", "day"], "left_anti")
+        new = rows.join(have, ["symbol", "day"], "left_anti")
+        touched = new.select("symbol", "year", "month").distinct()
+        out = kept.join(touched, ["symbol", "year", "month"], "left_semi").select(*rows.columns).unionByName(new.select(*rows.columns))
+    place = f"{path}/data/version={version}"
+    out.drop("day").repartition("symbol", "year", "month").sortWithinPartitions("symbol", "time_utc").write.partitionBy("symbol", "year", "month").option("compression", "zstd").parquet(place)
+    if not any(name.startswith("symbol=") for name in _names(spark, place)):
+        if number is None:
+            raise ValueError("no bars to store")
         return
-    kept = stored.withColumn("day", F.to_date("time_utc"))
-    have = kept.select("symbol", "day").distinct()
-    if force_days is not None:
-        forced = force_days.select("symbol", "day").distinct()
-        kept = kept.join(forced, ["symbol", "day"], "left_anti")
-        have = have.join(forced, ["symbol", "day"], "left_anti")
-    new = rows.join(have, ["symbol", "day"], "left_anti")
-    touched = new.select("symbol", "year", "month").distinct().intersect(months)
-    out = kept.join(touched, ["symbol", "year", "month"], "left_semi").select(*rows.columns).unionByName(new.select(*rows.columns)).drop("day")
-    # The months are read before they are overwritten, so the new content is written beside them first.
-    from barloom.scratch import scratch_folder
-
-    place = scratch_folder(spark, "bars")
-    out.write.partitionBy("symbol", "year", "month").parquet(place)
-    again = spark.read.option("basePath", place).schema(out.schema).parquet(place)
-    again.repartition("symbol", "year", "month").sortWithinPartitions("symbol", "time_utc").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "year", "month").parquet(path)
+    months = spark.read.parquet(place).select(F.col("symbol").cast("string").alias("symbol"), F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")).distinct().withColumn("version", F.lit(version))
+    if number is not None:
+        before = _manifest(spark, path, number)
+        own = months.select(*(F.col(c).alias(f"_{c}") for c in ("symbol", "year", "month")))
+        same = [before[c].eqNullSafe(own[f"_{c}"]) for c in ("symbol", "year", "month")]
+        months = before.join(own.hint("shuffle_merge"), same, "left_anti").unionByName(months)
+    _publish(spark, months, path, (number or 0) + 1)
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete the versions that none of the last manifests names, those of broken writes included, and older manifests. Not beside a running write."""
+    number = last_manifest(spark, path) or 0
+    last = [n for n in range(max(1, number - keep + 1), number + 1)]
+    named = {f"version={r.version}" for n in last for r in _manifest(spark, path, n).select("version").distinct().collect()}
+    gone = [f"data/{x}" for x in _names(spark, f"{path}/data") if x.startswith("version=") and x not in named]
+    gone += [f"manifest/{x}" for x in _names(spark, f"{path}/manifest") if x.startswith("draft-") or x.startswith("n=") and int(x[2:]) not in last]
+    for name in gone:
+        place, files = _files(spark, f"{path}/{name}")
+        files.delete(place, True)
+    return gone
 
 
 def run_log(spark: SparkSession, path: str, run_id: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.scratch import scratch_folder
-from barloom.sources.bars import dedup, write_bars
+from barloom.sources.bars import dedup, last_manifest, read_store, write_bars
 
 
 def stream_of(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -47,14 +47,10 @@ def keep_last(path: str, order: tuple[str, ...] = ("ingest_seq",)) -> Callable[[
     def work(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         days = batch.select("symbol", F.to_date("time_utc").alias("day")).distinct()
-        try:
-            stored = spark.read.option("basePath", path).parquet(path).drop("year", "month").select(*batch.columns)
-            stored = stored.withColumn("day", F.to_date("time_utc")).join(days, ["symbol", "day"], "left_semi").select(*batch.columns)
-            rows = stored.unionByName(batch)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            rows = batch
+        rows = batch
+        if last_manifest(spark, path) is not None:
+            stored = read_store(spark, path).select(*batch.columns).withColumn("day", F.to_date("time_utc"))
+            rows = stored.join(days.hint("shuffle_merge"), ["symbol", "day"], "left_semi").select(*batch.columns).unionByName(batch)
         write_bars(dedup(rows, order=order), path, days)
 
     return work
@@ -66,7 +62,7 @@ def reopen_days(path: str, qa_path: str, qa: Callable[[DataFrame], DataFrame]) -
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         days = batch.select("symbol", "day").distinct()
-        rows = spark.read.option("basePath", path).parquet(path).withColumn("day", F.to_date("time_utc")).join(days, ["symbol", "day"], "left_semi").drop("day", "year", "month")
+        rows = read_store(spark, path).withColumn("day", F.to_date("time_utc")).join(days.hint("shuffle_merge"), ["symbol", "day"], "left_semi").drop("day", "year", "month")
         qa(rows).withColumn("batch", F.lit(number)).write.mode("append").parquet(qa_path)
 
     return work

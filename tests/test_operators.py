@@ -177,7 +177,35 @@ def test_store_skips_known_days(spark, tmp_path):
     rows = series(spark, 60)
     B.write_bars(rows, f"{tmp_path}/s")
     B.write_bars(rows.withColumn("close", F.lit(0.0)), f"{tmp_path}/s")
-    assert spark.read.parquet(f"{tmp_path}/s").where("close = 0").count() == 0
+    assert B.read_store(spark, f"{tmp_path}/s").where("close = 0").count() == 0
     B.write_bars(rows.withColumn("close", F.lit(0.0)), f"{tmp_path}/s", spark.sql("select 'X' as symbol, date '2024-01-02' as day"))
-    back = spark.read.parquet(f"{tmp_path}/s")
+    back = B.read_store(spark, f"{tmp_path}/s")
     assert back.count() == 60 and back.where("close = 0").count() == 24
+
+
+def test_a_broken_write_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    rows, path = series(spark, 60), f"{tmp_path}/s"
+    day = spark.sql("select 'X' as symbol, date '2024-01-02' as day")
+    B.write_bars(rows, path)
+    before = sorted(map(str, B.read_store(spark, path).collect()))
+    publish = B._publish
+
+    def killed(*_):
+        raise OSError("killed between data and manifest")
+
+    monkeypatch.setattr(B, "_publish", killed)
+    with pytest.raises(OSError):
+        B.write_bars(rows.withColumn("close", F.lit(0.0)), path, day)
+    assert sorted(map(str, B.read_store(spark, path).collect())) == before and B.last_manifest(spark, path) == 1
+    monkeypatch.setattr(B, "_publish", publish)
+    B.write_bars(rows.withColumn("close", F.lit(0.0)), path, day)
+    after = B.read_store(spark, path)
+    assert after.count() == 60 and after.where("close = 0").count() == 24 and B.last_manifest(spark, path) == 2
+    assert sorted(map(str, B.read_store(spark, path, 1).collect())) == before
+    B.write_bars(rows, path)  # nothing new: no version
+    assert B.last_manifest(spark, path) == 2
+    with pytest.raises(RuntimeError):
+        B._publish(spark, B._manifest(spark, path, 2), path, 2)
+    gone = B.drop_versions(spark, path, keep=1)
+    assert "manifest/n=1" in gone and sum(x.startswith("data/") for x in gone) >= 2
+    assert B.read_store(spark, path).where("close = 0").count() == 24
