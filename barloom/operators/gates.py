@@ -52,7 +52,7 @@ def calibrate_trend(bars: DataFrame, folds: DataFrame, min_rows: int = 5000, lea
     cover = tested.groupBy(*keys, "side", "rank", "scheme", "thr_er", "thr_mom", "thr_vol").agg(F.avg(F.when(F.col("segment") == "IS", passed)).alias("cov_is"), F.coalesce(F.avg(F.when(F.col("segment") == "OOS", passed)), F.lit(0.0)).alias("cov_oos"))
     good = F.col("cov_is").between(least, most)
     order = Window.partitionBy(*keys, "side").orderBy(good.desc(), F.when(good, 0.0).otherwise(F.round(F.abs(F.col("cov_is") - goal), 9)), "rank")
-    best = cover.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn", "rank").join(sizes, keys)
+    best = cover.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn", "rank").join(sizes.hint("shuffle_merge"), keys)
     few = F.col("n_is") < min_rows
     null = lambda c: F.when(~few, F.col(c)).alias(c)
     return best.select(*keys, "side", F.when(few, "SKIP").otherwise(F.col("scheme")).alias("scheme"), null("thr_er"), null("thr_mom"), null("thr_vol"), F.when(few, 0.0).otherwise(F.col("cov_is")).alias("cov_is"), F.when(few, 0.0).otherwise(F.col("cov_oos")).alias("cov_oos"), "n_is", "n_oos")

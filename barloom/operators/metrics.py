@@ -101,10 +101,10 @@ def kpi_row(trades: DataFrame, keys: Sequence[str], order: Sequence[str], pnl: s
     out = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trades"), F.min("drawdown").alias("mdd"), F.avg((x > 0).cast("double")).alias("hit_rate"), F.avg(x).alias("expectancy"), profit_factor(pnl).alias("profit_factor"),
         F.coalesce(F.try_divide(F.avg(x), down) * F.sqrt(F.lit(float(bars_per_year))), F.lit(0.0)).alias("sortino"), (F.count(F.lit(1)) / n_bars).alias("turnover"), (F.sum("hold_bars") / n_bars).alias("exposure"),
-    ).join(end, list(keys))
+    ).join(end.hint("shuffle_merge"), list(keys))
     out = out.withColumn("mdd", F.least(F.lit(0.0), F.col("mdd"))).withColumn("total_return", F.col("final") - 1)
     out = out.withColumn("cagr", F.when(F.col("final") > 0, F.pow("final", F.lit(bars_per_year / n_bars)) - 1).otherwise(-1.0))
-    return out.withColumn("calmar", F.coalesce(F.try_divide("total_return", F.abs("mdd")), F.lit(0.0))).join(sharpe_by_day(trades, keys, pnl), list(keys))
+    return out.withColumn("calmar", F.coalesce(F.try_divide("total_return", F.abs("mdd")), F.lit(0.0))).join(sharpe_by_day(trades, keys, pnl).hint("shuffle_merge"), list(keys))
 
 
 def sharpe_by_day(trades: DataFrame, keys: Sequence[str], pnl: str, year: int = 252) -> DataFrame:
@@ -167,7 +167,7 @@ def cost_sensitivity(trades: DataFrame, multiples: Sequence[float], cost: float,
     daily = daily_returns(fill_calendar(daily_pnl(rows, ["multiple"], F.col("net") * notional), ["multiple"]), ["multiple"], capital)
     out = core_metrics(daily, ["multiple"], capital).select("multiple", "sharpe", "total_return_pct", (F.col("mdd") * 100).alias("mdd_pct"))
     own = rows.groupBy("multiple").agg(F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), profit_factor("net").alias("profit_factor"), F.coalesce(F.try_divide(F.sum("gross_pnl"), F.count(F.lit(1)) * cost), F.lit(0.0)).alias("breakeven"))
-    return out.join(own, "multiple").withColumn("investable", (F.col("sharpe") > 0) & (F.col("total_return_pct") > 0) & (F.col("mdd_pct") > -25))
+    return out.join(own.hint("shuffle_merge"), "multiple").withColumn("investable", (F.col("sharpe") > 0) & (F.col("total_return_pct") > 0) & (F.col("mdd_pct") > -25))
 
 
 def alpha_report(signals: DataFrame, horizons: Sequence[int], base: float, stress: float, least: int = 5) -> DataFrame:
@@ -225,7 +225,7 @@ def common_days(daily: DataFrame) -> DataFrame:
     """Rows of the days on which every symbol has one."""
     total = daily.agg(F.countDistinct("symbol").alias("total"))
     days = daily.groupBy("day").agg(F.countDistinct("symbol").alias("n")).join(F.broadcast(total)).where("n = total").select("day")
-    return daily.join(days, "day", "left_semi")
+    return daily.join(days.hint("shuffle_merge"), "day", "left_semi")
 
 
 TILE, DAYS = 256, 256
@@ -304,7 +304,7 @@ def score_counts(tuning: DataFrame) -> DataFrame:
 def side_mismatch(alpha: DataFrame, traded: DataFrame) -> DataFrame:
     """The side of the best alpha beside the side that traded best. alpha: symbol, side, score; traded: symbol, side, total."""
     best = lambda df, c, name: df.groupBy("symbol").agg(F.max_by("side", F.struct(F.round(c, 9), "side")).alias(name), F.max(F.round(c, 9)).alias(c))
-    return best(alpha, "score", "alpha_side").join(best(traded, "total", "traded_side"), "symbol").withColumn("mismatch", F.col("alpha_side") != F.col("traded_side"))
+    return best(alpha, "score", "alpha_side").join(best(traded, "total", "traded_side").hint("shuffle_merge"), "symbol").withColumn("mismatch", F.col("alpha_side") != F.col("traded_side"))
 
 
 # Metric, pass and warn bounds, direction.

@@ -157,7 +157,7 @@ def coverage_misses(present: DataFrame, windows: DataFrame, symbols: DataFrame)
     # Every window is asked of every symbol: symbols are keyed by the few windows that there are.
     spans = windows.groupBy("window_days").agg(F.collect_list("day").alias("days")).agg(F.collect_list(F.struct("window_days", "days")).alias("w"))
     wanted = symbols.select("symbol").distinct().join(F.broadcast(spans)).select("symbol", F.explode("w").alias("w")).select("w.window_days", F.explode("w.days").alias("day"), "symbol")
-    return wanted.join(present.select("symbol", "day").distinct(), ["symbol", "day"], "left_anti")
+    return wanted.join(present.select("symbol", "day").distinct().hint("shuffle_merge"), ["symbol", "day"], "left_anti")
 
 
 def ready_windows(present: DataFrame, windows: DataFrame, symbols: DataFrame) -> DataFrame:

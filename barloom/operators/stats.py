@@ -116,7 +116,7 @@ def slope(rows: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
 def overfit_share(tuning: DataFrame, oos: DataFrame) -> DataFrame:
     """One row: share of folds whose best in-sample score beats the median while the fold loses out of sample."""
     folds = tuning.groupBy("fold_id").agg(F.max("score").alias("best"), F.median("score").alias("mid"))
-    rows = folds.join(oos.groupBy("fold_id").agg(F.sum("net_pnl_base").alias("total")), "fold_id").withColumn("over", (F.col("best") > F.col("mid")) & (F.col("total") < 0))
+    rows = folds.join(oos.groupBy("fold_id").agg(F.sum("net_pnl_base").alias("total")).hint("shuffle_merge"), "fold_id").withColumn("over", (F.col("best") > F.col("mid")) & (F.col("total") < 0))
     return _overfit(rows)
 
 
@@ -130,14 +130,14 @@ def overfit_by_rank(scores: DataFrame) -> DataFrame:
     w = Window.partitionBy("fold_id").orderBy(F.round("is_score", 9).desc(), "combo")
     best = scores.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("fold_id", "oos_score")
     mid = scores.groupBy("fold_id").agg(F.median("oos_score").alias("mid"))
-    return _overfit(best.join(mid, "fold_id").withColumn("over", F.col("oos_score") < F.col("mid")))
+    return _overfit(best.join(mid.hint("shuffle_merge"), "fold_id").withColumn("over", F.col("oos_score") < F.col("mid")))
 
 
 def deflated_sharpe(daily: DataFrame, keys: Sequence[str], n_trials: int) -> DataFrame:
     """Observed daily Sharpe against the expected greatest of n_trials, with its standard error from skew and kurtosis."""
     from barloom.operators.metrics import sample_shape
 
-    out = daily.groupBy(*keys).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s")).join(sample_shape(daily, keys, "ret"), list(keys))
+    out = daily.groupBy(*keys).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s")).join(sample_shape(daily, keys, "ret").hint("shuffle_merge"), list(keys))
     log_n = math.log(n_trials) if n_trials > 1 else 0.0
     expected = math.sqrt(2 * log_n) * (1 - 0.5772156649 / (2 * log_n)) if n_trials > 1 else 0.0
     sr, n = F.try_divide("_m", "_s"), F.col("n").cast("double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.times import is_weekend
@@ -183,21 +183,23 @@ def chosen(entries: DataFrame, cooldown: int, keys: Sequence[str]) -> DataFrame:
     """
     spark, place, rounds = entries.sparkSession, scratch_folder(entries.sparkSession, "chain"), 0
 
-    def put(rows: DataFrame) -> DataFrame:
-        rows.write.parquet(f"{place}/{rounds}")
-        return spark.read.parquet(f"{place}/{rounds}")
+    def put(rows: DataFrame) -> tuple[DataFrame, int]:
+        """The rows, written, and how many taken ones point on."""
+        seen = Observation()
+        rows.observe(seen, F.count_if(F.col("taken") & F.col("to").isNotNull()).alias("open")).write.parquet(f"{place}/{rounds}")
+        return spark.read.schema(rows.schema).parquet(f"{place}/{rounds}"), seen.get["open"]
 
     first = entries.groupBy(*keys).agg(F.min("i").alias("_head"))
     asked = entries.select(*keys, F.col("i").cast("long").alias("i"), (F.col("exit_idx") + cooldown + 1).cast("long").alias("at"))
     nodes = meet(next_entries(asked, entries, keys), first, keys)
-    nodes = put(nodes.select(*keys, "i", F.col("next_i").alias("to"), (F.col("i") == F.col("_head")).alias("taken")))
-    while nodes.where("taken AND to IS NOT NULL").limit(1).count():
+    nodes, ahead = put(nodes.select(*keys, "i", F.col("next_i").alias("to"), (F.col("i") == F.col("_head")).alias("taken")))
+    while ahead:
         rounds += 1
         pushed = nodes.where("taken AND to IS NOT NULL").select(*keys, F.col("to").alias("i"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("taken"))
         nodes = nodes.unionByName(pushed).groupBy(*keys, "i").agg(F.max("to").alias("to"), F.max("taken").alias("taken"))
         live, done = nodes.where("to IS NOT NULL"), nodes.where("to IS NULL AND taken")
         onward = live.select(*keys, F.col("i").alias("to"), F.col("to").alias("_onward"))
-        nodes = put(meet(live, onward, [*keys, "to"], "left").select(*keys, "i", F.col("_onward").alias("to"), "taken").unionByName(done))
+        nodes, ahead = put(meet(live, onward, [*keys, "to"], "left").select(*keys, "i", F.col("_onward").alias("to"), "taken").unionByName(done))
     return nodes.where("taken").select(*keys, "i")
 
 
@@ -253,7 +255,7 @@ def best_of(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 def walk_forward(trades: DataFrame, scores: DataFrame) -> DataFrame:
     """Out-of-sample trades of each fold's best combination; nothing is run again."""
     best = best_of(scores, ["symbol", "fold_id"], F.round("score", 9).desc(), F.col("combo")).select("symbol", "fold_id", "combo")
-    return trades.where("segment = 'OOS'").join(best, ["symbol", "fold_id", "combo"], "left_semi")
+    return trades.where("segment = 'OOS'").join(best.hint("shuffle_merge"), ["symbol", "fold_id", "combo"], "left_semi")
 
 
 def modal_parameters(best: DataFrame) -> DataFrame:

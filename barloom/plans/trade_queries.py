@@ -237,7 +237,7 @@ def m12_rank(spark, folder):
 
     rows = swept(spark, folder)
     oos = rows.where("segment = 'OOS'").groupBy("symbol", "fold_id", "combo").agg(F.sum("gross_pnl").alias("oos_score"))
-    scores = T.tuning(rows, 0.001, 3).join(oos, ["symbol", "fold_id", "combo"], "left").select(F.concat("symbol", "fold_id").alias("fold_id"), "combo", F.col("score").alias("is_score"), F.coalesce("oos_score", F.lit(0.0)).alias("oos_score"))
+    scores = T.tuning(rows, 0.001, 3).join(oos.hint("shuffle_merge"), ["symbol", "fold_id", "combo"], "left").select(F.concat("symbol", "fold_id").alias("fold_id"), "combo", F.col("score").alias("is_score"), F.coalesce("oos_score", F.lit(0.0)).alias("oos_score"))
     return overfit_by_rank(scores).select("n_folds", "n_over", "pbo")
 
 
@@ -347,7 +347,7 @@ def t20(spark, folder):
     edge = long.groupBy("symbol", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
     interval = bootstrap_mean(long, ["symbol", "horizon"], ["time_utc"], "ret", 500, 42)
     best = M.best_horizon(edge, ["symbol"])
-    return edge.join(interval.select("symbol", "horizon", "low", "high"), ["symbol", "horizon"]).join(best, "symbol").withColumn("significant", F.col("low") > 0)
+    return edge.join(interval.select("symbol", "horizon", "low", "high").hint("shuffle_merge"), ["symbol", "horizon"]).join(best.hint("shuffle_merge"), "symbol").withColumn("significant", F.col("low") > 0)
 
 
 @query("F11_position_size", SQL_TRADES, sql="SELECT k1, k2, k3, k4, k5, greatest(0.25, least(3.0, 1.0 * 0.01 / (abs(gross_pnl) + 0.002))) AS size, (10000 * 0.01) / ((abs(gross_pnl) + 0.002) * 100 * 1.0) AS lots FROM trades")
