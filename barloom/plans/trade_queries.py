@@ -12,7 +12,7 @@ from barloom.operators import folds as O
 from barloom.operators import metrics as M
 from barloom.operators import trades as T
 from barloom.plans.bar_queries import DAY, EP, day, ep
-from barloom.plans.feature_queries import TAGGED
+from barloom.plans.feature_queries import FEAT, TAGGED, THR
 from barloom.plans.registry import query
 from barloom.scratch import scratch_folder
 from barloom.sources import fixtures as X
@@ -335,7 +335,19 @@ def a41(spark, folder):
     return M.side_mismatch(alpha, traded).select("symbol", "alpha_side", F.round("score", 9).alias("score"), "traded_side", F.round("total", 6).alias("total"), "mismatch")
 
 
-@query("T20_screening", SQL_BARS, sql=None)
+SCREENED = FEAT + f""",
+tq AS (SELECT symbol AS s, {THR.format('er', 0.6)} AS a, {THR.format('mom_bps', 0.55)} AS b, {THR.format('vol_bps', 0.9)} AS d FROM feat GROUP BY symbol),
+fw AS (SELECT symbol, time_utc, er >= a AND vol_bps <= d AND mom_bps >= b AS gate, {', '.join(f'lead(close, {h}) OVER w / close - 1 AS f{h}' for h in (1, 3, 6, 12))} FROM feat JOIN tq ON s = symbol WINDOW w AS (PARTITION BY symbol ORDER BY time_utc)),
+sg AS (SELECT symbol, time_utc, unnest([1, 3, 6, 12]) AS horizon, unnest([f1, f3, f6, f12]) AS v FROM fw WHERE gate),
+sr AS (SELECT symbol, horizon, v, row_number() OVER (PARTITION BY symbol, horizon ORDER BY time_utc) - 1 AS pos, count(*) OVER (PARTITION BY symbol, horizon) AS n FROM sg WHERE v IS NOT NULL),
+sl AS (SELECT symbol, horizon, n, rep, unnest(generate_series(0, n - 1)) AS i FROM (SELECT DISTINCT symbol, horizon, n FROM sr), (SELECT unnest(range(500)) AS rep)),
+mn AS (SELECT x.symbol, x.horizon, rep, avg(v) AS m FROM (SELECT *, ('0x' || left(md5('42:' || rep || ':' || i), 13))::BIGINT % n AS src FROM sl) x JOIN sr ON sr.symbol = x.symbol AND sr.horizon = x.horizon AND sr.pos = x.src GROUP BY ALL),
+iv AS (SELECT symbol, horizon, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mn GROUP BY ALL),
+ed AS (SELECT symbol, horizon, count(*) AS n, avg(v) AS mean_ret FROM sr GROUP BY ALL),
+bh AS (SELECT symbol, horizon AS best_horizon, round(mean_ret, 12) AS best_mean FROM ed QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(mean_ret, 12) DESC, horizon) = 1)"""
+
+
+@query("T20_screening", SCREENED, sql="SELECT symbol, CAST(horizon AS INT) AS horizon, CAST(n AS BIGINT) AS n, round(mean_ret, 12) AS mean_ret, round(low, 12) AS low, round(high, 12) AS high, CAST(best_horizon AS INT) AS best_horizon, best_mean, low > 0 AS significant FROM ed JOIN iv USING (symbol, horizon) JOIN bh USING (symbol)")
 def t20(spark, folder):
     """Features, gate, signals, forward returns, edge with interval and best horizon, for all symbols at once."""
     from barloom.operators.gates import trend_gate
@@ -347,7 +359,8 @@ def t20(spark, folder):
     edge = long.groupBy("symbol", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
     interval = bootstrap_mean(long, ["symbol", "horizon"], ["time_utc"], "ret", 500, 42)
     best = M.best_horizon(edge, ["symbol"])
-    return edge.join(interval.select("symbol", "horizon", "low", "high").hint("shuffle_merge"), ["symbol", "horizon"]).join(best.hint("shuffle_merge"), "symbol").withColumn("significant", F.col("low") > 0)
+    out = edge.join(interval.select("symbol", "horizon", "low", "high").hint("shuffle_merge"), ["symbol", "horizon"]).join(best.hint("shuffle_merge"), "symbol").withColumn("significant", F.col("low") > 0)
+    return out.withColumns({c: F.round(c, 12) for c in ("mean_ret", "low", "high")})
 
 
 @query("F11_position_size", SQL_TRADES, sql="SELECT k1, k2, k3, k4, k5, greatest(0.25, least(3.0, 1.0 * 0.01 / (abs(gross_pnl) + 0.002))) AS size, (10000 * 0.01) / ((abs(gross_pnl) + 0.002) * 100 * 1.0) AS lots FROM trades")
