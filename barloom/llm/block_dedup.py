@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm import chunks
-from barloom.llm.textkit import SPACE, U64, cover, heads, ids_back, ids_of, member, pack, runs, span_hash, texts_of, unpack, window_starts, word_hash, words
+from barloom.llm.textkit import SPACE, U64, cover, heads, ids_back, ids_of, member, pack, ranks_of, runs, span_hash, texts_of, unpack, window_starts, word_hash, words
 
 WINDOW = 50
 KEY = 5
@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             found.append((*windows(h, at), ids[doc[at]]))
         keys, least, most, _ = _per_key(tuple(np.concatenate([f[k] for f in found]) for k in (0, 1)), np.concatenate([f[2] for f in found]))
         key, more = keys
-        least, most = least.astype(U64), most.astype(U64)
+        least, most = ranks_of(least), ranks_of(most)
         body = lambda s: pack(key[s], 8) + pack(more[s], 4) + pack(least[s], 8) + pack(least[s] ^ most[s], 8)
         return chunks.parcel_table(list(chunks.parcels(key, n, int(table["chunk"][0].as_py()), 0, body)))
 
@@ -153,7 +153,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         break
                     place = place + step
                 place = np.minimum(place, len(key) - 1)
-                same = (key[place] == own) & (more[place] == rest) & (smallest[place] < ids[doc[at]].astype(U64))
+                same = (key[place] == own) & (more[place] == rest) & (smallest[place] < ranks_of(ids[doc[at]]))
                 gone = cover(len(h), at[same], window)
             text = part.tobytes()
             sums = np.r_[0, np.cumsum(gone)]

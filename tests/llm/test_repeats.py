@@ -106,3 +106,19 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.remove_repeats(empty).collect() == []
     assert block_dedup.remove_repeats(empty).collect() == []
+
+
+def test_bytes_that_differ_eight_apart(spark):
+    """Columns of a fixed-width table: strings whose bytes differ only in two places eight apart are different."""
+    line = "the quick brown fox jumps over the lazy dog and runs away now"
+    rows = [(k, f"{line[:7]}{a}{line[8:15]}{b}{line[16:50]}", "s", "x") for k, (a, b) in enumerate((a, b) for a in "0123456789abcdefgh" for b in "0123456789abcdefgh")]
+    rows += [(1000 + k, t + " " + t[::-1], s, c) for k, t, s, c in rows[:40]]
+    assert sorted((tuple(r)[:5] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == brute_bytes(rows)
+
+
+def test_negative_ids_come_first(spark):
+    rows = [(None if i is None else i - 25 if i % 2 else -(2**62) + i, *rest) for i, *rest in corpus(5)]
+    rows += [(2**63 - 2, rows[3][1], None, None), (-(2**63), rows[7][1] + "x" * 60, None, None), (0, rows[9][1], None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r)[:5] for r in suffix_dedup.remove_repeats(frame).collect()), key=str) == brute_bytes(rows)
+    assert sorted((tuple(r)[:4] for r in block_dedup.remove_repeats(frame).collect()), key=str) == brute_words(rows)
