@@ -2,8 +2,8 @@
 
 Draws are 52 bits of md5(seed:replicate:position), so they need no state, agree between runs and
 engines, and come back after a lost task; they do not depend on the series, so all series of a task share them.
-A series is held once, as an array, and each replicate is folded over it in one pass (`replicates`):
-no join, no sort and no window for a replicate. Series longer than LONGEST values go another way to the same
+A task holds a unit of series as arrays and draws a share of the replicates, each hashed once for all of them and folded
+over every series in one pass (`replicates`): no join, no sort and no window for a replicate. Series longer than LONGEST values go another way to the same
 results: draws are rows that meet the series in a join, gathered into blocks, whose products, peaks and
 drawdowns compose (`path_metrics`).
 """
@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from barloom.scratch import scratch_folder
 
-LONGEST = 1 << 20
-"""Values of a series that a task holds as an array (8 MB)."""
-UNIT_VALUES = 1 << 18
-"""Values of the series that are folded together, on average."""
+LONGEST = 1 << 26
+"""Values of a series that a task holds as an array (512 MB)."""
+UNIT_VALUES = 1 << 25
+"""Values of the series that are folded together, on average (256 MB): draws are hashed once a unit."""
+CHUNK = 4096
+"""Values of a series in a row on their way to the tasks."""
 PATH_BLOCK = 4096
 """Positions of a replicate in a block, where the series is too long for an array."""
 SMALL_SERIES = 1_000_000
@@ -141,29 +143,78 @@ class Draw:
         return replace(self, multiple=1.0, slip=0.0)
 
 
+_MD5_SHIFTS = [x for r in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in r * 4]
+_MD5_WORDS = [k if r == 0 else (5 * k + 1) % 16 if r == 1 else (3 * k + 5) % 16 if r == 2 else 7 * k % 16 for r in range(4) for k in range(16 * r, 16 * r + 16)]
+_MD5_SINES = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_LANES = 1 << 14
+
+
+def _md5_bits(head: bytes, first: int, n: int, digits: int) -> np.ndarray:
+    """The first 52 bits of md5(head + i) for n numbers i from first, all of so many digits, one array for each word of the hash."""
+    size = len(head) + digits
+    whole = np.zeros((64, n), np.uint8)
+    whole[: len(head)] = np.frombuffer(head, np.uint8)[:, None]
+    rest = np.arange(first, first + n)
+    for k in range(digits - 1, -1, -1):
+        over = rest // 10
+        whole[len(head) + k] = rest - over * 10 + 48
+        rest = over
+    whole[size] = 0x80
+    whole[56], whole[57] = size * 8 & 255, size * 8 >> 8
+    varied = range(len(head) // 4, (size - 1) // 4 + 1)
+    word = [np.ascontiguousarray(whole[4 * k : 4 * k + 4].T).view("<u4").ravel() if k in varied else int.from_bytes(whole[4 * k : 4 * k + 4, 0].tobytes(), "little") for k in range(16)]
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _MD5_START)
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for k in range(64):
+        if k < 16:
+            np.bitwise_xor(c, d, f), np.bitwise_and(b, f, f), np.bitwise_xor(d, f, f)
+        elif k < 32:
+            np.bitwise_xor(b, c, f), np.bitwise_and(d, f, f), np.bitwise_xor(c, f, f)
+        elif k < 48:
+            np.bitwise_xor(b, c, f), np.bitwise_xor(f, d, f)
+        else:
+            np.invert(d, f), np.bitwise_or(b, f, f), np.bitwise_xor(c, f, f)
+        np.add(a, f, f)
+        own = word[_MD5_WORDS[k]]
+        if isinstance(own, int):
+            np.add(f, np.uint32((own + _MD5_SINES[k]) % 2**32), f)
+        else:
+            np.add(f, own, f), np.add(f, np.uint32(_MD5_SINES[k]), f)
+        np.left_shift(f, np.uint32(_MD5_SHIFTS[k]), t), np.right_shift(f, np.uint32(32 - _MD5_SHIFTS[k]), f), np.bitwise_or(f, t, f)
+        np.add(f, b, a)
+        a, b, c, d = d, a, b, c
+    high, low = ((x + np.uint32(y)).byteswap().astype(np.uint64) for x, y in ((a, _MD5_START[0]), (b, _MD5_START[1])))
+    return ((high << np.uint64(32) | low) >> np.uint64(12)).view(np.int64)
+
+
 class Bits:
     """52 random bits by seed, replicate and position, as with_bits draws them."""
 
     def __init__(self) -> None:
-        self.names: list[bytes] = []
         self.held: dict[tuple[int, int], np.ndarray] = {}
 
     def of(self, seed: int, rep: int, n: int) -> np.ndarray:
         have = self.held.get((seed, rep))
         if have is None or len(have) < n:
-            self.names += [b"%d" % i for i in range(len(self.names), n)]
-            start = hashlib.md5(b"%d:%d:" % (seed, rep))
-            drawn = []
-            for name in self.names[:n]:
-                h = start.copy()
-                h.update(name)
-                drawn.append(h.digest()[:7])
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, 1:] = np.frombuffer(b"".join(drawn), np.uint8).reshape(n, 7)
-            have = self.held[seed, rep] = (wide.reshape(-1).view(">u8").astype(np.int64)) >> 4
+            have, i = np.empty(n, np.int64), 0
+            while i < n:
+                digits = len(str(i))
+                j = min(n, i + _MD5_LANES, 10**digits)
+                have[i:j] = _md5_bits(b"%d:%d:" % (seed, rep), i, j - i, digits)
+                i = j
+            self.held[seed, rep] = have
         return have[:n]
 
 
+def _modulo(bits: np.ndarray, n: int) -> np.ndarray:
+    """bits % n; numpy divides by one number faster than it takes remainders."""
+    out = bits // n
+    out *= -n
+    out += bits
+    return out
+
+
 def _lengths(n: int, mean_block: float | None, bits: Bits, seed: int, rep: int) -> tuple[np.ndarray, float]:
     size = mean_block or n ** (1 / 3)
     most = _blocks_at_most(n, size)
@@ -181,18 +232,18 @@ def _lengths(n: int, mean_block: float | None, bits: Bits, seed: int, rep: int)
 def drawn(draw: Draw, v: np.ndarray, bits: Bits, seed: int, rep: int, size: float = 0.0) -> np.ndarray:
     """One replicate of a series; size: the mean absolute value that stress takes its share of."""
     n = len(v)
-    i = np.arange(n)
     if draw.kind == "iid":
-        src = bits.of(seed, rep, n) % n
+        src = _modulo(bits.of(seed, rep, n), n)
     elif draw.kind == "stationary":
         own, _ = _lengths(n, draw.block, bits, seed, rep)
         start = bits.of(seed, rep, len(own)) % n
-        src = (np.repeat(start - (np.cumsum(own) - own), own) + i) % n
+        src = _modulo(np.repeat(start - (np.cumsum(own) - own), own) + np.arange(n), n)
     else:
         block = int(draw.block)
-        start = bits.of(seed, rep, -(-n // block))[i // block]
-        src = (start % n + i % block) % n if draw.kind == "circular" else np.minimum(start % max(n - block + 1, 1) + i % block, n - 1)
-    out = v[src]
+        start = bits.of(seed, rep, -(-n // block)) % (n if draw.kind == "circular" else max(n - block + 1, 1))
+        src = (start[:, None] + np.arange(block)).ravel()[:n]
+        src = _modulo(src, n) if draw.kind == "circular" else np.minimum(src, n - 1)
+    out = v.take(src)
     if draw != draw.plain:
         u = bits.of(seed + 2, rep, n) / float(1 << 52)
         out = out - size * (draw.multiple - 1) * 0.5 - np.where(u < 0.1, draw.slip, 0.0)
@@ -204,14 +255,19 @@ PATH_FIELDS = ("final", "mdd", "mean", "std")
 
 def path_fold(v: np.ndarray) -> tuple[float | None, ...]:
     """Final equity, greatest drawdown (the start counts), mean and deviation."""
-    equity = np.cumprod(1 + v)
-    peak = np.maximum(np.maximum.accumulate(equity), 1.0)
-    return equity[-1], min(0.0, (equity / peak - 1).min()), v.mean(), v.std(ddof=1) if len(v) > 1 else None
+    equity = 1 + v
+    np.cumprod(equity, out=equity)
+    final = equity[-1]
+    peak = np.maximum.accumulate(equity)
+    np.maximum(peak, 1.0, out=peak)
+    equity /= peak
+    return final, min(0.0, equity.min() - 1), v.mean(), v.std(ddof=1) if len(v) > 1 else None
 
 
 def replicates(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[str, Draw], seed: int, fold: Callable[[np.ndarray], tuple] = path_fold, fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
     """keys, method, rep and what fold makes of each replicate, for each series of at most LONGEST values. series as numbered() gives it, written out."""
-    own = series.where(F.col("n") <= LONGEST).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).getField("v").cast("array<double>").alias("v"))
+    chunk = F.expr(f"cast(pos as long) div {CHUNK}").alias("_chunk")
+    own = series.where(F.col("n") <= LONGEST).groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).getField("v").cast("array<double>").alias("v"))
     stressed = next((d.plain for d in draws.values() if d != d.plain), None)
     if stressed:
         sizes = replicates(series, keys, reps, {"": stressed}, seed, lambda v: (np.abs(v).mean(),), ("_size",)).groupBy(*keys).agg(F.avg("_size").alias("_size"))
@@ -224,16 +280,20 @@ def replicates(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[st
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "method string", "rep int", *(f"`{f}` double" for f in fields)])
 
     def work(table: pa.Table) -> pa.Table:
-        part = table["_part"][0].as_py()
-        values = [np.array(v, float) for v in table["v"].to_pylist()]
-        size = table["_size"].to_pylist() if stressed else [0.0] * len(values)
+        part, named = table["_part"][0].as_py(), {}
+        pieces = [np.array(p, float) if (p := x.values).null_count else p.to_numpy() for x in table["v"]]
+        for at, (*own_keys, k) in enumerate(zip(*(table[c].to_pylist() for c in keys), table["_chunk"].to_pylist(), strict=True)):
+            named.setdefault(tuple(own_keys), []).append((k, at))
+        places = [[at for _, at in sorted(x)] for x in named.values()]
+        values = [np.concatenate([pieces[at] for at in x]) for x in places]
+        size = table["_size"].take(pa.array([x[0] for x in places], pa.int64())).to_pylist() if stressed else [0.0] * len(values)
         rows, bits = [], Bits()
         for rep in range(part, reps, parts):
             bits.held.clear()
             for s, v in sorted(enumerate(values), key=lambda x: -len(x[1])):
                 rows += [(s, name, rep, *fold(drawn(draw, v, bits, seed, rep, size[s]))) for name, draw in draws.items()]
         at, method, rep_of, *found = zip(*rows, strict=True) if rows else ([],) * (3 + len(fields))
-        picked = table.select(list(keys)).take(pa.array(at, pa.int64()))
+        picked = table.select(list(keys)).take(pa.array([places[s][0] for s in at], pa.int64()))
         columns = [*picked.columns, pa.array(method, pa.string()), pa.array(rep_of, pa.int32()), *(pa.array([None if x is None else float(x) for x in f], pa.float64()) for f in found)]
         return pa.table(columns, names=[*keys, "method", "rep", *fields])
 

@@ -117,3 +117,22 @@ def test_rules_as_windows_replay_them(spark, monkeypatch):
 
 def test_no_series(spark, series):
     assert resample.resampled_paths(series.limit(0), ["g"], 5, DRAWS, 3).count() == 0
+
+
+def test_hash_of_every_length():
+    import hashlib
+
+    bits = resample.Bits()
+    for seed, rep, n in ((1, 0, 12), (42, 999, 20_000), (4_000_000_000, 123_456, 101)):
+        want = [int(hashlib.md5(b"%d:%d:%d" % (seed, rep, i)).hexdigest()[:13], 16) for i in range(n)]
+        assert bits.of(seed, rep, n).tolist() == want
+
+
+def test_a_series_of_a_million_values_is_an_array(spark, monkeypatch):
+    """Such series took rows for every draw; parts of a unit and several units give the same."""
+    monkeypatch.setattr(resample, "path_metrics", None)
+    rows = spark.range(1_200_000).selectExpr("if(id % 12 = 0, 'b', 'a') as g", "id as t", "(id % 13 - 6) / 1000D as v")
+    series = resample.numbered(rows, ["g"], ["t"], "v")
+    got = by_key(resample.resampled_paths(series, ["g"], 3, {"x": DRAWS["circular"]}, 1))
+    monkeypatch.setattr(resample, "UNIT_VALUES", 50_000)
+    assert by_key(resample.resampled_paths(series, ["g"], 3, {"x": DRAWS["circular"]}, 1)) == got and len(got) == 6
