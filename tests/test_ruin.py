@@ -26,3 +26,15 @@ def test_against_sql_after_ruin(spark, ruined, name):
     con.execute("set TimeZone = 'UTC'")
     con.execute(f"create view lineitem as select * from '{ruined}/lineitem.parquet/*.parquet'")
     compare(QUERIES[name](spark, ruined).toPandas(), con.execute(ORACLES[name]).df())
+
+
+def test_account_that_ends_at_nothing(spark):
+    """Ten losses of a tenth leave nothing, not the 1e-16 that their floating-point sum does."""
+    import datetime as dt
+
+    from barloom.operators.metrics import daily_returns
+
+    days = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=k), -0.1) for k in range(12)]
+    got = daily_returns(spark.createDataFrame(days, "k string, day date, pnl double"), ["k"], 1.0).orderBy("day").collect()
+    assert [r.equity for r in got[8:11]] == [0.1, 0.0, -0.1]
+    assert [round(r.ret, 9) for r in got[8:]] == [-0.5, -1.0, 0.0, 0.0]
