@@ -147,7 +147,7 @@ _MD5_SHIFTS = [x for r in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6,
 _MD5_WORDS = [k if r == 0 else (5 * k + 1) % 16 if r == 1 else (3 * k + 5) % 16 if r == 2 else 7 * k % 16 for r in range(4) for k in range(16 * r, 16 * r + 16)]
 _MD5_SINES = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
 _MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
-_MD5_LANES = 1 << 14
+_MD5_LANES = 1 << 16
 
 
 def _md5_bits(head: bytes, first: int, n: int, digits: int) -> np.ndarray:
@@ -254,14 +254,27 @@ PATH_FIELDS = ("final", "mdd", "mean", "std")
 
 
 def path_fold(v: np.ndarray) -> tuple[float | None, ...]:
-    """Final equity, greatest drawdown (the start counts), mean and deviation."""
+    """Final equity, greatest drawdown (the start counts), mean and deviation.
+
+    While no value loses everything, equity is a sum of logarithms: products of long series underflow, and arithmetic on such numbers is slow.
+    """
+    mean, std = v.mean(), v.std(ddof=1) if len(v) > 1 else None
+    if v.min() > -1:
+        equity = np.log1p(v)
+        np.cumsum(equity, out=equity)
+        peak = np.maximum.accumulate(equity)
+        np.maximum(peak, 0.0, out=peak)
+        with np.errstate(over="ignore"):
+            final = np.exp(equity[-1])
+        equity -= peak
+        return final, min(0.0, np.expm1(equity.min())), mean, std
     equity = 1 + v
     np.cumprod(equity, out=equity)
     final = equity[-1]
     peak = np.maximum.accumulate(equity)
     np.maximum(peak, 1.0, out=peak)
     equity /= peak
-    return final, min(0.0, equity.min() - 1), v.mean(), v.std(ddof=1) if len(v) > 1 else None
+    return final, min(0.0, equity.min() - 1), mean, std
 
 
 def replicates(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[str, Draw], seed: int, fold: Callable[[np.ndarray], tuple] = path_fold, fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
@@ -297,7 +310,8 @@ def replicates(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[st
         columns = [*picked.columns, pa.array(method, pa.string()), pa.array(rep_of, pa.int32()), *(pa.array([None if x is None else float(x) for x in f], pa.float64()) for f in found)]
         return pa.table(columns, names=[*keys, "method", "rep", *fields])
 
-    return each.groupBy("_unit", "_part").applyInArrow(work, schema)
+    # A task for each group: they are few, of equal work, and small in bytes, so hashes would collide and tasks be merged.
+    return each.repartitionByRange(2 * units * parts, "_unit", "_part").groupBy("_unit", "_part").applyInArrow(work, schema)
 
 
 def draw_rows(draw: Draw, series: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:

@@ -136,3 +136,11 @@ def test_a_series_of_a_million_values_is_an_array(spark, monkeypatch):
     got = by_key(resample.resampled_paths(series, ["g"], 3, {"x": DRAWS["circular"]}, 1))
     monkeypatch.setattr(resample, "UNIT_VALUES", 50_000)
     assert by_key(resample.resampled_paths(series, ["g"], 3, {"x": DRAWS["circular"]}, 1)) == got and len(got) == 6
+
+
+def test_paths_of_long_losing_series_do_not_underflow():
+    """400,000 losses bring equity below the least floating-point number, as many gains bring it back."""
+    v = np.r_[np.full(400_000, -0.004), np.full(400_000, 0.004 / 0.996)]
+    final, mdd, _, _ = resample.path_fold(v)
+    assert final == pytest.approx(1.0, abs=1e-9) and mdd == -1.0
+    assert resample.path_fold(np.array([0.5, -1.0, 0.5]))[:2] == (0.0, -1.0)
