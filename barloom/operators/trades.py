@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.times import is_weekend
 from barloom.operators.features import by_time
 from barloom.operators.joins import meet
+from barloom.operators.metrics import additive_equity
 from barloom.scratch import scratch_folder
 
 SPAN = 4096
@@ -266,10 +267,9 @@ def modal_parameters(best: DataFrame) -> DataFrame:
 
 def selection(trades: DataFrame, order: Sequence[str], least: int, min_total: float, max_drawdown: float, min_win_rate: float, weights: tuple[float, float, float, float] = (0.15, 0.05, 1.25, 0.125)) -> DataFrame:
     """GO or NO_GO for each symbol and side, with score = total + a sharpe + b (win rate - .5) - c |drawdown| - d."""
-    running = Window.partitionBy("symbol", "side").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("_cum", F.sum("net_pnl_base").over(running)).withColumn("_dd", F.col("_cum") - F.max("_cum").over(running))
+    rows = additive_equity(trades, ["symbol", "side"], order, "net_pnl_base")
     out = rows.groupBy("symbol", "side").agg(
-        F.count(F.lit(1)).alias("n_oos"), F.sum("net_pnl_base").alias("tot_ret"), F.avg((F.col("net_pnl_base") > 0).cast("double")).alias("win_rate"), F.min("_dd").alias("mdd"),
+        F.count(F.lit(1)).alias("n_oos"), F.sum("net_pnl_base").alias("tot_ret"), F.avg((F.col("net_pnl_base") > 0).cast("double")).alias("win_rate"), F.min("drawdown").alias("mdd"),
         (F.avg("net_pnl_base") / F.greatest(F.lit(1e-12), F.stddev_samp("net_pnl_base"))).alias("sharpe"),
     )
     a, b, c, d = weights
