@@ -60,3 +60,12 @@ def test_no_task_holds_a_key(spark, monkeypatch, name):
     rows = spark.range(1000).selectExpr("'a' AS k", "id AS i", "0.001D AS r")
     tasks = getattr(metrics, name)(rows, ["k"], ["i"], "r").groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == 1000 and max(r["count"] for r in tasks) < 500
+
+
+@pytest.mark.parametrize("name", ["M9_rules_by_cost", "T11_risk_sweep"])
+def test_trades_are_multiplied_where_they_lie(spark, data, name):
+    """Costs and risks are dealt with after trades have moved to their day of entry, not before."""
+    from barloom.plans import QUERIES
+
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("explode") < plan.index("RepartitionByExpression")
