@@ -2,7 +2,7 @@
 
 build_index() cuts the documents into shards (runs of documents of about 4 MB) and writes, as a
 table, one row for each term of a shard with the sorted positions at which it stands, and one row
-for each shard with its documents. The index holds all terms of all documents, whatever the
+for each shard with its documents. Positions are stored as gaps of 7 bits a byte. The index holds all terms of all documents, whatever the
 benchmark is, and can be asked again.
 
 find() asks it by joins. Test items give windows of terms; the frequencies of their terms are
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.session import shared_folder
+from barloom.llm.session import drop_folder, shared_folder
 from barloom.llm.textkit import LOWER, NOT_TERM, cover, heads, runs, texts_of, word_hash, words
 
 WINDOW = 10
@@ -41,10 +41,36 @@ SMALL_ROWS = 1_000_000
 """Terms or documents, of 40 bytes at most, are broadcast if they have been counted to be no more than this."""
 
 INDEX = "kind int, shard long, term long, n long, body binary"
-"""kind 0: a shard's documents, n of them (body: id, whether it is null, two marks of the text, first word; then the number of words). kind 1: a term's n positions in the shard."""
+"""kind 0: a shard's documents, n of them (body: id, whether it is null, two marks of the text, first word; then the number of words). kind 1: a term's n positions in the shard, as gaps()."""
 HITS = "doc_id long, mark array<long>, shard long, row int, n_words long, n_hit long, spans array<struct<start:long,end:long>>, windows array<string>, near array<string>"
 
 
+def gaps(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of rising numbers (one after another, each beginning at one of first) as bytes: differences in groups of 7 bits, the lowest first; and where each list begins and the last one ends."""
+    d = np.diff(values, prepend=0)
+    d[first] = values[first]
+    size = np.ones(len(d), np.int64)
+    for k in range(7, 63, 7):
+        size += d >= 1 << k
+    ends = np.cumsum(size)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(size.max(initial=0)):
+        own = np.flatnonzero(size > k)
+        out[(ends - size)[own] + k] = d[own] >> 7 * k & 127 | (size[own] > k + 1) << 7
+    return out, np.r_[(ends - size)[first], len(out)]
+
+
+def ungap(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of the lists of gaps(); n: how many each list has, one at least."""
+    last = np.flatnonzero(data < 128)
+    first = np.r_[0, last[:-1] + 1]
+    place = np.arange(len(data)) - np.repeat(first, last - first + 1)
+    d = np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first)
+    values = np.cumsum(d)
+    head = np.cumsum(n) - n
+    return values - np.repeat(values[head] - d[head], n)
+
+
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each item's windows as arrays of terms' fingerprints: item_id, terms."""
 
@@ -81,8 +107,8 @@ def build_index(docs: DataFrame, place: str, shard_bytes: int = SHARD_BYTES) ->
                 order = np.argsort(h, kind="stable")
                 first = heads(h[order])
                 cut = np.r_[first, len(order)]
-                positions = pa.py_buffer(order.astype("<i4").tobytes())
-                lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((4 * cut).astype(np.int32).tobytes()), positions])
+                data, place = gaps(order, first)
+                lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(place.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 ids = batch["doc_id"][i:j].cast(pa.int64())
                 meta = np.stack([ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), batch["m0"][i:j].to_numpy(), batch["m1"][i:j].to_numpy(), bounds[:-1]])
                 yield pa.record_batch({
@@ -96,7 +122,7 @@ def build_index(docs: DataFrame, place: str, shard_bytes: int = SHARD_BYTES) ->
                 shard += 1
 
     marks = [F.xxhash64("text").alias("m0"), F.xxhash64(F.lit(1), "text").alias("m1")]
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *marks).mapInArrow(work, INDEX).write.partitionBy("kind").parquet(place)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *marks).mapInArrow(work, INDEX).write.partitionBy("kind").option("compression", "zstd").parquet(place)
     return docs.sparkSession.read.schema(INDEX).parquet(place)
 
 
@@ -112,7 +138,9 @@ class Shard:
         self.marks = rows[2:4].T
         self.bounds = np.r_[rows[4], self.n_words]
         at = np.flatnonzero(kind == 1)
-        self.lists = {t: np.frombuffer(b, "<i4").astype(np.int64) for t, b in zip(table["term"].take(pa.array(at)).to_pylist(), body.take(pa.array(at)).to_pylist(), strict=True)}
+        n = table["n"].to_numpy()[at]
+        places = ungap(np.frombuffer(b"".join(body.take(pa.array(at)).to_pylist()), np.uint8), n) if len(at) else np.zeros(0, np.int64)
+        self.lists = dict(zip(table["term"].take(pa.array(at)).to_pylist(), np.split(places, np.cumsum(n)[:-1]), strict=True)) if len(at) else {}
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, "right") - 1
@@ -206,6 +234,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     place = f"{shared_folder(docs.sparkSession)}/index-{uuid.uuid4().hex}"
     found, windows = find(build_index(docs, place, shard_bytes), items, window, slop)
     found.write.parquet(f"{place}-hits")
+    drop_folder(docs.sparkSession, place)
     found = docs.sparkSession.read.parquet(f"{place}-hits")
     out = found
     for column, name in (("windows", "items"), ("near", "near_items")):
@@ -235,6 +264,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, slo
     place = f"{shared_folder(docs.sparkSession)}/index-{uuid.uuid4().hex}"
     found, _ = find(build_index(docs.select("doc_id", "text"), place), items, window, slop)
     found.where("n_hit > 0 OR size(near) > 0").select(F.col("doc_id").alias("d"), F.col("mark")[0].alias("m0"), F.col("mark")[1].alias("m1")).distinct().write.parquet(f"{place}-hits")
+    drop_folder(docs.sparkSession, place)
     gone = docs.sparkSession.read.parquet(f"{place}-hits")
     gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone.hint("shuffle_merge")
     same = docs["doc_id"].cast("long").eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"]) == gone["m0"]) & (F.xxhash64(F.lit(1), docs["text"]) == gone["m1"])

@@ -46,6 +46,10 @@ SHINGLE = 3
 PERCENT = 90
 TASK_SHINGLES = 2_000_000
 """Shingles of a cluster, or of two tiles, that one task holds (16 MB)."""
+BRIEF = 3
+"""Bytes of a key by which buckets tell first whether another chunk may hold it; only then it is sent whole, with its owner."""
+SMALL_ROWS = 1_000_000
+"""Ids, of 40 bytes at most, are broadcast if they have been counted to be no more than this; the texts then stay where they are."""
 
 SETS = "doc_id long, n int, name binary, keys array<long>, body binary"
 
@@ -145,7 +149,7 @@ def _names(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def candidate_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row a document: doc_id, number of shingles and the set's name; with strong keys and shingles if it is the chunk's first of a candidate class."""
     texts, n = chunks.deal(docs)
-    low = U64((1 << 48) - 1)
+    low, brief = U64((1 << 48) - 1), U64((1 << 8 * BRIEF) - 1)
 
     def sets(table: pa.Table) -> Iterator[tuple]:
         buf, off = texts_of(table["text"])
@@ -153,7 +157,19 @@ def candidate_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
             tokens, first = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
             yield tokens, first, _names(tokens, first)
 
-    def ask(table: pa.Table) -> list[tuple]:
+    def probe(table: pa.Table) -> list[tuple]:
+        keys = np.unique(np.concatenate([part_keys(tokens, first, percent)[0] for tokens, first, _ in sets(table)]))
+        return list(chunks.parcels(keys, n, int(table["chunk"][0].as_py()), 0, lambda s: pack(np.unique(keys[s] & brief), BRIEF)))
+
+    def elsewhere(table: pa.Table) -> list[tuple]:
+        got = chunks.bodies(table)
+        held = [unpack(b, BRIEF) for _, _, b in got]
+        every = np.sort(np.concatenate(held))
+        many = np.unique(every[1:][every[1:] == every[:-1]])
+        return [(b, c, 0, pack(k, BRIEF)) for (b, c, _), own in zip(got, held, strict=True) if len(many) and len(k := own[member(many, own)[1]])]
+
+    def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+        told = np.sort(np.concatenate([U64(b << 8 * BRIEF) | unpack(body, BRIEF) for b, _, body in chunks.bodies(answers)] or [np.zeros(0, U64)]))
         keys, owners = [], []
         for tokens, first, name in sets(table):
             key, slot, _, _ = part_keys(tokens, first, percent)
@@ -165,7 +181,13 @@ def candidate_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
         key, owner = key[order], owner[order]
         one = heads(key, owner)
         key, owner = key[one], owner[one]
-        return list(chunks.parcels(key, n, int(table["chunk"][0].as_py()), 0, lambda s: pack(key[s], 6) + pack(owner[s], 4)))
+        # Held by two classes of this chunk, or perhaps by another chunk.
+        same = key[1:] == key[:-1]
+        ask = np.r_[same, False] | np.r_[False, same] if len(key) else np.zeros(0, bool)
+        if len(told):
+            ask |= member(told, chunks.bucket_of(key, n).astype(U64) << U64(8 * BRIEF) | key & brief)[1]
+        key, owner = key[ask], owner[ask]
+        return chunks.parcel_table(list(chunks.parcels(key, n, int(table["chunk"][0].as_py()), 0, lambda s: pack(key[s], 6) + pack(owner[s], 4))))
 
     def shared(table: pa.Table) -> list[tuple]:
         got = chunks.bodies(table)
@@ -212,7 +234,8 @@ def candidate_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
             "keys": pa.array(keys, pa.list_(pa.int64())), "body": pa.array(bodies, pa.binary()),
         })
 
-    return chunks.next_step(texts, chunks.answer(chunks.first_step(texts, ask), shared), gather, SETS)
+    asked = chunks.next_step(texts, chunks.answer(chunks.first_step(texts, probe), elsewhere), ask)
+    return chunks.next_step(texts, chunks.answer(asked, shared), gather, SETS)
 
 
 class Tree:
@@ -402,5 +425,8 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """docs without those whose component has a smaller id; rows without shingles or without id stay, as do repeated rows of the id that is kept."""
-    gone = join_documents(docs, percent, size).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = f"{shared_folder(docs.sparkSession)}/copies-{uuid.uuid4().hex}"
+    join_documents(docs, percent, size).where("doc_id <> component_id").select("doc_id").distinct().write.parquet(place)
+    gone = docs.sparkSession.read.parquet(place)
+    gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone.hint("shuffle_merge")
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -92,6 +92,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     shaped = placed.join(constant.hint("shuffle_merge"), ["leaf", "at", "token"]).groupBy("leaf", "line", "n", "first", "size").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("fixed"))
     constants = F.size(F.filter("fixed", lambda x: _word(x["token"])))
     shaped = shaped.where((constants >= MIN_CONSTANT * F.col("size")) & (constants >= LEAST_CONSTANT)).select("line", "n", "first", _name(F.col("leaf"), F.col("fixed")).alias("template"))
+    # Written out, since it is read twice and its exchanges would lie beside those of the texts.
+    shaped.write.parquet(f"{place}/shaped")
+    shaped = spark.read.parquet(f"{place}/shaped")
     often = shaped.groupBy("template").agg(F.sum("n").alias("docs"), F.min("first").alias("keeper")).where(F.col("docs") >= min_docs).select("template", "keeper")
     dropped = shaped.join(often.hint("shuffle_merge"), "template").select("line", "keeper")
     equal = lines.where(F.col("n") >= min_docs).select("line", F.col("id").alias("keeper"))
