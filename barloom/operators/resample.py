@@ -2,8 +2,8 @@
 
 Draws are 52 bits of md5(seed:replicate:position), so they need no state, agree between runs and
 engines, and come back after a lost task; they do not depend on the series, so all series of a task share them.
-A task holds a unit of series as arrays and draws a share of the replicates, each hashed once for all of them and folded
-over every series in one pass (`replicates`): no join, no sort and no window for a replicate. Series longer than LONGEST values go another way to the same
+A task holds a unit of series as places in tables of their distinct values and draws a share of the replicates, each hashed once for all of them and folded
+over every series a lap at a time (`replicates`): no join, no sort and no window for a replicate. Series longer than LONGEST values go another way to the same
 results: draws are rows that meet the series in a join, gathered into blocks, whose products, peaks and
 drawdowns compose (`path_metrics`).
 """
@@ -14,6 +14,7 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,14 @@ from barloom.scratch import scratch_folder
 LONGEST = 1 << 26
 """Values of a series that a task holds as an array (512 MB)."""
 UNIT_VALUES = 1 << 25
-"""Values of the series that are folded together, on average (256 MB): draws are hashed once a unit."""
-CHUNK = 4096
+"""Numbers of eight bytes that the series take that are folded together, on average (256 MB; coded series have eight times as many values): draws are hashed once a unit."""
+LAP, STEP = 1 << 20, 1 << 14
+"""Positions that are hashed before the series take them up one by one, and that are folded in one go."""
+CODES = 1 << 16
+"""Most distinct values of a series that is held as places in a table of them."""
+RUIN = -40.0
+"""A drawdown in logarithms that no double tells from a total loss."""
+CHUNK = 8192
 """Values of a series in a row on their way to the tasks."""
 PATH_BLOCK = 4096
 """Positions of a replicate in a block, where the series is too long for an array."""
@@ -147,23 +154,41 @@ _MD5_SHIFTS = [x for r in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6,
 _MD5_WORDS = [k if r == 0 else (5 * k + 1) % 16 if r == 1 else (3 * k + 5) % 16 if r == 2 else 7 * k % 16 for r in range(4) for k in range(16 * r, 16 * r + 16)]
 _MD5_SINES = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
 _MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
-_MD5_LANES = 1 << 16
+_MD5_LANES = 80_000
+_MD5_MOVES = [(np.array(x, np.uint32), np.array(32 - x, np.uint32)) for x in _MD5_SHIFTS]
+_LOW_DIGITS = 4
+
+
+@cache
+def _endings(digits: int) -> np.ndarray:
+    """The numbers of so many digits (at most _LOW_DIGITS, with leading zeros) as text, and the mark that ends a message."""
+    i = np.arange(10**digits, dtype=np.uint64)
+    out = np.full(len(i), 0x80 << 8 * digits, np.uint64)
+    for k in range(digits):
+        out |= (i // np.uint64(10 ** (digits - 1 - k)) % np.uint64(10) + np.uint64(48)) << np.uint64(8 * k)
+    return out
+
+
+def _message(head: bytes, first: int, n: int, digits: int) -> list[int | np.ndarray]:
+    """The sixteen words of head + i for n numbers i from first, all of so many digits; a word that all have is one number."""
+    low = min(digits, _LOW_DIGITS)
+    lead = np.arange(first // 10**low, (first + n - 1) // 10**low + 1)
+    texts = [head + (b"%d" % q if digits > low else b"") for q in lead.tolist()]
+    size = len(texts[0])
+    rows = np.frombuffer(b"".join(t.ljust(56, b"\0") + ((size + low) * 8).to_bytes(8, "little") for t in texts), "<u4").reshape(-1, 16)
+    count = np.minimum((lead + 1) * 10**low, first + n) - np.maximum(lead * 10**low, first)
+    word = [int(x[0]) if (x == x[0]).all() else np.repeat(x, count) for x in rows.T]
+    ending = np.resize(np.roll(_endings(low), -(first % 10**low)), n) << np.uint64(8 * (size % 4))
+    at = size // 4
+    word[at] = word[at] | (ending & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    if size % 4 + low >= 4:
+        word[at + 1] = word[at + 1] | (ending >> np.uint64(32)).astype(np.uint32)
+    return word
 
 
 def _md5_bits(head: bytes, first: int, n: int, digits: int) -> np.ndarray:
     """The first 52 bits of md5(head + i) for n numbers i from first, all of so many digits, one array for each word of the hash."""
-    size = len(head) + digits
-    whole = np.zeros((64, n), np.uint8)
-    whole[: len(head)] = np.frombuffer(head, np.uint8)[:, None]
-    rest = np.arange(first, first + n)
-    for k in range(digits - 1, -1, -1):
-        over = rest // 10
-        whole[len(head) + k] = rest - over * 10 + 48
-        rest = over
-    whole[size] = 0x80
-    whole[56], whole[57] = size * 8 & 255, size * 8 >> 8
-    varied = range(len(head) // 4, (size - 1) // 4 + 1)
-    word = [np.ascontiguousarray(whole[4 * k : 4 * k + 4].T).view("<u4").ravel() if k in varied else int.from_bytes(whole[4 * k : 4 * k + 4, 0].tobytes(), "little") for k in range(16)]
+    word = _message(head, first, n, digits)
     a, b, c, d = (np.full(n, x, np.uint32) for x in _MD5_START)
     f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
     for k in range(64):
@@ -178,16 +203,28 @@ def _md5_bits(head: bytes, first: int, n: int, digits: int) -> np.ndarray:
         np.add(a, f, f)
         own = word[_MD5_WORDS[k]]
         if isinstance(own, int):
-            np.add(f, np.uint32((own + _MD5_SINES[k]) % 2**32), f)
+            np.add(f, np.array((own + _MD5_SINES[k]) % 2**32, np.uint32), f)
         else:
-            np.add(f, own, f), np.add(f, np.uint32(_MD5_SINES[k]), f)
-        np.left_shift(f, np.uint32(_MD5_SHIFTS[k]), t), np.right_shift(f, np.uint32(32 - _MD5_SHIFTS[k]), f), np.bitwise_or(f, t, f)
+            np.add(f, own, f), np.add(f, np.array(_MD5_SINES[k], np.uint32), f)
+        left, right = _MD5_MOVES[k]
+        np.left_shift(f, left, t), np.right_shift(f, right, f), np.bitwise_or(f, t, f)
         np.add(f, b, a)
         a, b, c, d = d, a, b, c
     high, low = ((x + np.uint32(y)).byteswap().astype(np.uint64) for x, y in ((a, _MD5_START[0]), (b, _MD5_START[1])))
     return ((high << np.uint64(32) | low) >> np.uint64(12)).view(np.int64)
 
 
+def _bits_between(seed: int, rep: int, first: int, end: int) -> np.ndarray:
+    """52 random bits for each position from first to end - 1, as with_bits draws them."""
+    have, i = np.empty(end - first, np.int64), first
+    while i < end:
+        digits = len(str(i))
+        j = min(end, i + _MD5_LANES, 10**digits)
+        have[i - first : j - first] = _md5_bits(b"%d:%d:" % (seed, rep), i, j - i, digits)
+        i = j
+    return have
+
+
 class Bits:
     """52 random bits by seed, replicate and position, as with_bits draws them."""
 
@@ -197,13 +234,7 @@ class Bits:
     def of(self, seed: int, rep: int, n: int) -> np.ndarray:
         have = self.held.get((seed, rep))
         if have is None or len(have) < n:
-            have, i = np.empty(n, np.int64), 0
-            while i < n:
-                digits = len(str(i))
-                j = min(n, i + _MD5_LANES, 10**digits)
-                have[i:j] = _md5_bits(b"%d:%d:" % (seed, rep), i, j - i, digits)
-                i = j
-            self.held[seed, rep] = have
+            have = self.held[seed, rep] = _bits_between(seed, rep, 0, n)
         return have[:n]
 
 
@@ -277,37 +308,192 @@ def path_fold(v: np.ndarray) -> tuple[float | None, ...]:
     return final, min(0.0, equity.min() - 1), mean, std
 
 
-def replicates(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[str, Draw], seed: int, fold: Callable[[np.ndarray], tuple] = path_fold, fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
-    """keys, method, rep and what fold makes of each replicate, for each series of at most LONGEST values. series as numbered() gives it, written out."""
+@dataclass
+class Coded:
+    """A series as places in a table of its distinct values, or (codes None) the values alone; it goes on from its start, and ends in its last two values for positions -2 and -1."""
+
+    n: int
+    table: np.ndarray
+    codes: np.ndarray | None
+
+    def values(self) -> np.ndarray:
+        return (self.table if self.codes is None else self.table.take(self.codes))[: self.n]
+
+
+def coded(pieces: list[tuple[np.ndarray, bytes | None]], beyond: int) -> Coded:
+    """A series from its chunks, each as _encoded() gives it; beyond: positions that draws may stand behind its end."""
+    wrapped = lambda x: np.concatenate([np.resize(x, len(x) + beyond + 2), np.resize(x[::-1], 2)[::-1]])
+    table = np.unique(np.concatenate([v for v, c in pieces if c is not None] or [np.zeros(0)]))
+    read = lambda v, c: np.frombuffer(c, np.uint8 if len(v) <= 256 else np.uint16)
+    if len(table) > CODES or any(c is None for _, c in pieces):
+        whole = np.concatenate([v if c is None else v.take(read(v, c)) for v, c in pieces])
+        return Coded(len(whole), wrapped(whole), None)
+    kind = np.uint8 if len(table) <= 256 else np.uint16
+    whole = np.concatenate([np.searchsorted(table, v).astype(kind).take(read(v, c)) for v, c in pieces])
+    return Coded(len(whole), table, wrapped(whole))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk as its distinct values and places in them; as its values where most are distinct."""
+    for batch in batches:
+        values, codes = [], []
+        for p in batch.column("v"):
+            v = np.array(x, float) if (x := p.values).null_count else x.to_numpy()
+            own, at = np.unique(v, return_inverse=True)
+            few = 2 * len(own) <= len(v)
+            values.append(own if few else v)
+            codes.append(at.astype(np.uint8 if len(own) <= 256 else np.uint16).tobytes() if few else None)
+        rest = batch.drop_columns(["v"])
+        yield pa.record_batch([*rest.columns, pa.array(values, pa.list_(pa.float64())), pa.array(codes, pa.binary())], names=[*rest.schema.names, "values", "codes"])
+
+
+def _sources(draw: Draw, n: int, bits: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Positions drawn for those from first on, as Coded takes them (-1 to n + block); bits as numbers, of positions or (in blocks) of blocks from first on."""
+    # A quotient that rounding takes over a whole number gives -1 or n, which Coded holds as well.
+    q = np.multiply(bits, 1.0 / n)
+    np.floor(q, q), np.multiply(q, n, q), np.subtract(bits, q, q)
+    src = q.astype(np.int64)
+    if draw.kind == "iid":
+        return src
+    block = int(draw.block)
+    return (src[:, None] + np.arange(block)).ravel()[: end - first]
+
+
+class Path:
+    """One draw of a series, folded a step at a time: equity in logarithms, moments about the series' mean, absolute values."""
+
+    def __init__(self, draw: Draw, one: Coded, size: float, fields: Sequence[str]):
+        own = [one.table]
+        if draw != draw.plain:
+            lower = one.table - size * (draw.multiple - 1) * 0.5
+            own = [lower - 0.0, lower - draw.slip]
+        self.table, self.n, self.slips = np.concatenate(own), one.n, len(own) > 1
+        self.able = bool(self.table.min(initial=np.inf) > -1)
+        self.fields = fields
+        path, moments = {"final", "mdd"} & set(fields), {"mean", "std"} & set(fields)
+        with np.errstate(all="ignore"):
+            self.logs = np.log1p(self.table) if path else None
+        self.middle = float(self.table.mean()) if moments else 0.0
+        self.off = self.table - self.middle if moments else None
+        self.sizes = np.abs(self.table) if "_size" in fields else None
+        self.start()
+
+    def start(self) -> None:
+        self.equity = self.peak = self.worst = self.sum = self.squares = self.total = 0.0
+
+    def take(self, at: np.ndarray, out: np.ndarray) -> None:
+        """at: places in the table; out: two rows of numbers to work in."""
+        x, peak = out[0, : len(at)], out[1, : len(at)]
+        if self.logs is not None:
+            self.logs.take(at, out=x, mode="clip")
+            if self.worst > RUIN:
+                x[0] += self.equity
+                np.cumsum(x, out=x)
+                self.equity = float(x[-1])
+                np.maximum.accumulate(x, out=peak)
+                np.maximum(peak, self.peak, out=peak)
+                self.peak = float(peak[-1])
+                x -= peak
+                self.worst = min(self.worst, float(x.min()))
+            else:
+                self.equity += float(x.sum())
+        if self.off is not None:
+            self.off.take(at, out=x, mode="clip")
+            self.sum += float(x.sum())
+            self.squares += float(np.dot(x, x))
+        if self.sizes is not None:
+            self.total += float(self.sizes.take(at, out=x, mode="clip").sum())
+
+    def facts(self) -> tuple[float | None, ...]:
+        off = self.sum / self.n
+        with np.errstate(over="ignore"):
+            known = {"final": float(np.exp(self.equity)), "mdd": min(0.0, float(np.expm1(self.worst))), "mean": self.middle + off, "_size": self.total / self.n}
+        known["std"] = math.sqrt(max(0.0, self.squares - off * self.sum) / (self.n - 1)) if self.n > 1 else None
+        return tuple(known[f] for f in self.fields)
+
+
+def folded(series: list[Coded], paths: list[dict[str, Path]], draws: dict[str, Draw], seed: int, rep: int) -> None:
+    """One replicate of every series, iid or in circular blocks: positions go by laps that are hashed once, a lap by steps of a series."""
+    longest, work, base = max(x.n for x in series), np.empty((2, STEP)), np.empty(STEP, np.int64)
+    blocks = {d.plain: int(d.block or 1) for d in draws.values()}
+    lap = max(STEP, LAP // math.prod(set(blocks.values())) * math.prod(set(blocks.values())))
+    for first in range(0, longest, lap):
+        end = min(first + lap, longest)
+        bits = {d: _bits_between(seed, rep, first // b, -(-end // b)).astype(float) for d, b in blocks.items()}
+        slips = _bits_between(seed + 2, rep, first, end) < 0.1 * (1 << 52) if any(d != d.plain for d in draws.values()) else None
+        for one, own in zip(series, paths, strict=True):
+            for d, b in blocks.items():
+                step = max(1, STEP // b) * b
+                for i in range(first, min(end, one.n), step):
+                    j = min(i + step, end, one.n)
+                    at = _sources(d, one.n, bits[d][(i - first) // b : -(-(j - first) // b)], i, j)
+                    if one.codes is not None:
+                        at = one.codes.take(at, mode="wrap").astype(np.int64)
+                    else:
+                        np.add(at, len(one.table), out=at, where=at < 0)
+                    for name, draw in draws.items():
+                        if draw.plain == d and name in own:
+                            path = own[name]
+                            if path.slips:
+                                moved = np.multiply(slips[i - first : j - first], len(one.table), out=base[: j - i])
+                                moved += at
+                            path.take(moved if path.slips else at, work)
+
+
+def replicates(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[str, Draw], seed: int, fold: Callable[[np.ndarray], tuple] | None = None, fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
+    """keys, method, rep and fields of each replicate, for each series of at most LONGEST values: those of a path, or what fold makes of the values. series as numbered() gives it, written out."""
+    spark, place = series.sparkSession, scratch_folder(series.sparkSession, "coded")
     chunk = F.expr(f"cast(pos as long) div {CHUNK}").alias("_chunk")
     own = series.where(F.col("n") <= LONGEST).groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).getField("v").cast("array<double>").alias("v"))
+    kinds = dict(series.dtypes)
+    named = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    form = named + "_chunk long, values array<double>, codes binary"
+    own.mapInArrow(_encoded, form).write.parquet(place)
+    own = spark.read.schema(form).parquet(place)
+    total = own.agg(F.sum(F.coalesce(F.octet_length("codes"), F.lit(0)) + 8 * F.size("values"))).first()[0] or 0
     stressed = next((d.plain for d in draws.values() if d != d.plain), None)
     if stressed:
-        sizes = replicates(series, keys, reps, {"": stressed}, seed, lambda v: (np.abs(v).mean(),), ("_size",)).groupBy(*keys).agg(F.avg("_size").alias("_size"))
-        own = _by_keys(own, sizes, keys)
-    total = series.where(F.col("n") <= LONGEST).count()
-    units = max(1, math.ceil(total / UNIT_VALUES))
-    parts = min(reps, max(1, math.ceil(4 * series.sparkSession.sparkContext.defaultParallelism / units)))
+        # Written out: to deal by ranges, Spark runs what comes before twice.
+        _replicates(own, total, keys, named, reps, {"": stressed}, seed, None, ("_size",)).groupBy(*keys).agg(F.avg("_size").alias("_size")).write.parquet(f"{place}-sizes")
+        sizes = spark.read.parquet(f"{place}-sizes")
+        own = _by_keys(own, sizes, keys, few=sizes.count() <= SMALL_SERIES)
+    return _replicates(own, total, keys, named, reps, draws, seed, fold, fields)
+
+
+def _replicates(own: DataFrame, total: int, keys: Sequence[str], named: str, reps: int, draws: dict[str, Draw], seed: int, fold: Callable[[np.ndarray], tuple] | None, fields: Sequence[str]) -> DataFrame:
+    units = max(1, math.ceil(total / (8 * UNIT_VALUES)))
+    parts = min(reps, max(1, math.ceil(2 * own.sparkSession.sparkContext.defaultParallelism / units)))
     each = own.withColumn("_unit", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(units)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    kinds = dict(series.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "method string", "rep int", *(f"`{f}` double" for f in fields)])
+    schema = named + ", ".join(["method string", "rep int", *(f"`{f}` double" for f in fields)])
+    beyond = max(int(d.block or 1) for d in draws.values())
+    by_laps = fold is None and all(d.kind in ("iid", "circular") for d in draws.values())
+    if not by_laps and "_size" in fields:
+        fold = lambda v: (np.abs(v).mean(),)
+    pick = fold or (lambda v: tuple(x for f, x in zip(PATH_FIELDS, path_fold(v), strict=True) if f in fields))
 
     def work(table: pa.Table) -> pa.Table:
-        part, named = table["_part"][0].as_py(), {}
-        pieces = [np.array(p, float) if (p := x.values).null_count else p.to_numpy() for x in table["v"]]
+        part, found = table["_part"][0].as_py(), {}
         for at, (*own_keys, k) in enumerate(zip(*(table[c].to_pylist() for c in keys), table["_chunk"].to_pylist(), strict=True)):
-            named.setdefault(tuple(own_keys), []).append((k, at))
-        places = [[at for _, at in sorted(x)] for x in named.values()]
-        values = [np.concatenate([pieces[at] for at in x]) for x in places]
-        size = table["_size"].take(pa.array([x[0] for x in places], pa.int64())).to_pylist() if stressed else [0.0] * len(values)
+            found.setdefault(tuple(own_keys), []).append((k, at))
+        places = [[at for _, at in sorted(x)] for x in found.values()]
+        places.sort(key=lambda x: -len(x))
+        series = [coded([(table["values"][at].values.to_numpy(), c.as_py() if (c := table["codes"][at]).is_valid else None) for at in x], beyond) for x in places]
+        size = table["_size"].take(pa.array([x[0] for x in places], pa.int64())).to_pylist() if "_size" in table.column_names else [0.0] * len(series)
+        paths = [{name: p for name, draw in draws.items() if (p := Path(draw, one, s, fields)).able or "_size" in fields} if by_laps else {} for one, s in zip(series, size, strict=True)]
+        values = [one.values() if len(own) < len(draws) else None for one, own in zip(series, paths, strict=True)]
         rows, bits = [], Bits()
         for rep in range(part, reps, parts):
             bits.held.clear()
-            for s, v in sorted(enumerate(values), key=lambda x: -len(x[1])):
-                rows += [(s, name, rep, *fold(drawn(draw, v, bits, seed, rep, size[s]))) for name, draw in draws.items()]
-        at, method, rep_of, *found = zip(*rows, strict=True) if rows else ([],) * (3 + len(fields))
+            for own in paths:
+                for path in own.values():
+                    path.start()
+            if any(paths):
+                folded(series, paths, draws, seed, rep)
+            for s, own in enumerate(paths):
+                rows += [(s, name, rep, *(own[name].facts() if name in own else pick(drawn(draw, values[s], bits, seed, rep, size[s])))) for name, draw in draws.items()]
+        at, method, rep_of, *told = zip(*rows, strict=True) if rows else ([],) * (3 + len(fields))
         picked = table.select(list(keys)).take(pa.array([places[s][0] for s in at], pa.int64()))
-        columns = [*picked.columns, pa.array(method, pa.string()), pa.array(rep_of, pa.int32()), *(pa.array([None if x is None else float(x) for x in f], pa.float64()) for f in found)]
+        columns = [*picked.columns, pa.array(method, pa.string()), pa.array(rep_of, pa.int32()), *(pa.array([None if x is None else float(x) for x in f], pa.float64()) for f in told)]
         return pa.table(columns, names=[*keys, "method", "rep", *fields])
 
     # A task for each group: they are few, of equal work, and small in bytes, so hashes would collide and tasks be merged.
@@ -329,12 +515,12 @@ def draw_rows(draw: Draw, series: DataFrame, keys: Sequence[str], reps: int, see
     return rows.withColumn("v", F.col("v") - F.col("_size") * (draw.multiple - 1) * 0.5 - F.when(F.col("_u") < 0.1, draw.slip).otherwise(0.0)).drop("_size", "_u")
 
 
-def resampled_paths(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[str, Draw], seed: int) -> DataFrame:
-    """keys, method, rep, final, mdd, mean and std of each replicate, over series of any length."""
+def resampled_paths(series: DataFrame, keys: Sequence[str], reps: int, draws: dict[str, Draw], seed: int, fields: Sequence[str] = PATH_FIELDS) -> DataFrame:
+    """keys, method, rep and fields (final, mdd, mean and std, or some of them in this order) of each replicate, over series of any length."""
     spark, place = series.sparkSession, scratch_folder(series.sparkSession, "series")
     series.select(*keys, "pos", "n", "v").write.parquet(place)
     series = spark.read.parquet(place)
-    out = replicates(series, keys, reps, draws, seed)
+    out = replicates(series, keys, reps, draws, seed, fields=fields)
     long = series.where(F.col("n") > LONGEST)
     if not long.limit(1).count():
         return out
@@ -354,7 +540,7 @@ def bootstrap_mean(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
     series = numbered(rows, keys, order, value)
     if most is not None:
         series = numbered(series.withColumn("h", F.xxhash64("pos", F.lit(seed))), keys, ["h", "pos"], "v").where(F.col("pos") < most).withColumn("n", F.least(F.col("n"), F.lit(most)))
-    return mean_interval(resampled_paths(series, keys, reps, {"iid": Draw("iid")}, seed), keys)
+    return mean_interval(resampled_paths(series, keys, reps, {"iid": Draw("iid")}, seed, ("mean",)), keys)
 
 
 def _block_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +618,7 @@ STRESSED = Draw("iid", None, 2.0, 0.001)
 
 def all_methods(series: DataFrame, keys: Sequence[str], reps: int, block: int, seed: int) -> DataFrame:
     """Quantiles of plain, block and stressed resampling, one below the other, from one pass over the series."""
-    paths = resampled_paths(series, keys, reps, {"iid": Draw("iid"), "block": Draw("circular", block), "stressed": STRESSED}, seed)
+    paths = resampled_paths(series, keys, reps, {"iid": Draw("iid"), "block": Draw("circular", block), "stressed": STRESSED}, seed, ("final", "mdd"))
     return path_quantiles(paths, [*keys, "method"])
 
 

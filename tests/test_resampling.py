@@ -144,3 +144,36 @@ def test_paths_of_long_losing_series_do_not_underflow():
     final, mdd, _, _ = resample.path_fold(v)
     assert final == pytest.approx(1.0, abs=1e-9) and mdd == -1.0
     assert resample.path_fold(np.array([0.5, -1.0, 0.5]))[:2] == (0.0, -1.0)
+
+
+def test_stress_is_sized_once_and_all_series_share_a_unit(spark, monkeypatch):
+    """Sizes were drawn again for each look at the series, and a value took eight bytes of a unit."""
+    seen, inner = [], resample._replicates
+    monkeypatch.setattr(resample, "_replicates", lambda own, total, *a: seen.append((total, a[-1], own.columns)) or inner(own, total, *a))
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 'a', 'b') as g", "id as t", "(id % 13 - 6) / 1000D as v")
+    own = resample.numbered(rows, ["g"], ["t"], "v")
+    place = scratch_folder(spark, "test")
+    own.write.parquet(place)
+    out = resample.resampled_paths(spark.read.parquet(place), ["g"], 4, {"x": resample.STRESSED}, 3, ("final", "mdd"))
+    assert [f for _, f, _ in seen] == [("_size",), ("final", "mdd")] and seen[0][0] < 2 * 40_000
+    assert "_size" in seen[1][2]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString() and out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    assert {(r.g, r.rep) for r in out.collect()} == {(g, k) for g in "ab" for k in range(4)}
+
+
+@pytest.mark.parametrize("name", ["iid", "circular", "stressed"])
+def test_laps_and_steps_do_not_show(spark, monkeypatch, name):
+    """Few values or as many as positions, laps and steps that end within a series, ruin on the way."""
+    rng = np.random.default_rng(8)
+    draw = DRAWS[name]
+    monkeypatch.setattr(resample, "LAP", 4000)
+    monkeypatch.setattr(resample, "STEP", 700)
+    few = rng.choice([-0.05, 0.01, 0.012], 9001)
+    for v in (few, rng.normal(0, 0.01, 5003), few[:3]):
+        own, at = np.unique(v, return_inverse=True)
+        piece = (own, at.astype(np.uint8).tobytes()) if len(own) < len(v) else (v, None)
+        one, bits = resample.coded([piece], 5), resample.Bits()
+        path = resample.Path(draw, one, 0.004, resample.PATH_FIELDS)
+        resample.folded([one], [{"x": path}], {"x": draw}, 6, 2)
+        assert one.values().tolist() == v.tolist()
+        assert path.facts() == pytest.approx(resample.path_fold(resample.drawn(draw, v, bits, 6, 2, 0.004)), rel=1e-9, abs=1e-15)
